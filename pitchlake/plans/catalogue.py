@@ -1,4 +1,6 @@
-"""Registered queries over the league adapter and their SQL."""
+"""Registered queries of the league and of names, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pitchlake.plans import league_queries, name_queries
+
+QUERIES = league_queries.QUERIES | name_queries.QUERIES
+ORACLE_SQL = league_queries.SQL | name_queries.SQL

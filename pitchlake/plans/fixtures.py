@@ -1,0 +1,41 @@
+"""Small literal tables of names and aliases that the name queries run on, as DataFrames and as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+OBSERVED = [
+    "Desert Foxes SC 2016 Boys Blue", "desert foxes 2016 boys blue", "Canyon Rangers FC U10 Boys II", "Canyon Rangers FC 16B II", "The Harbor United 2015 Girls (H)", "Harbor United 15G", "Lone Peak Academy B14 White", "Lone Peak Soccer Club 2014 Boys White",
+    "San José Águilas 2016B Premier", "Red Mesa Youth Soccer U11 Girls Garcia", "Red Mesa 2015 Girls Garcia 2", "North Valley Select Under 12 Boys", "FC Bayside Boys 2014 AZ", "Bayside 14B AZ", "sffa 2014 boys white", "Thunder Men 2016", "Quail Ridge A 2013 Boys CA", "Quail Ridge B 2013 Boys CA",
+    "  Silver   Creek  2016 Boys  ", "Silver Creek 2016 Boys Lopez", "Rio Norte 99 Girls", "U19 Boys Coastal Elite", "17", "", "Oak", "Westfield Athletic Club 2016 Boys Gold", "Westfield Athletic 2016 Boys Gold", "Granite City Football Club 2012 Boys Black", "Granite City FC 2012 Boys Black", "Mexico Selecta U13",
+]
+MASTER = [
+    "Desert Foxes 2016 Boys Blue", "Canyon Rangers 2016 Boys II", "Harbor United 2015 Girls", "Lone Peak 2014 Boys White", "San Jose Aguilas 2016 Boys Premier", "Red Mesa Soccer 2015 Girls Garcia", "North Valley Select 2014 Boys", "Bayside 2014 Boys AZ", "Quail Ridge A 2013 Boys CA",
+    "Silver Creek Lopez 2016 Boys", "Rio Norte 1999 Girls", "Coastal Elite 2007 Boys", "Westfield Athletic Gold 2016 Boys", "Granite City 2012 Boys Black",
+]
+ALIASES = [
+    ("desert foxes 16 blue", "Desert Foxes 2016 Boys Blue", 0.97), ("harbor united 15", "Harbor United 2015 Girls", 0.91), ("lone peak acad 2014 white", "Lone Peak 2014 Boys White", 0.84), ("bayside 14 az", "Bayside 2014 Boys AZ", 0.79), ("red mesa garcia 15", "Red Mesa Soccer 2015 Girls Garcia", 0.9),
+    ("granite city 12 black", "Granite City 2012 Boys Black", 0.72), ("westfield gold", "Westfield Athletic Gold 2016 Boys", 0.66), ("quail ridge a ca", "Quail Ridge A 2013 Boys CA", 0.88),
+]
+PREFIXES = {"desert_foxes": ["desert foxes sc", "desert foxes"], "harbor_united": ["the harbor united", "harbor united"]}
+
+
+def observed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, n) for i, n in enumerate(OBSERVED)], "ord long, name string")
+
+
+def master(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, n) for i, n in enumerate(MASTER)], "ord long, name string")
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ALIASES, "alias_name string, canonical_team_name string, confidence double")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+OBSERVED_SQL = "observed(ord, name) as (values " + ", ".join(f"({i}::bigint, {_quoted(n)})" for i, n in enumerate(OBSERVED)) + ")"
+MASTER_SQL = "master(ord, name) as (values " + ", ".join(f"({i}::bigint, {_quoted(n)})" for i, n in enumerate(MASTER)) + ")"
+ALIASES_SQL = "aliases(alias_name, canonical_team_name, confidence) as (values " + ", ".join(f"({_quoted(a)}, {_quoted(c)}, {s}::double)" for a, c, s in ALIASES) + ")"
