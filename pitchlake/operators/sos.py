@@ -38,15 +38,13 @@ def step(strength: DataFrame, edge: DataFrame, mean: float) -> DataFrame:
 def relaxed(initial: DataFrame, edge: DataFrame, steps: int | None = None, most: int = 10, tolerance: float = 0.01) -> DataFrame:
     """team, sos_score: z-score (population) after a fixed number of steps, or when no strength moves by ``tolerance``.
 
-    The edges are cached; every step cuts its lineage with a checkpoint where one is configured.
+    The edges are cached; every step cuts its plan with a checkpoint where one is configured.
     """
     edge = edge.cache()
     mean = float(initial.agg(F.avg("s")).first()[0] or 0.5)
     now = initial
-    for k in range(steps if steps is not None else most):
-        new = step(now, edge, mean)
-        if steps is None or k % 3 == 2:
-            new = _cut(new)
+    for _ in range(steps if steps is not None else most):
+        new = cut(step(now, edge, mean))  # a step reads the strengths twice: uncut, plans would double each time
         if steps is None:
             moved = new.withColumnRenamed("s", "t").join(now, "team").agg(F.max(F.abs(F.col("t") - F.col("s")))).first()[0]
             if moved is None or moved < tolerance:
@@ -57,7 +55,7 @@ def relaxed(initial: DataFrame, edge: DataFrame, steps: int | None = None, most:
     return z.select("team", F.coalesce(F.try_divide(F.col("s") - F.col("m"), F.col("d")), F.lit(0.0)).alias("sos_score"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; without one the lineage stays."""
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in spark.checkpoint.dir; without one the rows are cached and the lineage stays."""
     configured = df.sparkSession.sparkContext.getCheckpointDir()
     return df.checkpoint() if configured else df.persist()
