@@ -196,22 +196,28 @@ def state(c: Column) -> Column:
 def club(c: Column, year: Column, sex: Column, mark: Column, trainer: Column) -> Column:
     """What is left of the name without the other fields."""
     word = lambda w: F.concat(F.lit(r"\b"), F.regexp_replace(w, r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\\\$1"), F.lit(r"\b"))
-    drop = lambda s, w, when: F.when(when, F.trim(F.regexp_replace(s, word(w), F.lit("")))).otherwise(s)
-    s = drop(c, year, year != "")
-    s = drop(s, F.substring(year, 3, 2), F.length(year) == 4)
-    for name, terms in (("boys", ("boys", "b", "male", "m")), ("girls", ("girls", "g", "female", "f"))):
-        for t in terms:
-            s = F.when(sex == name, F.trim(F.regexp_replace(s, rf"\b{t}\b", ""))).otherwise(s)
-    s = drop(s, mark, mark != "")
-    s = drop(s, trainer, trainer != "")
+    drop = lambda s, pattern, when: F.trim(F.regexp_replace(s, F.when(when, pattern).otherwise(F.lit("(?!)")), F.lit("")))  # noqa: E731  names s once, else the tree doubles with every step
+    s = drop(c, word(year), year != "")
+    s = drop(s, word(F.substring(year, 3, 2)), F.length(year) == 4)
+    for name, terms in (("boys", "boys|b|male|m"), ("girls", "girls|g|female|f")):
+        s = drop(s, F.lit(rf"\b(?:{terms})\b"), sex == name)
+    s = drop(s, word(mark), mark != "")
+    s = drop(s, word(trainer), trainer != "")
     return _squeezed(F.regexp_replace(s, r"\bu\d{1,2}\b", ""))
 
 
 def parsed(c: str, season: int = 2026) -> Column:
     """Struct of the fields of a name. The name is read in lower case, so that gender marks are still there."""
-    low = _squeezed(F.lower(_text(c)))
-    y, g, d, t, s = birth_year(low, season), gender(low), designation(low), coach(low), state(low)
-    return F.struct(club(low, y, g, d, t).alias("club"), y.alias("birth_year"), g.alias("gender"), d.alias("designation"), t.alias("coach"), s.alias("state"), F.col(c).alias("original"), low.alias("normalized"))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  computes a value once for all its uses
+
+    def fields(low: Column) -> Column:
+        return F.struct(birth_year(low, season).alias("y"), gender(low).alias("g"), designation(low).alias("d"), coach(low).alias("t"), state(low).alias("s"), low.alias("low"))
+
+    def assembled(p: Column) -> Column:
+        y, g, d, t, low = (p[k] for k in ("y", "g", "d", "t", "low"))
+        return F.struct(club(low, y, g, d, t).alias("club"), y.alias("birth_year"), g.alias("gender"), d.alias("designation"), t.alias("coach"), p["s"].alias("state"), F.col(c).alias("original"), low.alias("normalized"))
+
+    return bound(bound(_squeezed(F.lower(_text(c))), fields), assembled)
 
 
 def team_id(division: Column | str, canonical: str) -> Column:
