@@ -116,7 +116,7 @@ def matcher_club(c: Column) -> Column:
     for suffix in CLUB_SUFFIXES:
         s = F.trim(F.regexp_replace(s, f" {suffix}$", ""))
     for prefix in ("the ", "fc ", "sc "):
-        s = F.when(s.startswith(prefix), F.trim(F.substring(s, len(prefix) + 1, 1 << 20))).otherwise(s)
+        s = F.trim(F.regexp_replace(s, f"^{prefix}", ""))
     return _squeezed(F.regexp_replace(s, r"[^\w\s]", ""))
 
 

@@ -24,9 +24,8 @@ def best(df: DataFrame, key: str, score: str, order: str, k: int = 1) -> DataFra
     return df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
 
 
-def similarity_gate(a: Column, b: Column, ratio: Column) -> Column:
-    """Score of two parsed names, 0 where a rule rejects them; ``ratio`` is the block ratio of their normalised clubs."""
-    x, y = N.matcher_club(a["club"]), N.matcher_club(b["club"])
+def similarity_gate(a: Column, b: Column, x: Column, y: Column, ratio: Column) -> Column:
+    """Score of two parsed names, 0 where a rule rejects them; x and y are their normalised clubs, ``ratio`` the block ratio of these."""
     inside = F.contains(x, y) | F.contains(y, x)
     common = F.array_intersect(F.split(x, " "), F.split(y, " "))
     telling = F.size(F.filter(common, lambda w: (F.length(w) > 2) & ~w.isin(N.CLUB_SUFFIXES)))
@@ -50,12 +49,12 @@ def best_master(observed: DataFrame, master: DataFrame, threshold: float = 0.8,
 
     Birth year, gender and designation are the join keys, so only names that can match meet; the ratio UDF runs on those pairs.
     """
-    a = observed.select("name").where("name is not null").distinct().withColumn("a", N.parsed("name", season)).where("a.birth_year <> '' and a.gender <> ''")
-    b = master.where("name is not null").select(F.col("name").alias("match"), "ord").withColumn("b", N.parsed("match", season)).where("b.birth_year <> '' and b.gender <> ''")
+    a = observed.select("name").where("name is not null").distinct().withColumn("a", N.parsed("name", season)).withColumn("x", N.matcher_club(F.col("a.club"))).where("a.birth_year <> '' and a.gender <> ''")
+    b = master.where("name is not null").select(F.col("name").alias("match"), "ord").withColumn("b", N.parsed("match", season)).withColumn("y", N.matcher_club(F.col("b.club"))).where("b.birth_year <> '' and b.gender <> ''")
     on = (F.col("a.birth_year") == F.col("b.birth_year")) & (F.col("a.gender") == F.col("b.gender")) & (F.col("a.designation") == F.col("b.designation")) & (F.col("name") != F.col("match"))
     pairs = a.join(b, on)
-    ratio = M.block_ratio(N.matcher_club(F.col("a.club")), N.matcher_club(F.col("b.club")))
-    scored = pairs.withColumn("ratio", ratio).withColumn("score", similarity_gate(F.col("a"), F.col("b"), F.col("ratio"))).where(F.col("score") >= threshold)
+    gate = similarity_gate(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.col("ratio"))
+    scored = pairs.withColumn("ratio", M.block_ratio("x", "y")).withColumn("score", gate).where(F.col("score") >= threshold)
     return best(scored, "name", "score", "ord").select("name", "match", "score")
 
 

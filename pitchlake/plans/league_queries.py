@@ -98,7 +98,8 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(*names: str) -> list[Column]:
-    return [F.round(n, 6).alias(n) for n in names]
+    """Rounded as binary doubles: a value just under a half in the seventh place goes down."""
+    return [(F.round(F.col(n) * 1e6) / 1e6).alias(n) for n in names]
 
 
 def _long(spark: SparkSession, sf_dir: str) -> tuple[league.League, DataFrame]:

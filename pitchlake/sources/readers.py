@@ -101,7 +101,7 @@ def distinct_names(games: DataFrame, a: str = "team_a", b: str = "team_b") -> Da
 
 def master_from_games(games: DataFrame, a: str = "team_a", b: str = "team_b") -> DataFrame:
     """Trimmed distinct names of both sides, sorted."""
-    return games.select(F.trim(F.explode(F.array(a, b)).cast("string")).alias("name")).where("name <> ''").distinct().orderBy("name")
+    return games.select(F.explode(F.array(F.col(a).cast("string"), F.col(b).cast("string"))).alias("name")).select(F.trim("name").alias("name")).where("name <> ''").distinct().orderBy("name")
 
 
 def states_of_files(df: DataFrame, pattern: str = r"_([A-Z]{2})\.csv$") -> DataFrame:
