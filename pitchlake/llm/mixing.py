@@ -89,6 +89,18 @@ def thresholds(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return stash(want.join(cut, "skey", "left").select("skey", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), F.coalesce(F.col("end.k"), F.col("from") - 1).alias("end_k"), F.coalesce(F.col("end.id"), F.lit((1 << 62))).alias("end_id")), "thresholds")
 
 
+def _drawn(docs: DataFrame, weight: Column | None, seed: int, **shares) -> DataFrame:
+    """``docs`` and, under names of their own, size, source_size, target and copies."""
+    sized = docs.withColumns({"_mix_s": _source_key(), "_mix_size": word_count(), "_mix_k": sampling_key(weight if weight is not None else quality_weight(), seed)})
+    rows = stash(sized.select(F.col("_mix_s").alias("skey"), F.col("_mix_k").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_mix_size").alias("size")), "mix-rows")
+    per = stash(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), "source-sizes")
+    cut = thresholds(rows, targets(per, **shares)).withColumnRenamed("skey", "s")
+    joined = sized.join(cut.select(*[F.col(c).alias(f"_mix_{c}") for c in cut.columns]), "_mix_s")
+    inside = (F.col("_mix_k") < F.col("_mix_end_k")) | ((F.col("_mix_k") == F.col("_mix_end_k")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))) <= F.col("_mix_end_id")))
+    copies = F.col("_mix_epochs") + F.coalesce(inside, F.lit(False)).cast("long")
+    return joined.withColumn("_mix_copies", copies).drop("_mix_s", "_mix_k", "_mix_epochs", "_mix_end_k", "_mix_end_id")
+
+
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, **shares) -> DataFrame:
     """Rows of ``docs`` with size (words), source_size, target and copies (how often the mix takes the document).
 
@@ -100,21 +112,14 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, **shares)
     documents are taken once for no words if its key order reaches them; an empty table gives an empty table. Extra
     columns are kept; names that the result adds replace columns of the same name.
     """
-    spare = "_mix_"
-    sized = docs.withColumns({f"{spare}s": _source_key(), f"{spare}n": word_count(), f"{spare}k": sampling_key(weight if weight is not None else quality_weight(), seed)})
-    rows = stash(sized.select(F.col(f"{spare}s").alias("skey"), F.col(f"{spare}k").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{spare}n").alias("size")), "mix-rows")
-    per = stash(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), "source-sizes")
-    cut = thresholds(rows, targets(per, **shares)).withColumnRenamed("skey", f"{spare}s")
-    joined = sized.drop("source_size", "target", "size", "copies").join(cut, f"{spare}s")
-    inside = (F.col(f"{spare}k") < F.col("end_k")) | ((F.col(f"{spare}k") == F.col("end_k")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))) <= F.col("end_id")))
-    copies = F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long")
-    return joined.withColumns({"size": F.col(f"{spare}n"), "copies": copies}).drop(f"{spare}s", f"{spare}n", f"{spare}k", "epochs", "end_k", "end_id")
+    added = ["size", "source_size", "target", "copies"]
+    return _drawn(docs, weight, seed, **shares).drop(*added).withColumnsRenamed({f"_mix_{c}": c for c in added})
 
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+def repeat_rows(docs: DataFrame, weight: Column | None = None, seed: int = 7, **shares) -> DataFrame:
     """The mix as rows: each document as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    taken = _drawn(docs, weight, seed, **shares).where("_mix_copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
