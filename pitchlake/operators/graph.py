@@ -41,4 +41,4 @@ def connectivity(pairs: DataFrame) -> DataFrame:
     """team, component_id (0, 1, ... by first appearance), component_size, degree."""
     found = components(pairs)
     ids = found.select("component").distinct().withColumn("component_id", F.row_number().over(Window.orderBy("component")) - 1)
-    return found.join(F.broadcast(ids), "component").join(degrees(pairs), "team").select("team", "component_id", "component_size", "degree")
+    return found.join(ids, "component").join(degrees(pairs), "team").select("team", "component_id", "component_size", "degree")

@@ -39,7 +39,7 @@ def team_stats(long: DataFrame, teams: DataFrame, as_of: dt.datetime, days: int
     """The cross-age engine's metrics: the newest n games in the window, the total over all games, tiers of 15, 10 and 5 games."""
     mine = teams.select(F.col("team"), F.col("age").alias("age"), F.col("state").alias("state"))
     theirs = teams.select(F.col("team").alias("opponent"), F.col("age").alias("opponent_age"), F.col("state").alias("opponent_state"))
-    rows = recent(long, as_of, days, n).join(F.broadcast(mine), "team").join(F.broadcast(theirs), "opponent")
+    rows = recent(long, as_of, days, n).join(mine, "team").join(theirs, "opponent")
     win = F.when(F.col("result") == "W", 1.0).otherwise(0.0)
     tier = lambda a, b: F.coalesce(F.avg(F.when(F.col("rn").between(a, b), win)), F.lit(0.0))
     cross_age, cross_state = F.col("age") != F.col("opponent_age"), F.col("state") != F.col("opponent_state")
@@ -88,7 +88,7 @@ def adjusted_games(long: DataFrame, base: DataFrame, as_of: dt.datetime) -> Data
     me = power.select("team", F.col("off_norm").alias("t_off"))
     you = power.select(F.col("team").alias("opponent"), F.col("off_norm").alias("o_off"), F.col("opp_off"), F.col("opp_def"))
     rows = trailing(long, as_of, 365).withColumns({"games_ago": F.row_number().over(recency_window()) - 1, "games_used": F.count(F.lit(1)).over(Window.partitionBy("team"))})
-    rows = rows.join(F.broadcast(me), "team", "left").join(F.broadcast(you), "opponent", "left").crossJoin(F.broadcast(means))
+    rows = rows.join(me, "team", "left").join(you, "opponent", "left").crossJoin(F.broadcast(means))
     od, oo = F.coalesce("opp_def", "m_def"), F.coalesce("opp_off", "m_off")
     t_off = F.coalesce("t_off", F.lit(0.5))
     k = S.adaptive_multiplier(t_off, F.coalesce("o_off", F.lit(0.5)), F.col("games_used"))
@@ -122,7 +122,7 @@ def enriched_history(long: DataFrame, as_of: dt.datetime) -> DataFrame:
     me = power.select("team", "off_strength")
     you = power.select(F.col("team").alias("opponent"), F.col("def_strength").alias("opp_def"), F.col("base_strength").alias("opponent_base_strength"))
     mean = power.agg(F.avg("off_strength").alias("m_off"), F.avg("def_strength").alias("m_def"))
-    rows = rows.join(F.broadcast(me), "team", "left").join(F.broadcast(you), "opponent", "left").crossJoin(F.broadcast(mean))
+    rows = rows.join(me, "team", "left").join(you, "opponent", "left").crossJoin(F.broadcast(mean))
     rows = rows.withColumn("expected_gd", F.coalesce("off_strength", "m_off") - F.coalesce("opp_def", "m_def"))
     rows = rows.withColumns({"gd_delta": F.col("gf") - F.col("ga") - F.col("expected_gd"), "opponent_base_strength": F.coalesce("opponent_base_strength", F.lit(0.5))})
     return rows.select("team", "opponent", "date", "gf", "ga", "opponent_base_strength", "expected_gd", "gd_delta")
@@ -132,7 +132,7 @@ def performance_adjustment(rows: DataFrame, power: DataFrame) -> DataFrame:
     """team, adjustment: sum of learning rate times tanh of half the boosted shortfall, streaks counted over known opponents. power: team, power_score, games_played."""
     me = power.select("team", F.col("power_score").alias("p"), F.col("games_played").alias("gp"))
     you = power.select(F.col("team").alias("opponent"), F.col("power_score").alias("q"))
-    known = rows.join(F.broadcast(me), "team").join(F.broadcast(you), "opponent").withColumn("delta", S.capped_margin() - 6 * (F.col("p") - F.col("q")))
+    known = rows.join(me, "team").join(you, "opponent").withColumn("delta", S.capped_margin() - 6 * (F.col("p") - F.col("q")))
     order = [F.col("date"), F.col("game_id"), F.col("opponent").desc(), F.col("gf").desc(), F.col("ga").desc()]
     running = Window.partitionBy("team").orderBy(*order)
     known = known.withColumn("island", F.sum(F.when(F.col("delta") >= 0, 1).otherwise(0)).over(running.rowsBetween(Window.unboundedPreceding, 0)))

@@ -14,14 +14,14 @@ def opponent_mean(rows: DataFrame, strength: DataFrame) -> DataFrame:
     """team, sos_raw: mean strength of recent opponents; unknown ones count the median. strength: team, strength."""
     median = strength.agg(F.percentile("strength", F.lit(0.5)).alias("median"))
     known = strength.select(F.col("team").alias("opponent"), "strength")
-    joined = rows.join(F.broadcast(known), "opponent", "left").crossJoin(F.broadcast(median))
+    joined = rows.join(known, "opponent", "left").crossJoin(F.broadcast(median))
     return joined.groupBy("team").agg(F.avg(F.coalesce("strength", "median")).alias("sos_raw"))
 
 
 def edges(rows: DataFrame, teams: DataFrame) -> DataFrame:
     """team, opponent, cross_age, w: weights of the recent games, summed per pair so that a step sees each pair once."""
     mine, theirs = teams.select("team", F.col("age").alias("a")), teams.select(F.col("team").alias("opponent"), F.col("age").alias("b"))
-    joined = rows.join(F.broadcast(mine), "team").join(F.broadcast(theirs), "opponent")
+    joined = rows.join(mine, "team").join(theirs, "opponent")
     return joined.groupBy("team", "opponent", (F.col("a") != F.col("b")).alias("cross_age")).agg(F.sum(S.result_weight()).alias("w"))
 
 

@@ -117,7 +117,7 @@ def _recent(spark: SparkSession, sf_dir: str) -> tuple[league.League, DataFrame]
 select row_number() over (order by win_pct desc, goal_diff desc, t.team) as rank, t.team, name, games_played, wins, losses, ties, goals_for, goals_against, goal_diff, round(win_pct, 6) as win_pct from t join teams using (team)""")
 def rank_by_record(spark, sf_dir):
     lg, recent = _recent(spark, sf_dir)
-    table = ratings.ranked(ratings.record(recent), [F.desc("win_pct"), F.desc("goal_diff"), F.col("team")]).join(F.broadcast(lg.teams.select("team", "name")), "team")
+    table = ratings.ranked(ratings.record(recent), [F.desc("win_pct"), F.desc("goal_diff"), F.col("team")]).join(lg.teams.select("team", "name"), "team")
     return table.select(F.col("rank").cast("long").alias("rank"), "team", "name", "games_played", "wins", "losses", "ties", "goals_for", "goals_against", "goal_diff", *r6("win_pct"))
 
 
@@ -151,7 +151,7 @@ select distinct game_id, date, team_a, team_b, score_a, score_b, event, age from
 def age_group_games(spark, sf_dir):
     lg = league.load(spark, sf_dir)
     ages = lg.teams.select(F.col("team").alias("team_a"), "age")
-    g = lg.games.join(F.broadcast(ages), "team_a").select("game_id", "date", "team_a", "team_b", "score_a", "score_b", "event", "age")
+    g = lg.games.join(ages, "team_a").select("game_id", "date", "team_a", "team_b", "score_a", "score_b", "event", "age")
     return reshape.age_group_games(g, lg.teams.where("age = 'U10'"), lg.teams.where("state is not null"), "U10")
 
 
@@ -348,7 +348,7 @@ def rank_national(spark, sf_dir):
 @query("rank_state", BASE + STATS + SOS + POWER + "select power.team, state, row_number() over (partition by state order by round(power_score_adj, 6) desc, power.team) as state_rank from power join teams using (team)")
 def rank_state(spark, sf_dir):
     lg, _, power = _power(spark, sf_dir)
-    rows = power.select("team", *r6("power_score_adj")).join(F.broadcast(lg.teams.select("team", "state")), "team")
+    rows = power.select("team", *r6("power_score_adj")).join(lg.teams.select("team", "state"), "team")
     return ratings.ranked(rows, [F.desc("power_score_adj"), F.col("team")], "state_rank", ["state"]).select("team", "state", F.col("state_rank").cast("long").alias("state_rank"))
 
 
@@ -377,7 +377,7 @@ def power_e1(spark, sf_dir):
 
 def _division_games(lg):
     ages = lg.teams.select(F.col("team").alias("team_a"), F.col("age").alias("division"))
-    return reshape.trailing(lg.games, lg.as_of, 365).join(F.broadcast(ages), "team_a")
+    return reshape.trailing(lg.games, lg.as_of, 365).join(ages, "team_a")
 
 
 @query("elo_sequential")
@@ -435,14 +435,14 @@ def connectivity_report(spark, sf_dir):
 def semi_join_master(spark, sf_dir):
     lg = league.load(spark, sf_dir)
     m = lg.teams.where("age = 'U10'").select(F.col("team").alias("team_a"))
-    return lg.games.join(F.broadcast(m), "team_a", "left_semi").groupBy("team_a").agg(F.count("*").alias("n"))
+    return lg.games.join(m, "team_a", "left_semi").groupBy("team_a").agg(F.count("*").alias("n"))
 
 
 @query("team_lookup", BASE + "select r.team, a.name, coalesce(b.state, 'unknown') as opponent_state, count(*) as n from rec r left join teams a on a.team = r.team left join (select * from teams where age = 'U11') b on b.team = r.opponent group by all")
 def team_lookup(spark, sf_dir):
     lg, recent = _recent(spark, sf_dir)
     b = lg.teams.where("age = 'U11'").select(F.col("team").alias("opponent"), F.col("state").alias("os"))
-    rows = recent.join(F.broadcast(lg.teams.select("team", "name")), "team", "left").join(F.broadcast(b), "opponent", "left")
+    rows = recent.join(lg.teams.select("team", "name"), "team", "left").join(b, "opponent", "left")
     return rows.groupBy("team", "name", F.coalesce("os", F.lit("unknown")).alias("opponent_state")).agg(F.count("*").alias("n"))
 
 
@@ -489,14 +489,14 @@ from games, today, teams a, teams b where date >= d - interval 30 day and a.team
 def national_format(spark, sf_dir):
     lg = league.load(spark, sf_dir)
     side = lambda s: lg.teams.select(F.col("team").alias(f"team_{s}"), F.col("state").alias(f"team_{s}_state"), F.col("age").alias(f"age_{s}"))
-    g = reshape.trailing(lg.games, lg.as_of, 30).join(F.broadcast(side("a")), "team_a").join(F.broadcast(side("b")), "team_b").withColumn("result_a", reshape.outcome("score_a", "score_b"))
+    g = reshape.trailing(lg.games, lg.as_of, 30).join(side("a"), "team_a").join(side("b"), "team_b").withColumn("result_a", reshape.outcome("score_a", "score_b"))
     number = F.row_number().over(Window.orderBy("game_id", "team_a", "team_b", "score_a", "score_b", "date")) - 1 + 1_000_000
     return g.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "team_a", "team_b", "team_a_state", "team_b_state", "score_a", "score_b", "result_a", reshape.invert_result("result_a").alias("result_b"), "event", F.lit("League").alias("competition"), F.col("age_a").alias("division"), (F.col("team_a_state") != F.col("team_b_state")).alias("cross_state"), number.cast("long").alias("match_id"))
 
 
 def _ratings_table(spark, sf_dir):
     lg, _, power = _power(spark, sf_dir)
-    return lg, power.join(F.broadcast(lg.teams), "team").withColumn("power_score", F.round("power_score", 6))
+    return lg, power.join(lg.teams, "team").withColumn("power_score", F.round("power_score", 6))
 
 
 API = BASE + STATS + SOS + POWER + """, rt as (select power.*, name, state, age, round(power_score, 6) * case when games_played >= 20 then 1.0::double when games_played >= 10 then 0.9::double else 0.75::double end as adj, last_game_date >= d - interval 180 day as fresh from power join teams using (team), today)
@@ -619,7 +619,7 @@ def advice_rules(spark, sf_dir):
 def cross_age_win_share(spark, sf_dir):
     lg = league.load(spark, sf_dir)
     age = lambda s: lg.teams.select(F.col("team").alias(f"team_{s}"), F.col("age").alias(f"age_{s}"))
-    g = lg.games.join(F.broadcast(age("a")), "team_a").join(F.broadcast(age("b")), "team_b").where("age_a <> age_b")
+    g = lg.games.join(age("a"), "team_a").join(age("b"), "team_b").where("age_a <> age_b")
     return g.groupBy(F.col("team_a").alias("team")).agg(F.round(F.avg(F.when(F.col("score_a") > F.col("score_b"), 1.0).otherwise(0.0)), 6).alias("share"), F.count("*").alias("n"))
 
 

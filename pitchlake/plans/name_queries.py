@@ -167,7 +167,7 @@ _ASCII = " where not regexp_matches(name, '[^\\x00-\\x7F]')"
 def alias_cache(spark, sf_dir):
     o = X.observed(spark).where(~F.col("name").rlike(r"[^\x00-\x7F]")).select("name", N.team_name("name").alias("key")).distinct()
     a = X.aliases(spark).select(N.team_name("alias_name").alias("key"), F.col("canonical_team_name").alias("canonical"), "confidence")
-    return o.join(F.broadcast(a), "key").select("name", "canonical", "confidence")
+    return o.join(a, "key").select("name", "canonical", "confidence")
 
 
 @query("alias_replace", f"with {X.ALIASES_SQL}, n as (select alias_name as name from aliases union all select canonical_team_name from aliases) select n.name as raw, coalesce(canonical_team_name, n.name) as name from n left join aliases on alias_name = n.name")
@@ -186,7 +186,7 @@ def anti_join_new(spark, sf_dir):
 @query("name_map_left", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, o as (select name, {CANON} as key from observed), m as (select name as canonical, {CANON} as key from master) select o.name, canonical from o left join m using (key)")
 def name_map_left(spark, sf_dir):
     o = X.observed(spark).select("name", N.canonical_name("name").alias("key"))
-    return o.join(F.broadcast(X.master(spark).select(F.col("name").alias("canonical"), N.canonical_name("name").alias("key"))), "key", "left").select("name", "canonical")
+    return o.join(X.master(spark).select(F.col("name").alias("canonical"), N.canonical_name("name").alias("key")), "key", "left").select("name", "canonical")
 
 
 @query("alignment", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, o as (select distinct {CANON} as key from observed), m as (select distinct {CANON} as key from master) select key, 'left' as side from o where key not in (select key from m) union all select key, 'right' from m where key not in (select key from o)")
@@ -254,7 +254,7 @@ def distinct_names(spark, sf_dir):
 
     lg = league.load(spark, sf_dir)
     ids = readers.distinct_names(lg.games).select(F.col("name").alias("team"))
-    return ids.join(F.broadcast(lg.teams), "team").select("name")
+    return ids.join(lg.teams, "team").select("name")
 
 
 @query("master_from_games", BASE + "select distinct team_a::varchar as name from games union select distinct team_b::varchar from games")
