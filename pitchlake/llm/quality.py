@@ -71,8 +71,8 @@ def traits(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     again = np.zeros(len(token), bool)
     again[1:] = (token[1:] == token[:-1]) & (row[1:] == row[:-1])
     shingle = token.copy()
-    for k in (1, 2):
-        shingle[k:] = shingle[k:] * np.uint64(0x9E3779B97F4A7C15) + token[:-k]
+    for k in (1, 2):  # only tokens of the same row: a vote must not depend on the document before
+        shingle[k:] = shingle[k:] * np.uint64(0x9E3779B97F4A7C15) + np.where(row[k:] == row[:-k], token[:-k], np.uint64(0))
     distinct = words.by_row(words.mix(shingle), n_tokens)[2]
     size = token_end - token_start
     bar = (size == 1) & (data[token_start] == ord("|")) if len(token_start) else np.zeros(0, bool)

@@ -74,29 +74,31 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none, 4).count() == 0
 
 
-def jaccard(a, b, frequent):
-    """Weighted Jaccard similarity of five-word shingles with the module's idf."""
-    keys, idf = frequent
-    bag = []
-    for t in (a, b):
-        import pyarrow as pa
-
-        weights = {}
-        for _, h, n in near_dup.words.shingles(pa.array([t]), 5):
-            u, tf, _ = near_dup.words.by_row(h, n)
-            weights |= dict(zip(u.tolist(), (tf * near_dup._idf_of(u, keys, idf)).tolist(), strict=True))
-        bag.append(weights)
-    x, y = bag
-    top = sum(max(x.get(k, 0), y.get(k, 0)) for k in {*x, *y})
-    return sum(min(x[k], y[k]) for k in {*x} & {*y}) / top if top else 0.0
+def shingle_bag(text):
+    w = re.findall(r"\w+", (text or "").lower())
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def near_classes(texts):
+    """Class of each id by the definition: weighted Jaccard of tf * idf five-word shingles of all pairs, then components."""
+    bags = {i: shingle_bag(t) for i, t in texts.items()}
+    df = Counter(s for b in bags.values() for s in b)
+    least = max(1, math.ceil(len(texts) / 256))
+    idf = {s: min(1.0, max(0.75, math.log(len(texts) / n) / math.log(256))) if n >= least else 1.0 for s, n in df.items()}
+    total = {i: sum(n * idf[s] for s, n in b.items()) for i, b in bags.items()}
+    links = []
+    for a in texts:
+        for b in texts:
+            if a < b and texts[a] is not None and texts[b] is not None:
+                both = sum(min(n, bags[b][s]) * idf[s] for s, n in bags[a].items() if s in bags[b])
+                top = total[a] + total[b] - both
+                if texts[a] == texts[b] or top and both >= 0.8 * top:
+                    links.append((a, b))
+    return union_find(sorted(texts), links)
 
 
 def test_near_duplicates(docs, none):
-    frequent = near_dup.document_frequencies(docs.select("doc_id", "text"), 5, 0.75)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    ids = sorted(texts)
-    links = [(a, b) for a in ids for b in ids if a < b and texts[a] is not None and texts[b] is not None and (texts[a] == texts[b] or jaccard(texts[a], texts[b], frequent) >= 0.8)]
-    want = union_find(ids, links)
+    want = near_classes({r.doc_id: r.text for r in docs.collect()})
     got = near_dup.near_duplicates(docs).collect()
     assert {r.doc_id: r.class_id for r in got} == want
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
@@ -196,6 +198,17 @@ def test_quality(spark, none):
     assert quality.score(none).count() == 0
 
 
+def test_votes_do_not_depend_on_other_documents():
+    import pyarrow as pa
+
+    def vote(texts):
+        return [v.tolist() for _, _, data, offsets in quality.words.text_slices(pa.array(texts)) for v in np.column_stack(quality.traits(data, offsets)[:2])]
+
+    rng = random.Random(9)
+    texts = [prose(rng, 12), "a b a b a b", "", "!", "a b a b a b", prose(rng, 3), " ", "one"]
+    assert vote(texts) == [vote([t])[0] for t in texts]
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, []), (50, [0.0] * 8)]
