@@ -2,10 +2,14 @@
 
 A text is cut into sentences; every run of ``sentences`` consecutive ones is hashed over its words. A run of fewer than
 ``least_words`` words is lengthened until it has them, once to the right and once to the left, so that short sentences
-at either end of a repeated passage are covered too. The hashes of all documents are joined globally by one
+at either end of a repeated passage are covered too; a run of fewer sentences is hashed as well, both ways, once it has
+``window`` words. A passage without sentence marks, or cut inside its sentences, is found by word windows: of the runs
+of ``window`` words that start at ``window`` places in a row the one with the least hash is taken (Schleimer et al.
+2003, "Winnowing"), so that any two copies of 2 * window - 1 words have a window in common, windows of a long copy leave
+no gap, and less than a window is left of it at either end. The hashes of all documents are joined globally by one
 range sort on (hash, document): equal hashes lie side by side, even those of a span that a third of all documents
 share, because the range may be cut between its documents. Every occurrence but the first (smallest document, then
-smallest place) is a repeat, and the sentences it covers are removed.
+smallest place) is a repeat, and the sentences or words it covers are removed.
 """
 
 from __future__ import annotations
@@ -52,7 +56,35 @@ def sentence_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(head[new & (head > 0)], offsets[:-1][np.diff(offsets) > 0])
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, least_words: int) -> tuple[np.ndarray, ...]:
+def _running(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``f`` over each run of ``width`` values."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = f(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def windows(prefix: np.ndarray, down: np.ndarray, row_stop: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows of ``size`` words that have the least hash of ``size`` windows in a row.
+
+    ``row_stop`` is the number of the word after the row's last, for each word. The ends of a row count as windows of the
+    largest hash, so rows do not touch each other.
+    """
+    n = len(row_stop)
+    if n < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(n - size + 1)
+    h = words.mix((prefix[at + size] - prefix[at]) * down[at] + np.uint64(size))
+    inside = at + size <= row_stop[at]
+    most = np.full(size - 1, np.iinfo(np.uint64).max, np.uint64)
+    least = _running(np.minimum, np.concatenate([most, np.where(inside, h, most[0]), most]), size)
+    taken = np.flatnonzero(inside & (_running(np.maximum, least, size) == h))
+    return taken, h[taken]
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, least_words: int, window: int) -> tuple[np.ndarray, ...]:
     """(row, first byte, last byte + 1, hash) of each span; bytes count from the start of the row."""
     low, w_start, w_end = words.word_spans(data, offsets)
     hashes = words.span_hashes(low, w_start, w_end)
@@ -72,23 +104,35 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, least_words: in
     right = end <= row_end
     left = (begin >= row_begin) & (begin >= 0)
     left[left] = end[begin[left]] != i[left] + 1  # else it is the same span
-    a = np.concatenate([i[right], begin[left]])
-    z = np.concatenate([end[right], i[left] + 1])
+    # the same for fewer sentences with more words
+    full_end = np.searchsorted(word_at, word_at[:-1] + window, "left")
+    full_begin = np.searchsorted(word_at, word_at[1:] - window, "right") - 1
+    full_right = (full_end < end) & (full_end <= row_end)
+    full_left = (full_begin > begin) & (full_begin >= row_begin)
+    full_left[full_left] = full_end[full_begin[full_left]] != i[full_left] + 1
+    a = np.concatenate([i[right], begin[left], i[full_right], full_begin[full_left]])
+    z = np.concatenate([end[right], i[left] + 1, full_end[full_right], i[full_left] + 1])
     wa, wz = word_at[a], word_at[z]
     h = words.mix((prefix[wz] - prefix[wa]) * down[wa] + (wz - wa).astype(np.uint64))
     base = offsets[row[a]] if len(a) else np.zeros(0, np.int64)
     stop = np.where(z == row_end[a], offsets[row[a] + 1], edge[z]) if len(a) else np.zeros(0, np.int64)
-    return row[a], edge[a] - base, stop - base, h
+    # windows of words, to the start of the next word or the end of the row
+    w_row = np.searchsorted(offsets, w_start, "right") - 1
+    row_stop = np.searchsorted(w_row, w_row, "right")
+    first, w_hash = windows(prefix, down, row_stop, window)
+    w_base = offsets[w_row[first]]
+    w_stop = np.where(first + window == row_stop[first], offsets[w_row[first] + 1], np.append(w_start, len(data))[first + window])
+    return np.concatenate([row[a], w_row[first]]), np.concatenate([edge[a] - base, w_start[first] - w_base]), np.concatenate([stop - base, w_stop - w_base]), np.concatenate([h, w_hash])
 
 
-def repeated_spans(docs: DataFrame, sentences: int, least_words: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, sentences: int, least_words: int, window: int) -> DataFrame:
     """(doc_id, first, last): byte ranges of every span that an earlier document, or an earlier place, has."""
 
     def hash_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for first, _, data, offsets in words.text_slices(b.column(1)):
-                row, a, z, h = spans(data, offsets, sentences, least_words)
+                row, a, z, h = spans(data, offsets, sentences, least_words, window)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[first + row], pa.int64()), "first": pa.array(a.astype(np.int32)), "size": pa.array((z - a).astype(np.int32))})
 
     shape = "h long, doc_id long, first int, size int"
@@ -133,17 +177,17 @@ def _cut(text: str | None, first: list[int] | None, last: list[int] | None) -> t
     return b"".join(kept).decode(), int((stop - begin).sum())
 
 
-def remove_repeats(docs: DataFrame, sentences: int = 3, least_words: int = 15) -> DataFrame:
-    """``docs`` with the repeated sentences taken out of ``text`` and a column removed_bytes.
+def remove_repeats(docs: DataFrame, sentences: int = 3, least_words: int = 15, window: int = 25) -> DataFrame:
+    """``docs`` with the repeated sentences and windows of words taken out of ``text`` and a column removed_bytes.
 
     Defined cases: documents are ordered by doc_id; rows that repeat a doc_id are one document, compared by place, and
     each row is cut alike if the texts are equal; a null text stays null; a null doc_id is neither compared nor cut; a
-    document whose sentences are all repeats keeps its row with an empty text; a text with fewer sentences than a span
-    or fewer words than ``least_words`` is left alone; an empty table gives an empty table; extra columns stay, a column
+    document whose sentences are all repeats keeps its row with an empty text; a text with fewer words than
+    ``least_words``, or than ``window`` if it has fewer sentences than a span, is left alone; an empty table gives an empty table; extra columns stay, a column
     removed_bytes is replaced.
     """
     spare = ["_cut_first", "_cut_last"]
-    ranges = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sentences, least_words)
+    ranges = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sentences, least_words, window)
     merged = ranges.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("r"))
     merged = merged.select(F.col("doc_id").alias("_cut_id"), F.col("r.first").alias(spare[0]), F.col("r.last").alias(spare[1]))
     names = [c for c in docs.columns if c != "removed_bytes"]

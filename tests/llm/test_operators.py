@@ -121,6 +121,20 @@ def test_substring_dedup(spark, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_few_sentences(spark):
+    rng = random.Random(12)
+    low = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    one, two, bare, halves = f"{low(60).capitalize()}.", f"{low(12).capitalize()}. {low(48).capitalize()}.", low(60), f"{low(30)}. {low(30).capitalize()}"
+    rows = [(k * 10 + i, f"{low(40)} {passage} {low(40)}") for k, passage in enumerate((one, two, bare, halves)) for i in range(3)]
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        before = " ".join(text.split()[:40])
+        assert got[i].startswith(before) and got[i].endswith(" ".join(text.split()[-40:]))
+        assert got[i] == text if i % 10 == 0 else len(got[i].split()) == 80 if i < 20 else len(got[i].split()) <= 80 + 2 * 24
+    again = substring_dedup.remove_repeats(spark.createDataFrame([(1, low(24) + "\n" + bare), (2, low(24)), (3, bare)], "doc_id long, text string"))
+    assert {r.doc_id: len(r.text.split()) for r in again.collect()} == {1: 84, 2: 24, 3: 0}
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
