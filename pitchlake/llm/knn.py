@@ -2,9 +2,10 @@
 
 1. A bounded number of pivots, rows with the smallest id hashes, cut the space into Voronoi cells. Queries and data
    go to the cell of their nearest pivot.
-2. Summaries: of each data cell its radius and the k + 1 smallest distances to its pivot; of each query cell its
-   radius and largest norm. With q = p + d and x = c + e, p and c pivots, the product q.x is at least
-   p.c - |d| |c| - |q| |e|: the (k + 1)-th largest of these bounds is a score that every query of the cell reaches.
+2. Summaries: of each data cell its radius and the k + 1 ids nearest to its pivot, an id at its nearest row; of each
+   query cell its radius and largest norm. With q = p + d and x = c + e, p and c pivots, the product q.x is at least
+   p.c - |d| |c| - |q| |e|. With one bound an id, its largest, the (k + 1)-th largest is a score that every query of
+   the cell reaches with k ids other than its own, however often an id is repeated.
 3. A row is sent to a query cell only if p.x + |d| |x|, the most that any query of the cell can score with it,
    reaches that bound; whole cells are tested first, with their radius. No row is left out by a guess.
 4. Each (query cell, block of its queries, block of rows) is solved by one matrix product; the best k of each block
@@ -86,14 +87,16 @@ def top_products(data: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int
     placed = stash(rows.mapInArrow(place, "vec_id long, cell long, away double, norm double"), "knn-cells")
     asked = stash(asks.mapInArrow(place, "vec_id long, cell long, away double, norm double"), "knn-query-cells")
     by_cell = Window.partitionBy("cell").orderBy("away")
-    nearest = placed.withColumn("nth", F.row_number().over(by_cell)).where(F.col("nth") <= k + 1).select("cell", "away").toPandas()
+    once = placed.groupBy("cell", "vec_id").agg(F.min("away").alias("away"))
+    nearest = once.withColumn("nth", F.row_number().over(by_cell)).where(F.col("nth") <= k + 1).select("cell", "vec_id", "away").toPandas()
     radius = placed.groupBy("cell").agg(F.max("away").alias("radius")).toPandas()
     groups = asked.groupBy("cell").agg(F.max("away").alias("reach"), F.max("norm").alias("norm"), F.count("*").alias("n")).toPandas()
 
     centre, slack = np.sqrt((pivots * pivots).sum(axis=1)), 1e-6
     bound = np.full(len(pivots), np.inf)
     for g in groups.itertuples():
-        least = pivots[g.cell] @ pivots[nearest.cell].T - g.reach * centre[nearest.cell] - g.norm * nearest.away.to_numpy()
+        least = pd.Series(pivots[g.cell] @ pivots[nearest.cell].T - g.reach * centre[nearest.cell] - g.norm * nearest.away.to_numpy())
+        least = least.groupby(nearest.vec_id).max().to_numpy()
         bound[g.cell] = np.sort(least)[::-1][k] if len(least) > k else -np.inf
     reach = np.zeros(len(pivots))
     reach[groups.cell], most = groups.reach, np.zeros(len(pivots))

@@ -239,6 +239,16 @@ def test_top_products(spark):
     assert knn.top_products(empty, empty).count() == 0
 
 
+def test_top_products_of_a_repeated_id(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(40)] + [(50, [9.0] * 8)] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in knn.top_products(df, spark.createDataFrame(rows[-1:], df.schema), n_pivots=len(rows)).orderBy("rank").collect()]
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    best = sorted((-int(x[-1] @ y), i) for (i, _), y in zip(rows, x, strict=True) if i != 50)[:5]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((60, 16))
