@@ -2,10 +2,12 @@
 
 The standard library's parser reports events; a page becomes lines, one per block element's text, each with its tags
 and its ancestors. The ratio of text to tags of the lines is smoothed by a Gaussian and split into two clusters. The
-content region is the deepest element that holds most of the text of the lines in the upper cluster, and the article
-is all lines of that region: a short paragraph of an article has a low ratio, and would be lost if lines were taken
+content region is the deepest article or main element that holds most of the text of the lines in the upper cluster, or
+else the deepest element that holds all of it, and the article is all lines of that region: a short paragraph of an article has a low ratio, and would be lost if lines were taken
 one by one. Parts that are no article by their element, role or class (menus, headers, footers, notices, adverts,
-forms, comments, ...) are left out whatever their ratio, unless nothing else has text.
+forms, comments, ...) are left out whatever their ratio, unless nothing else has text. The name of a wrapper, or a form,
+does not count for an article or main element inside it; one inside a part named for comments, teasers or the like, or
+inside an element that is no article, counts if the page has no other.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ BOILERPLATE = re.compile(
     re.I,
 )
 KEPT = {"html", "body", "main", "article"}
+HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+#: Names of parts whose articles are no article of the page: comments, teasers, adverts.
+ASIDE = re.compile(r"comment|repl|respond|disqus|discussion|sidebar|(?:^|[\s_-])ads?(?:$|[\s_-])|advert|promo|sponsor|related|recommend|more-stories|widget|popup|modal|overlay|newsletter|cookie|consent", re.I)
+#: Names that say what a layout has, not what it is.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no)[-_](?:(?:left|right|both)[-_])?[a-z]+", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACES = re.compile(r"\s+")
 #: Heads and bodies of the article itself, whatever their names hold.
@@ -45,17 +52,21 @@ OWN = re.compile(r"(?:article|entry|post|story|content|main|page)[-_]?(?:header|
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path of open element numbers, outside) for each block."""
+    """Collects (text, tags, path of open element numbers, outside) for each block.
+
+    ``outside`` is 0 for parts of an article, 1 for wrappers that give way to an article or main inside them, 2 for parts
+    that do so only if there is no other, 3 for an article or main in such a part, and 4 for hidden parts.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, outside, raw
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.open: list[tuple[str, int, int, bool]] = []  # name, number, outside, raw
         self.names: list[str] = []
         self.parts: list[str] = []
         self.tags = 0
         self.path: tuple[int, ...] = ()
-        self.outside = self.raw = False
+        self.outside, self.raw = 0, False
 
     def line(self) -> None:
         if self.parts:
@@ -67,10 +78,12 @@ class _Lines(HTMLParser):
 
     def _restore(self) -> None:
         self.path = tuple(n for _, n, _, _ in self.open)
-        self.outside, self.raw = self.open[-1][2:] if self.open else (False, False)
+        self.outside, self.raw = self.open[-1][2:] if self.open else (0, False)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if tag == "body" or (tag not in HEAD and self.open and self.open[-1][0] == "head"):
+            self._close("head")  # its end tag may be left out
         if tag in ("br", "wbr"):
             self.parts.append(" " if tag == "br" else "")
             return
@@ -82,15 +95,27 @@ class _Lines(HTMLParser):
             self._close("p")
         elif tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
             self._close(self.open[-1][0])
-        outside = self.outside or tag in OUTSIDE
-        if not outside and attrs and tag not in ("html", "body"):
+        outside = self.outside
+        if tag in ("article", "main") and outside in (1, 2):
+            outside = 0 if outside == 1 else 3
+        inside = outside in (0, 3)
+        if tag in OUTSIDE:
+            outside = max(outside, 1 if tag in ("form", "fieldset") and inside else 2) if outside != 3 else 2
+        if attrs and tag not in ("html", "body"):
             a = dict(attrs)
             named = OWN.sub("", f"{a.get('class') or ''} {a.get('id') or ''}")
             role = (a.get("role") or "").lower()
-            hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-            outside = role in ROLES or hidden or bool(named.strip() and BOILERPLATE.search(named) and (tag not in KEPT or re.search(r"comment|repl|sidebar|(?:^|[\s_-])ads?(?:$|[\s_-])|promo|sponsor|related", named, re.I)))
+            if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
+                outside = 4
+            elif outside in (0, 1, 3):
+                if role in ROLES - {"form"}:
+                    outside = 2
+                elif named.strip() and BOILERPLATE.search(named) and (tag not in KEPT or re.search(r"comment|repl|sidebar|(?:^|[\s_-])ads?(?:$|[\s_-])|promo|sponsor|related", LAYOUT.sub("", named), re.I)):
+                    outside = 2 if ASIDE.search(LAYOUT.sub("", named)) or outside == 3 else 1
+                elif role == "form":
+                    outside = 2 if outside == 3 else 1
         if tag == "header" and not self.outside and any(n in ("article", "main") for n, *_ in self.open) and not dict(attrs).get("role"):
-            outside = self.outside or bool(BOILERPLATE.search(f"{dict(attrs).get('class') or ''}".replace("header", "")))
+            outside = 2 if BOILERPLATE.search(f"{dict(attrs).get('class') or ''}".replace("header", "")) else 0
         self.open.append((tag, len(self.names), outside, self.raw or tag in RAW))
         self.names.append(tag)
         self._restore()
@@ -117,6 +142,8 @@ class _Lines(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close("head")
         if not self.raw:
             self.parts.append(data)
 
@@ -124,7 +151,7 @@ class _Lines(HTMLParser):
         pass
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], bool]], list[str]]:
+def page_lines(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], int]], list[str]]:
     """Lines of a page and the names of its elements by number. Sections that the parser refuses are skipped."""
     p = _Lines()
     try:
@@ -164,23 +191,28 @@ def main_text(html: str | None, sigma: float = 1.0, most: float = 0.8) -> str:
     if not html:
         return ""
     every, names = page_lines(html)
-    lines = [x for x in every if not x[3]] or every
+    lines = [x for x in every if not x[3]]
+    if not any(names[e] in ("article", "main") for x in lines for e in x[2]):
+        lines = [x for x in every if x[3] in (0, 3)]
+    lines = lines or every
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     ratio = smoothed(size / np.maximum([x[1] for x in lines], 1), sigma)
     upper = content_cluster(ratio)
     held: dict[int, float] = {}
+    often: dict[int, int] = {}
     for (_, _, path, _), n, up in zip(lines, size, upper, strict=True):
         if up:
             for e in path:
                 held[e] = held.get(e, 0.0) + n
+                often[e] = often.get(e, 0) + 1
     total = size[upper].sum()
-    region = [e for e, n in held.items() if n >= most * total and names[e] in ("article", "main", "section", "div", "td", "body")]
+    # numbers grow downwards, and elements that hold most of the text are nested
+    region = [e for e, n in held.items() if n >= most * total and names[e] in ("article", "main")]
+    region = region or [e for e, n in often.items() if n == upper.sum() and names[e] in ("section", "div", "td", "body")]
     if region:
-        inner = max(region)  # numbers grow downwards, and elements that hold most of the text are nested
-        article = [e for e in region if names[e] in ("article", "main")]
-        inner = max(article) if article else inner
+        inner = max(region)
         lines = [x for x in lines if inner in x[2]]
     return "\n".join(x[0] for x in lines)
 

@@ -272,6 +272,23 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("plain  text <") .startswith("plain text")
 
 
+def test_html_of_open_head_wrappers_and_sibling_parts():
+    say = lambda k: f"Paragraph {k} of the article says enough to be taken for the text of a page, and not for its menu."
+    p = lambda *ks: "".join(f"<p>{say(k)}</p>" for k in ks)
+    want = lambda *ks: "\n".join(say(k) for k in ks)
+    menu = "<ul class=nav><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    for start in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title><style>p{}</style>", "<head><noscript><img src=x></noscript></head><body>"):
+        assert html_text.main_text(f"{start}<article>{p(1, 2)}</article>") == want(1, 2)
+    assert html_text.main_text("<head><title>T</title>Bare text.") == "Bare text."
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class='search-results'>", "<form id=aspnet>", "<div class='sidebar'>", "<div class=ad><div>"):
+        page = f"<body>{menu}<div>Note that is here.</div>{wrapper}<article>{p(1, 2)}<div class=share>Share</div></article></div></form><p>More at the end.</p></body>"
+        assert html_text.main_text(page) == want(1, 2), wrapper
+    links = "<ul>" + "<li><a href=x>Home</a></li>" * 20 + "</ul>"
+    teasers = f"<div class=related><article>{p(8)}</article></div><aside><article>{p(9)}</article></aside><div hidden><main>{p(7)}</main></div>"
+    assert html_text.main_text(f"<body><div class='page search'><main>{p(1, 2)}</main></div>{teasers}</body>") == want(1, 2)
+    assert html_text.main_text(f"<body>{links}<div id=a><div>{p(1, 2)}</div><div>{p(*range(3, 19))}</div><div>{p(19, 20)}</div></div></body>") == want(*range(1, 21))
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/ b", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (5, "u", "x" * 200_000), (None, "u", "<p>é</p>")]
     archives = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
