@@ -377,19 +377,19 @@ def power_e1(spark, sf_dir):
 
 def _division_games(lg):
     ages = lg.teams.select(F.col("team").alias("team_a"), F.col("age").alias("division"))
-    return reshape.trailing(lg.games, lg.as_of, 365).join(ages, "team_a")
+    return lg.games.join(ages, "team_a")
 
 
 @query("elo_sequential")
 def elo_sequential(spark, sf_dir):
-    return elo.sequential(_division_games(league.load(spark, sf_dir)), passes=2).select("division", "team", *r6("rating"))
+    return elo.sequential(_division_games(league.load(spark, sf_dir))).select("division", "team", *r6("rating"))
 
 
 @query("elo_schedule")
 def elo_schedule(spark, sf_dir):
     lg, long = _long(spark, sf_dir)
-    games = reshape.trailing(lg.games, lg.as_of, 365).withColumn("division", F.lit("all"))
-    return elo.schedule(reshape.trailing(long, lg.as_of, 365), elo.sequential(games, passes=2)).select("team", *r6("sos_iterative", "sos_norm"))
+    games = lg.games.withColumn("division", F.lit("all"))
+    return elo.schedule(long, elo.sequential(games)).select("team", *r6("sos_iterative", "sos_norm"))
 
 
 _ELO = ", g as (select team_a, team_b, score_a - score_b as gd from games, today where date >= d - interval 365 day), r0 as (select distinct team, 1500.0::double as r from (select team_a as team from g union all select team_b from g))" + "".join(
