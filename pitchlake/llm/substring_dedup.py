@@ -76,7 +76,7 @@ def windows(prefix: np.ndarray, down: np.ndarray, row_stop: np.ndarray, size: in
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - size + 1)
-    h = words.mix((prefix[at + size] - prefix[at]) * down[at] + np.uint64(size))
+    h = words.mix((prefix[at + size] - prefix[at]) * down[at] + ~np.uint64(size))  # never the hash of a sentence span at the same place
     inside = at + size <= row_stop[at]
     most = np.full(size - 1, np.iinfo(np.uint64).max, np.uint64)
     least = _running(np.minimum, np.concatenate([most, np.where(inside, h, most[0]), most]), size)
