@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders that this process has written by ``stash``, the oldest first.
+_stashes: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local master may do without and gets a temporary one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pitchlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,15 +37,26 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path)
+    _stashes.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def stashed() -> int:
+    """How many folders ``stash`` has written; a mark for ``forget``."""
+    return len(_stashes)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def forget(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Delete the folders that ``stash`` wrote after the mark, but the last ones; DataFrames that read them end here."""
+    gone = _stashes[since : len(_stashes) - but_last]
+    del _stashes[since : len(_stashes) - but_last]
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

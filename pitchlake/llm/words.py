@@ -15,6 +15,9 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_103_515_245
+_prime_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,12 +42,53 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _geometric(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime, by doubling."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+        done += step
+    return out
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_prime_powers[0]) < n:
+        size = max(n, 1 << 20)
+        for i, b in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME)))):
+            _prime_powers[i] = _geometric(b, size)
+    return _prime_powers[0][:n], _prime_powers[1][:n]
+
+
+class Prefixes:
+    """Prefix sums over codes from which every span's hash follows: one modulo 2^64 and one modulo a prime.
+
+    Texts made for it can collide in the first (its low bits repeat), not in both.
+    """
+
+    def __init__(self, codes: np.ndarray) -> None:
+        n = len(codes) + 1
+        c = codes.astype(np.uint64)
+        up, self.down = powers(n)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((c + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        up, self.prime_down = prime_powers(n)
+        small = c if codes.dtype.itemsize < 4 else c % _PRIME
+        x = (small + np.uint64(1)) * up[:-1]
+        self.prime_sums = np.zeros(n, np.uint64)
+        np.cumsum((x & _PRIME) + (x >> np.uint64(31)), out=self.prime_sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        """Equal spans (with equal salts) get equal hashes wherever they lie."""
+        one = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        two = (self.prime_sums[ends] - self.prime_sums[starts]) % _PRIME * self.prime_down[starts] % _PRIME
+        return mix(one + two * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(salt).astype(np.uint64))
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash codes[s:e] for each span by one prefix sum; equal spans get equal hashes wherever they lie."""
-    up, down = powers(len(codes) + 1)
-    prefix = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+    """Hash codes[s:e] for each span by prefix sums."""
+    return Prefixes(codes).hashes(starts, ends)
 
 
 def text_slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
