@@ -59,6 +59,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """Join with a side that is broadcast only if it counts at most ``rows`` rows; give it narrow and stashed."""
+    return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Cut a stream of batches, sorted by ``keys``, into batches that hold whole groups only.
 
