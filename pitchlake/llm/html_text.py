@@ -1,20 +1,25 @@
 """Main text of HTML pages by text-to-tag ratios (Weninger et al. 2010, CETR) over streaming parser events.
 
-The standard library's parser reports events; a page becomes lines, one per block element's text, each with its tags
-and its ancestors. The ratio of text to tags of the lines is smoothed by a Gaussian and split into two clusters. The
-content region is the deepest article or main element that holds most of the text of the lines in the upper cluster, or
-else the deepest element that holds all of it, and the article is all lines of that region: a short paragraph of an article has a low ratio, and would be lost if lines were taken
-one by one. Parts that are no article by their element, role or class (menus, headers, footers, notices, adverts,
-forms, comments, ...) are left out whatever their ratio, unless nothing else has text. The name of a wrapper, or a form,
-does not count for an article or main element inside it; one inside a part named for comments, teasers or the like, or
-inside an element that is no article, counts if the page has no other.
+The standard library's parser reports events; a page becomes lines, one per block element's text, each with its tags, the
+share of its text that is links, and its element. Parts that are no article by their element, role or class (menus,
+headers, footers, notices, adverts, forms, comments, ...) are left out. The name of a wrapper, or a form, does not count
+for an article or main element inside it; one inside a part named for comments, teasers or the like, or inside an element
+that is no article, counts if the page has no other.
+
+The ratio of text to tags of the remaining lines is smoothed by a Gaussian and split into two clusters by a threshold.
+The content region is the deepest article or main element that holds most of the text of the upper cluster, or else the
+deepest element that holds all of it. Within the region lines of the upper cluster are content. Lines of the lower one
+are too if they are text between such lines, or, where an article or main element marks the region, anywhere in it; where
+nothing marks it, at its ends only headings and paragraphs that are siblings of content. Lines of the lower cluster that
+are nothing but links (lists of links without a name) are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,113 +51,162 @@ ASIDE = re.compile(r"comment|repl|respond|disqus|discussion|sidebar|(?:^|[\s_-])
 #: Names that say what a layout has, not what it is.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no)[-_](?:(?:left|right|both)[-_])?[a-z]+", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that a block ends even if their end tag is missing.
+UNENDED = ("title", "textarea", "select", "option", "datalist")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose text stands beside that of their siblings.
+TEXT = HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "caption", "address", "summary"}
+NO_ARTICLE = re.compile(r"comment|repl|sidebar|(?:^|[\s_-])ads?(?:$|[\s_-])|promo|sponsor|related", re.I)
 SPACES = re.compile(r"\s+")
 #: Heads and bodies of the article itself, whatever their names hold.
 OWN = re.compile(r"(?:article|entry|post|story|content|main|page)[-_]?(?:header|head|title|heading|body|content|text|inner|wrap|wrapper|main)", re.I)
 
 
-class _Lines(HTMLParser):
-    """Collects (text, tags, path of open element numbers, outside) for each block.
+class Line(NamedTuple):
+    """``outside`` is 0 for parts of an article, 1 for wrappers that give way to an article or main inside them, 2 for parts
+    that do so only if there is no other, 3 for an article or main in such a part, and 4 for hidden parts."""
+
+    text: str
+    tags: int
+    linked: float
+    element: int
+    outside: int
+
+
+class _Open(NamedTuple):
+    name: str
+    block: int  # number of the nearest block element
+    outside: int
+    shut: bool  # its text is not shown
+    link: bool
 
-    ``outside`` is 0 for parts of an article, 1 for wrappers that give way to an article or main inside them, 2 for parts
-    that do so only if there is no other, 3 for an article or main in such a part, and 4 for hidden parts.
-    """
+
+class _Lines(HTMLParser):
+    """Collects a Line for each block. Elements are numbered as they open; work per event does not grow with the depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
-        self.open: list[tuple[str, int, int, bool]] = []  # name, number, outside, raw
-        self.names: list[str] = []
+        self.lines: list[Line] = []
+        self.open = [_Open("", 0, 0, False, False)]
+        self.often: dict[str, int] = {}  # open elements by name
+        self.names, self.parents = [""], [0]  # of block elements by number
         self.parts: list[str] = []
-        self.tags = 0
-        self.path: tuple[int, ...] = ()
-        self.outside, self.raw = 0, False
+        self.tags = self.inked = self.link_inked = 0
 
     def line(self) -> None:
         if self.parts:
             text = SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.path, self.outside))
+                top = self.open[-1]
+                self.lines.append(Line(text, self.tags, self.link_inked / max(1, self.inked), top.block, top.outside))
                 self.tags = 0
             self.parts = []
+            self.inked = self.link_inked = 0
 
-    def _restore(self) -> None:
-        self.path = tuple(n for _, n, _, _ in self.open)
-        self.outside, self.raw = self.open[-1][2:] if self.open else (0, False)
+    def _implied(self, tag: str) -> None:
+        """Close what a start tag ends without an end tag."""
+        if self.often.get("head") and tag not in HEAD:
+            self._close("head")
+        if tag in BLOCK:
+            for name in UNENDED:
+                if self.often.get(name):
+                    self._close(name)
+            if self.names[self.open[-1].block] == "p":
+                self._close("p")
+        elif tag in ("option", "optgroup") and self.open[-1].name == "option":
+            self._close("option")
+        if tag in CLOSES and self.names[self.open[-1].block] in CLOSES[tag]:
+            self._close(self.names[self.open[-1].block])
+
+    def _outside(self, tag: str, attrs: list, outside: int) -> int:
+        block = tag in BLOCK
+        in_article = outside == 0 and (self.often.get("article") or self.often.get("main"))
+        if tag in ("article", "main") and outside in (1, 2):
+            outside = 0 if outside == 1 else 3
+        inside = outside in (0, 3)
+        if tag in OUTSIDE and not (tag == "header" and in_article):
+            outside = max(outside, 1 if tag in ("form", "fieldset") and inside else 2) if outside != 3 else 2
+        if not attrs or tag in ("html", "body"):
+            return outside
+        a = dict(attrs)
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
+            return 4
+        if outside not in (0, 1, 3) or not block:  # the name of a word inside a paragraph says nothing of the paragraph
+            return outside
+        named, role = OWN.sub("", f"{a.get('class') or ''} {a.get('id') or ''}"), (a.get("role") or "").lower()
+        if tag == "header" and in_article:
+            named = re.sub("header", "", named, flags=re.I)
+        plain = LAYOUT.sub("", named)
+        if role in ROLES - {"form"}:
+            return 2
+        if named.strip() and BOILERPLATE.search(named) and (tag not in KEPT or NO_ARTICLE.search(plain)):
+            return 2 if ASIDE.search(plain) or outside == 3 else 1
+        if role == "form":
+            return 2 if outside == 3 else 1
+        return outside
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag == "body" or (tag not in HEAD and self.open and self.open[-1][0] == "head"):
-            self._close("head")  # its end tag may be left out
         if tag in ("br", "wbr"):
             self.parts.append(" " if tag == "br" else "")
             return
         if tag in BLOCK:
             self.line()
+        self._implied(tag)
         if tag in VOID:
             return
-        if tag in BLOCK and self.open and self.open[-1][0] == "p":
-            self._close("p")
-        elif tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
-            self._close(self.open[-1][0])
-        outside = self.outside
-        if tag in ("article", "main") and outside in (1, 2):
-            outside = 0 if outside == 1 else 3
-        inside = outside in (0, 3)
-        if tag in OUTSIDE:
-            outside = max(outside, 1 if tag in ("form", "fieldset") and inside else 2) if outside != 3 else 2
-        if attrs and tag not in ("html", "body"):
-            a = dict(attrs)
-            named = OWN.sub("", f"{a.get('class') or ''} {a.get('id') or ''}")
-            role = (a.get("role") or "").lower()
-            if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
-                outside = 4
-            elif outside in (0, 1, 3):
-                if role in ROLES - {"form"}:
-                    outside = 2
-                elif named.strip() and BOILERPLATE.search(named) and (tag not in KEPT or re.search(r"comment|repl|sidebar|(?:^|[\s_-])ads?(?:$|[\s_-])|promo|sponsor|related", LAYOUT.sub("", named), re.I)):
-                    outside = 2 if ASIDE.search(LAYOUT.sub("", named)) or outside == 3 else 1
-                elif role == "form":
-                    outside = 2 if outside == 3 else 1
-        if tag == "header" and not self.outside and any(n in ("article", "main") for n, *_ in self.open) and not dict(attrs).get("role"):
-            outside = 2 if BOILERPLATE.search(f"{dict(attrs).get('class') or ''}".replace("header", "")) else 0
-        self.open.append((tag, len(self.names), outside, self.raw or tag in RAW))
-        self.names.append(tag)
-        self._restore()
+        top = self.open[-1]
+        block = top.block
+        if tag in BLOCK:
+            self.names.append(tag)
+            self.parents.append(block)
+            block = len(self.names) - 1
+        self.open.append(_Open(tag, block, self._outside(tag, attrs, top.outside), top.shut or tag in RAW, top.link or tag == "a"))
+        self.often[tag] = self.often.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # HTML has no self-closing elements but the void ones
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                self._restore()
+        """Close the innermost open element of that name and what is open in it."""
+        if tag in BLOCK:
+            self.line()
+        while True:
+            gone = self.open.pop()
+            self.often[gone.name] -= 1
+            if gone.name == tag:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
-            return
-        if tag in BLOCK:
-            self.line()
-            self._close(tag)
-        elif any(n == tag for n, *_ in self.open[-12:]):
+        elif self.often.get(tag) and (tag in BLOCK or any(x.name == tag for x in self.open[-12:])):
             self._close(tag)
+        elif tag in BLOCK:
+            self.line()
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] == "head" and data.strip():
+        if self.often.get("head") and self.open[-1].name == "head" and data.strip():
             self._close("head")
-        if not self.raw:
-            self.parts.append(data)
+        top = self.open[-1]
+        if top.shut or top.name not in BLOCK and top.outside > 0 and self._block_outside() == 0:
+            return
+        self.parts.append(data)
+        size = len(data) - data.count(" ")
+        self.inked += size
+        self.link_inked += size if top.link else 0
+
+    def _block_outside(self) -> int:
+        """``outside`` of the nearest block element; inline elements nest a few deep at most where it matters."""
+        return next((x.outside for x in reversed(self.open[-12:]) if x.name in BLOCK or not x.name), 0)
 
     def unknown_decl(self, data: str) -> None:
         pass
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], int]], list[str]]:
-    """Lines of a page and the names of its elements by number. Sections that the parser refuses are skipped."""
+def page_lines(html: str) -> _Lines:
+    """The parser after the whole page. Sections that it refuses are skipped."""
     p = _Lines()
     try:
         p.feed(html)
@@ -162,7 +216,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], int]],
         p.feed(re.sub(r"<!\[[^>]*>", " ", html))
         p.close()
     p.line()
-    return p.lines, p.names
+    return p
 
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -186,43 +240,90 @@ def content_cluster(ratio: np.ndarray) -> np.ndarray:
     return ratio >= cut
 
 
-def main_text(html: str | None, sigma: float = 1.0, most: float = 0.8) -> str:
-    """Blocks of the article, joined by line feeds; empty if the page has no text."""
+def _inside(element: int, parents: list[int]) -> list[bool]:
+    """Which elements lie in ``element``, itself included: parents have smaller numbers."""
+    out = [False] * len(parents)
+    out[element] = True
+    for e in range(element + 1, len(parents)):
+        out[e] = out[parents[e]]
+    return out
+
+
+def _region(lines: list[Line], upper: np.ndarray, names: list[str], parents: list[int], most: float) -> tuple[int, bool]:
+    """(content region, whether an article or main element marks it)."""
+    held, often = [0] * len(names), [0] * len(names)
+    for x, up in zip(lines, upper, strict=True):
+        if up:
+            held[x.element] += len(x.text)
+            often[x.element] += 1
+    for e in range(len(names) - 1, 0, -1):
+        held[parents[e]] += held[e]
+        often[parents[e]] += often[e]
+    marked = max((e for e in range(1, len(names)) if names[e] in ("article", "main") and held[e] >= most * held[0] > 0), default=0)
+    return marked or max((e for e in range(1, len(names)) if names[e] in ("section", "div", "td", "body") and often[e] == often[0]), default=0), marked > 0
+
+
+def content_lines(lines: list[Line], upper: np.ndarray, sure: np.ndarray, names: list[str], parents: list[int], most: float = 0.8) -> list[Line]:
+    """The lines of the content region that are content; see the module's description.
+
+    ``sure`` are lines of the upper cluster by their own ratio and not only by that of their neighbours: a region that
+    nothing marks starts and ends with such lines.
+    """
+    region, marked = _region(lines, sure, names, parents, most)
+    inside = _inside(region, parents)
+    here = [(x, bool(up), bool(own)) for x, up, own in zip(lines, upper, sure, strict=True) if inside[x.element]]
+    high = [k for k, (_, _, own) in enumerate(here) if own]
+    if not high:
+        return []
+    links = [not up and x.linked > 0.9 for x, up, _ in here]
+    first, last = (0, len(here) - 1) if marked else (high[0], high[-1])
+    kept = [k for k in range(first, last + 1) if not links[k]]
+    home = lambda k: parents[here[k][0].element] if names[here[k][0].element] in TEXT else here[k][0].element  # noqa: E731  the element whose children the texts are
+
+    def joins(k: int, near: int) -> bool:
+        """The line is a paragraph or heading beside the content line; a heading may stand one element higher or lower."""
+        if links[k] or names[here[k][0].element] not in TEXT and home(k) != home(near):
+            return False
+        own = {home(k), parents[home(k)]} if names[here[k][0].element] in HEADINGS else {home(k)}
+        return bool(own & {home(near), parents[home(near)]}) if len(own) > 1 else home(k) == home(near)
+
+    while first > 0 and joins(first - 1, first):
+        first -= 1
+        kept.insert(0, first)
+    while last < len(here) - 1 and joins(last + 1, last):
+        last += 1
+        kept.append(last)
+    return [here[k][0] for k in kept]
+
+
+def main_text(html: str | None, sigma: float = 1.0, cluster: Callable[[np.ndarray], np.ndarray] = content_cluster) -> str:
+    """Blocks of the article, joined by line feeds; empty if nothing on the page is an article."""
     if not html:
         return ""
-    every, names = page_lines(html)
-    lines = [x for x in every if not x[3]]
-    if not any(names[e] in ("article", "main") for x in lines for e in x[2]):
-        lines = [x for x in every if x[3] in (0, 3)]
-    lines = lines or every
+    page = page_lines(html)
+    names, parents = page.names, page.parents
+    lines = [x for x in page.lines if not x.outside]
+    in_article = [False] * len(names)
+    for e in range(1, len(names)):
+        in_article[e] = names[e] in ("article", "main") or in_article[parents[e]]
+    if not any(in_article[x.element] for x in lines):
+        lines = [x for x in page.lines if x.outside in (0, 3)]
     if not lines:
         return ""
-    size = np.array([len(x[0]) for x in lines], float)
-    ratio = smoothed(size / np.maximum([x[1] for x in lines], 1), sigma)
-    upper = content_cluster(ratio)
-    held: dict[int, float] = {}
-    often: dict[int, int] = {}
-    for (_, _, path, _), n, up in zip(lines, size, upper, strict=True):
-        if up:
-            for e in path:
-                held[e] = held.get(e, 0.0) + n
-                often[e] = often.get(e, 0) + 1
-    total = size[upper].sum()
-    # numbers grow downwards, and elements that hold most of the text are nested
-    region = [e for e, n in held.items() if n >= most * total and names[e] in ("article", "main")]
-    region = region or [e for e, n in often.items() if n == upper.sum() and names[e] in ("section", "div", "td", "body")]
-    if region:
-        inner = max(region)
-        lines = [x for x in lines if inner in x[2]]
-    return "\n".join(x[0] for x in lines)
+    own = np.array([len(x.text) / max(x.tags, 1) for x in lines])
+    ratio = smoothed(own, sigma)
+    upper = cluster(ratio)
+    return "\n".join(x.text for x in content_lines(lines, upper, upper & (own >= ratio[upper].min(initial=np.inf) - 1e-9), names, parents))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Defined cases: null, empty or tagless input (a null gives an empty text, plain text comes back with its white space
-    folded), truncated tags and unclosed elements are read as the parser reads them; repeated rows give repeated rows; a
-    null page_id or url is kept; an empty table gives an empty table; extra columns are ignored. ``br`` is white space.
+    Defined cases: a null or empty page gives an empty text, as does one on which nothing is an article; plain text comes
+    back with its white space folded; truncated tags are read as the parser reads them; ``head``, ``title``, ``p``, ``li``,
+    ``option`` and the like end where HTML lets their end tags be left out; repeated rows give repeated rows; a null page_id
+    or url is kept; very long or deeply nested pages take time in proportion to their length; an empty table gives an empty
+    table; extra columns are ignored. ``br`` is white space.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
