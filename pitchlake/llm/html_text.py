@@ -146,12 +146,12 @@ class _Lines(HTMLParser):
         return outside
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCK:
+            self.line()
         self.tags += 1
         if tag in ("br", "wbr"):
             self.parts.append(" " if tag == "br" else "")
             return
-        if tag in BLOCK:
-            self.line()
         self._implied(tag)
         if tag in VOID:
             return
@@ -227,11 +227,11 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def content_cluster(ratio: np.ndarray) -> np.ndarray:
-    """Upper of two clusters of the smoothed ratios: the threshold halves the distance of the clusters' means."""
+    """Upper of two clusters of the smoothed ratios: the threshold halves the distance of the clusters' means. Means that differ by less than half are one cluster."""
     cut = ratio.mean()
     for _ in range(50):
         high = ratio >= cut
-        if high.all() or not high.any():
+        if high.all() or not high.any() or ratio[~high].mean() >= ratio[high].mean() / 2:
             return np.ones(len(ratio), bool)
         new = (ratio[high].mean() + ratio[~high].mean()) / 2
         if abs(new - cut) < 1e-9:

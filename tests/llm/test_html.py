@@ -73,14 +73,14 @@ def test_implied_ends(start):
 
 def test_pages_without_an_article():
     assert html_text.main_text("<body><nav>Home and so on</nav><footer>The foot of a page</footer></body>") == ""
-    assert html_text.main_text("<body><p hidden>Text that nobody sees</p><form>Name</form></body>") == "Name" or html_text.main_text("<form>Name</form>") in ("", "Name")
+    assert html_text.main_text("<body><p hidden>Text that nobody sees</p><form>Name</form></body>") == ""
     assert html_text.main_text("<p>A text with a <button>Share</button> in it.</p>") == "A text with a in it."
 
 
 def test_time_does_not_grow_with_depth():
     began = time.perf_counter()
     page = "<div>some words of text " * 8000 + "</div>" * 8000
-    assert len(html_text.main_text(page)) > 8000 * 19
+    assert len(html_text.main_text(page)) == 8000 * 19 - 1
     html_text.main_text("<b>x" * 20_000 + "</i>" * 20_000)
     assert time.perf_counter() - began < 4
 
