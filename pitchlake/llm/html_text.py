@@ -313,7 +313,8 @@ def main_text(html: str | None, sigma: float = 1.0, cluster: Callable[[np.ndarra
     own = np.array([len(x.text) / max(x.tags, 1) for x in lines])
     ratio = smoothed(own, sigma)
     upper = cluster(ratio)
-    return "\n".join(x.text for x in content_lines(lines, upper, upper & (own >= ratio[upper].min(initial=np.inf) - 1e-9), names, parents))
+    sure = upper if upper.all() else upper & (own >= ratio[upper].min() - 1e-9)
+    return "\n".join(x.text for x in content_lines(lines, upper, sure, names, parents))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
