@@ -3,8 +3,10 @@
 The histogram of piece lengths (at most ``capacity`` cells, whatever the number of documents) goes to the driver. The
 program "cover every length with patterns that fit a sequence, using as few as possible" is solved by multiplicative
 weights on the lengths; the pricing step, the pattern of the largest total weight, is an unbounded knapsack solved by
-dynamic programming. The fractional solution is rounded down, and what is left, a bounded number of pieces, is packed
-best fit decreasing. Pieces are then numbered within their length in parallel and look up their place.
+dynamic programming. Every round's weights are a solution of the dual, so they bound the number of sequences from below;
+patterns whose price under the best of them falls short of a sequence's are not used. The fractional solution is rounded
+down, the rest is a smaller program, and what is left in the end is packed best fit decreasing, equal sequences at once:
+the plan has a few entries a length, not a piece. Pieces are numbered within their length in parallel and look up their place.
 """
 
 from __future__ import annotations
@@ -37,12 +39,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def best_pattern(value: np.ndarray, lengths: np.ndarray, limit: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """How often each length occurs in a pattern of the largest value (unbounded knapsack), then held to ``limit``."""
-    worth = np.zeros(capacity + 1)
-    worth[lengths] = value
-    best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
+def price_patterns(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value of the best pattern for each room, the length it takes first or 0, index of each length), by unbounded knapsack."""
+    worth, index = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    worth[lengths], index[lengths] = value, np.arange(len(lengths))
+    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         gain = worth[1 : c + 1] + best[c - 1 :: -1][:c]
         i = int(gain.argmax())
@@ -50,76 +51,127 @@ def best_pattern(value: np.ndarray, lengths: np.ndarray, limit: np.ndarray, capa
             best[c], take[c] = gain[i], i + 1
         else:
             best[c] = best[c - 1]
-    counts = np.zeros(capacity + 1, np.int64)
-    c = capacity
+    return best, take, index
+
+
+def pattern(first: int, take: np.ndarray, index: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """{number of a length: how often} of the best pattern that holds length number ``first``."""
+    counts, c = {first: 1}, capacity - int(lengths[first])
     while c > 0:
-        if take[c] and worth[take[c]] > 0:
-            counts[take[c]] += 1
-            c -= take[c]
-        else:
-            c -= 1
-    return np.minimum(counts[lengths], limit), best[capacity]
+        size = int(take[c])
+        if size:
+            counts[int(index[size])] = counts.get(int(index[size]), 0) + 1
+        c -= size or 1
+    return counts
+
 
+def dual_prices(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(prices, bound): the best of the step functions floor((k + 1) x) / k of x = length / capacity (Fekete and Schepers 2001), and of x itself."""
+    x = lengths / capacity
+    tried = [x, *(np.where((k + 1) * lengths % capacity == 0, x, (k + 1) * lengths // capacity / k) for k in range(1, 21))]
+    return max(((p, float((p * demand).sum())) for p in tried), key=lambda t: t[1])
 
-def solve_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float = 0.35) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used: a fractional cover of ``demand``, by multiplicative weights on the lengths."""
-    weight = lengths / capacity
-    patterns: dict[bytes, list] = {}
+
+def solve_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 30, step: float = 0.35, near: float = 0.02) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """(patterns and how often each is used, dual prices, lower bound): a fractional cover of ``demand``, by multiplicative weights on the lengths.
+
+    One pricing gives the best pattern that holds each length; those within ``near`` of the best are used together.
+    Prices are such that no pattern is worth more than 1, so the worth of all pieces bounds the number of sequences.
+    """
+    prices, bound = dual_prices(lengths, demand, capacity)
+    weight = np.maximum(prices, 0.05 * lengths / capacity) * demand
+    found: dict[tuple, list] = {}
     covered = np.zeros(len(lengths))
     for _ in range(rounds):
-        counts, _ = best_pattern(weight / demand * demand.mean(), lengths, demand, capacity)
-        if not counts.any():
-            break
-        used = counts > 0
-        times = float((demand[used] / counts[used]).min()) * step  # the width of a step: no length is covered at once
-        patterns.setdefault(counts.tobytes(), [counts, 0.0])[1] += times
-        covered += counts * times
-        weight = weight * np.exp(-step * counts * times / demand)
-        weight /= weight.max()
-    scale = np.max(demand / np.maximum(covered, 1e-12)) if (covered > 0).all() else 1.0
-    return [(p, x * min(scale, 1e9)) for p, x in patterns.values()]
-
-
-def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int = 160) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(number of sequences, [(length, how often)])] that hold every piece of the histogram once."""
+        value = weight / demand
+        best, take, index = price_patterns(value, lengths, capacity)
+        if weight.sum() / best[-1] > bound:
+            prices, bound = value / best[-1], float(weight.sum() / best[-1])
+        with_it = value + best[capacity - lengths]
+        fresh = np.zeros(len(lengths))
+        for i in np.argsort(-with_it, kind="stable"):
+            if with_it[i] < (1 - near) * best[-1]:
+                break
+            if fresh[i]:
+                continue
+            counts = pattern(int(i), take, index, lengths, capacity)
+            at, n = np.fromiter(counts, np.int64), np.fromiter(counts.values(), np.int64)
+            if (n > demand[at]).any():
+                n = np.minimum(n, demand[at]).astype(np.int64)
+                counts = dict(zip(at.tolist(), n.tolist(), strict=True))
+            times = step * float((demand[at] / n).min())  # the width of a step: no length is covered at once
+            found.setdefault(tuple(sorted(counts.items())), [counts, 0.0])[1] += times
+            fresh[at] += n * times
+        covered += fresh
+        weight = weight * np.exp(-step * fresh / demand)
+        weight /= (weight / demand).max()
+    scale = float(np.max(demand / covered)) if (covered > 0).all() else 1.0
+    return [(p, x * min(scale, 1.0)) for p, x in found.values()], prices, bound
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit decreasing of ``left`` pieces of each length, all sequences with the same room at once.
+
+    A piece goes to the sequence with the least room that holds it; the next of its length goes on there while it fits. A
+    length splits at most one kind of sequence and adds two, so the number of kinds follows the lengths, not the pieces.
+    """
+    by_room: dict[int, list[tuple[int, dict[int, int]]]] = {}
+
+    def put(count: int, items: dict[int, int], room: int, size: int, often: int) -> None:
+        if count:
+            by_room.setdefault(room - size * often, []).append((count, items | {size: often} if often else items))
+
+    for i in np.argsort(-lengths, kind="stable"):
+        size, n = int(lengths[i]), int(left[i])
+        for room in [r for r in sorted(by_room) if r >= size]:
+            often = room // size
+            for count, items in by_room.pop(room) if n else []:
+                full = min(count, n // often)
+                some = 1 if full < count and n > full * often else 0
+                rest = n - full * often if some else 0
+                put(full, items, room, size, often)
+                put(some, items, room, size, rest)
+                put(count - full - some, items, room, size, 0)
+                n -= full * often + rest
+        often = capacity // size
+        put(n // often, {}, capacity, size, often)
+        put(1 if n % often else 0, {}, capacity, size, n % often)
+    return [(count, sorted(items.items())) for kinds in by_room.values() for count, items in kinds]
+
+
+def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, loose: float = 0.01, passes: int = 4) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(number of sequences, [(length, how often)])] that hold every piece of the histogram once.
+
+    A pattern is used if its pieces are worth 1 - ``loose`` or more at the prices of the program, the dearest first; fractions
+    of patterns that are rounded off are carried on to the next. The rest of a rounded cover is a smaller program, up to
+    ``passes`` times; the rest after the pass from which the fewest sequences follow is packed best fit.
+    """
     left = demand.astype(np.int64).copy()
-    out: list[tuple[int, list[tuple[int, int]]]] = []
-
-    def use(counts: np.ndarray, times: float) -> None:
-        used = counts > 0
-        times = int(min(times, (left[used] // counts[used]).min())) if used.any() else 0
-        if times:
-            left[:] -= counts * times
-            out.append((times, [(int(lengths[i]), int(counts[i])) for i in np.flatnonzero(used)]))
-
-    alone = lengths == capacity
-    if alone.any():
-        use(np.where(alone, 1, 0), float(left[alone][0]))
-    share = 0
-    while (open_ := np.flatnonzero(left)).size and share < 6:  # the rest of a rounded cover is a smaller program
-        share += 1
-        before = left.sum()
-        for counts, times in sorted(solve_program(lengths[open_], left[open_].astype(float), capacity, rounds), key=lambda p: -(p[0] * lengths[open_]).sum()):
-            full = np.zeros(len(lengths), np.int64)
-            full[open_] = counts
-            if (full * lengths).sum() >= 0.995 * capacity:
-                use(full, np.floor(times))
+    used_up: list[tuple[int, list[tuple[int, int]]]] = []
+    made: list[tuple[int, list[tuple[int, int]]]] = []
+    for _ in range(passes):
+        open_ = np.flatnonzero(left)
+        if not open_.size:
+            break
+        before, carry = left.sum(), 0.0
+        patterns, prices, _ = solve_program(lengths[open_], left[open_].astype(float), capacity)
+        worth = [sum(prices[i] * n for i, n in p.items()) for p, _ in patterns]
+        for k in sorted(range(len(patterns)), key=lambda k: (-worth[k], -patterns[k][1])):
+            if worth[k] < 1 - loose:
+                break
+            counts, times = patterns[k]
+            used, each = open_[np.fromiter(counts, np.int64)], np.fromiter(counts.values(), np.int64)
+            whole = int(min(np.floor(times + carry), (left[used] // each).min()))
+            carry = min(1.0, times + carry - whole)
+            if whole > 0:
+                left[used] -= each * whole
+                used_up.append((whole, list(zip(lengths[used].tolist(), each.tolist(), strict=True))))
+        now = used_up + best_fit(lengths, left, capacity)
+        if not made or sum(n for n, _ in now) < sum(n for n, _ in made):
+            made = now
         if left.sum() > 0.7 * before:
             break
-    room: list[list] = []  # best fit decreasing
-    by_room: dict[int, list[int]] = {}
-    for i in np.argsort(-lengths, kind="stable"):
-        size = int(lengths[i])
-        for _ in range(int(left[i])):
-            fit = next((r for r in range(size, capacity + 1) if by_room.get(r)), None)
-            k = by_room[fit].pop() if fit is not None else len(room)
-            if fit is None:
-                room.append([capacity, {}])
-            room[k][0] -= size
-            room[k][1][size] = room[k][1].get(size, 0) + 1
-            by_room.setdefault(room[k][0], []).append(k)
-    out += [(1, sorted(items.items())) for _, items in room]
-    return out
+    return made
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int) -> DataFrame:

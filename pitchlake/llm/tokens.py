@@ -1,9 +1,9 @@
 """Ids of a byte-level BPE tokenizer file, computed for the distinct pieces of a batch instead of for every word.
 
 Texts are cut into pre-tokens (the pattern that the file's byte-level pre-tokenizer applies) by NumPy on code points.
-Distinct pieces are looked up in a bounded cache; new ones are merged by ``tiktoken`` with the file's own vocabulary,
-whose ids are the merge ranks. A text that holds a special string or a code point that Unicode does not assign goes
-through ``tokenizers`` itself. Tests compare whole corpora with ``tokenizers``.
+Distinct pieces are looked up by hash in a bounded cache and compared with the piece that is kept there; new ones are
+merged by ``tiktoken`` with the file's own vocabulary, whose ids are the merge ranks. A text that holds a special string,
+a code point that Unicode does not assign, or a piece that is not the one of its hash goes through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -58,13 +58,15 @@ class PieceTokenizer:
         self.special = [t["content"] for t in file.get("added_tokens", [])]
         ranks = {bytes(letters[c] for c in w): i for w, i in file["model"]["vocab"].items() if w not in self.special}
         self.merge = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kind = _classes()
+        self.kind, self.hashes = _classes(), span_hashes
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.at, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.pool = np.zeros(1 << 18, np.uint32)
+        self.code_at, self.code_n, self.code_used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.codes = np.zeros(1 << 18, np.uint32)
 
     def _starts(self, code: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Places where pre-tokens start; offsets are the rows' places, none of them empty."""
@@ -95,8 +97,22 @@ class PieceTokenizer:
                 start[after] = True
         return np.flatnonzero(start)
 
-    def _lookup(self, text: str, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the pool, number of ids) of each piece text[s:e] with hash h."""
+    def _keep(self, new: int, at: str, n: str, pool: str, used: str, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Append values of ``new`` slots to a pool, which doubles when it is full."""
+        k = len(self.known)
+        while len(getattr(self, at)) < k + new:
+            for name in (at, n):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        first = getattr(self, used)
+        while len(getattr(self, pool)) < first + len(flat):
+            setattr(self, pool, np.concatenate([getattr(self, pool), np.zeros_like(getattr(self, pool))]))
+        getattr(self, pool)[first : first + len(flat)] = flat
+        getattr(self, at)[k : k + new] = first + np.cumsum(sizes) - sizes
+        getattr(self, n)[k : k + new] = sizes
+        setattr(self, used, first + len(flat))
+
+    def _lookup(self, text: str, code: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids, wrong) of each piece text[s:e] with hash h; wrong: the slot of the hash has another piece."""
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > CACHED_PIECES:
             self.clear()
@@ -111,20 +127,17 @@ class PieceTokenizer:
             begin, stop = s[first[new]].tolist(), e[first[new]].tolist()
             ids = [self.merge.encode_ordinary(text[a:z]) for a, z in zip(begin, stop, strict=True)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-            k0 = len(self.known)
-            while len(self.at) < k0 + len(new):
-                self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
-            while len(self.pool) < self.used + len(flat):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.at[k0 : k0 + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.n[k0 : k0 + len(new)] = sizes
-            self.used += len(flat)
-            slot[new] = np.arange(k0, k0 + len(new))
-            self.known.update(zip(unique[new].tolist(), range(k0, k0 + len(new)), strict=True))
+            self._keep(len(new), "at", "n", "pool", "used", sizes, np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum())))
+            self._keep(len(new), "code_at", "code_n", "codes", "code_used", e[first[new]] - s[first[new]], np.concatenate([code[a:z] for a, z in zip(begin, stop, strict=True)]))
+            slot[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
         slot = slot[back]
-        return self.at[slot], self.n[slot]
+        wrong = self.code_n[slot] != e - s
+        width = np.where(wrong, 0, e - s)
+        step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        differs = code[np.repeat(s, width) + step] != self.codes[np.repeat(self.code_at[slot], width) + step]
+        wrong[np.repeat(np.arange(len(s)), width)[differs]] = True
+        return self.at[slot], self.n[slot], wrong
 
     def _encode_slice(self, texts: list[str]) -> Iterator[np.ndarray]:
         filled = [t for t in texts if t]
@@ -135,7 +148,8 @@ class PieceTokenizer:
         odd = np.add.reduceat(kind == UNKNOWN, offsets[:-1]) > 0 if len(filled) else np.zeros(0, bool)
         starts = self._starts(code, kind, offsets) if len(code) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(code)) if len(starts) else starts
-        at, n = self._lookup(text, starts, ends, span_hashes(code, starts, ends)) if len(starts) else (starts, starts)
+        at, n, wrong = self._lookup(text, code, starts, ends, self.hashes(code, starts, ends)) if len(starts) else (starts, starts, starts > 0)
+        odd[np.searchsorted(offsets, starts[wrong], "right") - 1] = True
         before = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(at - before[:-1], n) + np.arange(before[-1])]
         bounds = before[np.searchsorted(starts, offsets)]
