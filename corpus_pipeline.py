@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
 All but the last return the columns of ``documents``; the last returns the packed pieces.
+
+Defined cases, each that of the stage's operator: a null or empty text is rejected by the classifier; a null doc_id or source
+goes through all stages; rows that are equal in doc_id and text are one document from near-dedup on; rows that share a doc_id
+and no text are documents each; an empty table gives an empty table; extra columns stay until packing.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.llm import mixing, near_dup, packing, quality, substring_dedup
-from pitchlake.llm.common import stash, table
+from pitchlake.llm.common import forget, stash, stashed, table
 
 #: No stage's rows can be written in SQL (EM, consistent sampling, tokenization); tests hold them against brute force.
 ORACLE_SQL = None
@@ -54,7 +58,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage wrote for itself, and its input, is deleted once its output is written."""
+    docs, since = table(spark, sf_dir, "documents"), stashed()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        forget(spark, since, but_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
