@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,10 +40,21 @@ STATES = [
     "ala", "alaska", "ariz", "ark", "calif", "colo", "conn", "del", "fla", "geo", "hawaii", "idaho", "ill", "ind", "iowa", "kans", "kent", "maine", "mass", "mich", "minn", "miss", "mont", "neb", "nev",
     "ohio", "okla", "ore", "tenn", "tex", "utah", "wash", "wis",
 ]
+# Words that are no coach, and Roman numerals.
 NOT_COACHES = ["team", "club", "fc", "sc", "united", "boys", "girls", "male", "female", "premier", "elite", "select", "academy"]
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Words, digits and blanks of any script, as names are written in many.
+U = "(?U)"
+
+
+def _decomposed() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters that a compatibility decomposition turns into one ASCII letter or digit, these, and ligatures with their letters."""
+    ascii_of = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x.isascii()) for c in range(0x80, 0x1_0000)}
+    single = [(a, b) for a, b in ascii_of.items() if len(b) == 1 and b.isalnum()]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), [(a, b) for a, b in ascii_of.items() if len(b) > 1 and b.isalpha() and unicodedata.category(a) in ("Ll", "Lu", "Lt")]
+
+
+ACCENTED, PLAIN, LIGATURES = _decomposed()
 
 
 def _text(c: Column | str) -> Column:
@@ -50,7 +62,7 @@ def _text(c: Column | str) -> Column:
 
 
 def _squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, rf"{U}\s+", " "))
 
 
 def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -62,17 +74,17 @@ def basic_name(c: str) -> Column:
 
 
 def light_name(c: str) -> Column:
-    """Accents off, lower case, punctuation to blanks; every word stays."""
-    plain = F.regexp_replace(F.translate(_text(c), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Accents off by compatibility decomposition, lower case, punctuation to blanks; every word stays."""
+    plain = F.regexp_replace(F.translate(_replaced(_text(c), LIGATURES), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
     return _squeezed(F.regexp_replace(F.lower(plain), "[^a-z0-9 ]", " "))
 
 
 def canonical_name(c: str, keep_colours: bool = True) -> Column:
     whole = F.trim(F.lower(_text(c)))
-    s = F.regexp_replace(whole, r"\s+\((h|a)\)$", "")
-    s = F.regexp_replace(s, r"\bsc\b|\bfc\b|\bacademy\b", "")
+    s = F.regexp_replace(whole, U + r"\s+\((h|a)\)$", "")
+    s = F.regexp_replace(s, U + r"\bsc\b|\bfc\b|\bacademy\b", "")
     s = _squeezed(_replaced(s, [("boys", ""), ("girls", ""), ("b14", "2014"), ("b15", "2015")]))
-    s = F.trim(F.regexp_replace(s, r"\s+(blue|red|white|black|gold|maroon|green|navy|silver|grey|gray)$", ""))
+    s = F.trim(F.regexp_replace(s, U + r"\s+(blue|red|white|black|gold|maroon|green|navy|silver|grey|gray)$", ""))
     s = F.when(whole.isin(COLOUR_TEAMS), whole).otherwise(s) if keep_colours else s
     return F.when(F.col(c).isNotNull(), s)
 
@@ -96,18 +108,18 @@ def team_name(c: str, prefixes: dict[str, list[str]] | None = None, season: int
     """Aggressive normalisation: substitutions, years to two digits, U-ages to birth years, gender marks and punctuation off."""
     s = club_prefixed(F.trim(F.lower(_text(c))), prefixes or {})
     s = _replaced(s, SUBSTITUTIONS)
-    s = F.regexp_replace(s, r"\b20(\d{2})\b", "$1")
+    s = F.regexp_replace(s, U + r"\b20(\d{2})\b", "$1")
     for age in range(10, 20):
-        s = F.regexp_replace(s, rf"\bu{age}\b", f"{season - age}"[2:])
-    s = F.regexp_replace(s, r"\b(\d{2})[bg]\b", "$1")
-    s = F.regexp_replace(s, r"\b20(\d{2})[bg]\b", "$1")
-    s = F.regexp_replace(s, r"\b(boys?|girls?|male|female|men|women|b|g)\b", "")
-    return _squeezed(F.regexp_replace(s, r"[^\w\s]", " "))
+        s = F.regexp_replace(s, rf"{U}\bu{age}\b", f"{season - age}"[2:])
+    s = F.regexp_replace(s, U + r"\b(\d{2})[bg]\b", "$1")
+    s = F.regexp_replace(s, U + r"\b20(\d{2})[bg]\b", "$1")
+    s = F.regexp_replace(s, U + r"\b(boys?|girls?|male|female|men|women|b|g)\b", "")
+    return _squeezed(F.regexp_replace(s, U + r"[^\w\s]", " "))
 
 
 def club_name(c: str) -> Column:
     s = _replaced(F.trim(F.lower(_text(c))), CLUB_SUBSTITUTIONS)
-    return _squeezed(F.regexp_replace(s, r"\b(fc|sc|ac|acad|prem|elite|sel|united|city|assoc|ath)\b", ""))
+    return _squeezed(F.regexp_replace(s, U + r"\b(fc|sc|ac|acad|prem|elite|sel|united|city|assoc|ath)\b", ""))
 
 
 def matcher_club(c: Column) -> Column:
@@ -117,7 +129,7 @@ def matcher_club(c: Column) -> Column:
         s = F.trim(F.regexp_replace(s, f" {suffix}$", ""))
     for prefix in ("the ", "fc ", "sc "):
         s = F.trim(F.regexp_replace(s, f"^{prefix}", ""))
-    return _squeezed(F.regexp_replace(s, r"[^\w\s]", ""))
+    return _squeezed(F.regexp_replace(s, U + r"[^\w\s]", ""))
 
 
 def meaningful_tokens(c: Column) -> Column:
@@ -145,9 +157,9 @@ def _century(two: Column) -> Column:
 
 def birth_year(c: Column, season: int = 2026) -> Column:
     """A four-digit year, a U-age, a two-digit year, or a two-digit year with a gender letter; the first kind that is there."""
-    age = _group(c, r"\bu(\d{1,2})\b").try_cast("int")
+    age = _group(c, U + r"\bu(\d{1,2})\b").try_cast("int")
     of_age = F.when(age.between(10, 19), (F.lit(season) - age).cast("string"))
-    return F.coalesce(_group(c, r"\b(20\d{2})(?:[a-zA-Z]|\b)"), of_age, _century(_group(c, r"\b(\d{2})\b")), _century(_group(c, r"\b(\d{2})[bg]\b")), F.lit(""))
+    return F.coalesce(_group(c, U + r"\b(20\d{2})(?:[a-zA-Z]|\b)"), of_age, _century(_group(c, U + r"\b(\d{2})\b")), _century(_group(c, U + r"\b(\d{2})[bg]\b")), F.lit(""))
 
 
 def _has_word(c: Column, word: str) -> Column:
@@ -159,7 +171,7 @@ def _any_word(c: Column, words: list[str]) -> Column:
 
 
 def gender(c: Column) -> Column:
-    mark = F.regexp_extract(c, r"\b\d{2,4}([bg])\b", 1)
+    mark = F.regexp_extract(c, U + r"\b\d{2,4}([bg])\b", 1)
     return F.when(_any_word(c, ["boys", "b", "male", "m"]), "boys").when(_any_word(c, ["girls", "g", "female", "f"]), "girls").when(mark == "b", "boys").when(mark == "g", "girls").otherwise("")
 
 
@@ -172,10 +184,10 @@ def _first_word(c: Column, words: list[str]) -> Column:
 def designation(c: Column) -> Column:
     """Roman numeral, single letter but b and g, number that is no year, or a word of the list; only the first hit of a kind counts."""
     low = F.lower(c)
-    roman = _group(low, r"\b(i|ii|iii|iv|v|vi|vii|viii|ix|x)\b")
+    roman = _group(low, U + r"\b(i|ii|iii|iv|v|vi|vii|viii|ix|x)\b")
     as_number = reduce(lambda out, kv: F.when(roman == kv[0], kv[1]).otherwise(out), ROMAN.items(), F.lit(None).cast("string"))
-    letter = _group(low, r"\b([a-z])\b")
-    number = _group(c, r"\b(\d+)\b")
+    letter = _group(low, U + r"\b([a-z])\b")
+    number = _group(c, U + r"\b(\d+)\b")
     year = (F.length(number) == 4) | ((F.length(number) == 2) & (number.try_cast("int") <= 30))
     return F.coalesce(as_number, F.when(~letter.isin("b", "g"), letter), F.when(~year, number), _first_word(c, DESIGNATIONS), F.lit(""))
 
@@ -184,8 +196,8 @@ def coach(c: Column) -> Column:
     """A known name at the end, else the last word, else the last word before a number; short and generic words do not count."""
     known = F.get(F.filter(F.array(*[F.lit(w) for w in COACHES]), lambda w: F.endswith(c, F.concat(F.lit(" "), w))), F.lit(0))
     fits = lambda w: F.when((F.length(w) > 3) & ~w.isin(NOT_COACHES), w)
-    last = F.lower(_group(c, r"\b([A-Za-z]+(?:\.[A-Za-z])?)\s*(?:\d+\s*)?$"))
-    before = F.regexp_extract_all(c, F.lit(r"\b([A-Za-z]+(?:\.[A-Za-z])?)\s+\d+"), F.lit(1))
+    last = F.lower(_group(c, U + r"\b([A-Za-z]+(?:\.[A-Za-z])?)\s*(?:\d+\s*)?$"))
+    before = F.regexp_extract_all(c, F.lit(U + r"\b([A-Za-z]+(?:\.[A-Za-z])?)\s+\d+"), F.lit(1))
     return F.coalesce(known, fits(last), fits(F.lower(F.get(before, F.size(before) - 1))), F.lit(""))
 
 
@@ -195,15 +207,15 @@ def state(c: Column) -> Column:
 
 def club(c: Column, year: Column, sex: Column, mark: Column, trainer: Column) -> Column:
     """What is left of the name without the other fields."""
-    word = lambda w: F.concat(F.lit(r"\b"), F.regexp_replace(w, r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\\\$1"), F.lit(r"\b"))
+    word = lambda w: F.concat(F.lit(U + r"\b"), F.regexp_replace(w, r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\\\$1"), F.lit(r"\b"))
     drop = lambda s, pattern, when: F.trim(F.regexp_replace(s, F.when(when, pattern).otherwise(F.lit("(?!)")), F.lit("")))  # noqa: E731  names s once, else the tree doubles with every step
     s = drop(c, word(year), year != "")
     s = drop(s, word(F.substring(year, 3, 2)), F.length(year) == 4)
     for name, terms in (("boys", "boys|b|male|m"), ("girls", "girls|g|female|f")):
-        s = drop(s, F.lit(rf"\b(?:{terms})\b"), sex == name)
+        s = drop(s, F.lit(rf"{U}\b(?:{terms})\b"), sex == name)
     s = drop(s, word(mark), mark != "")
     s = drop(s, word(trainer), trainer != "")
-    return _squeezed(F.regexp_replace(s, r"\bu\d{1,2}\b", ""))
+    return _squeezed(F.regexp_replace(s, U + r"\bu\d{1,2}\b", ""))
 
 
 def parsed(c: str, season: int = 2026) -> Column:

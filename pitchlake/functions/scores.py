@@ -140,10 +140,8 @@ def z_clipped(df: DataFrame, key: str, columns: dict[str, str], z: float = 2.5)
 def percent_rank_average(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rank over the table as a share, ties at their average place."""
     below = Window.orderBy(column)
-    peers = Window.partitionBy(column)
     n = df.agg(F.count(column).alias("_n"))
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_p"))
     ranked = counted.withColumn("_upto", F.sum("_p").over(below.rowsBetween(Window.unboundedPreceding, 0)))
     share = ranked.crossJoin(F.broadcast(n)).select(F.col(column).alias("_v"), ((F.col("_upto") - F.col("_p") + 1 + (F.col("_p") - 1) / 2) / F.col("_n")).alias(name))
-    del peers
     return df.join(share, df[column] == share["_v"], "left").drop("_v")

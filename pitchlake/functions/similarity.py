@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,15 +48,21 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+def subsequence_length(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a bit a character of ``x`` (Hyyro 2004)."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(x) - row.bit_count()
+
+
 def _indel(x: str, y: str) -> float:
-    if not x and not y:
-        return 100.0
-    row = [0] * (len(y) + 1)
-    for c in x:
-        corner = 0
-        for j, d in enumerate(y, 1):
-            corner, row[j] = row[j], corner + 1 if c == d else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(x) + len(y))
+    return 200.0 * subsequence_length(x, y) / (len(x) + len(y)) if x or y else 100.0
 
 
 def _token_set(x: set[str], y: set[str]) -> float:
@@ -65,6 +73,8 @@ def _token_set(x: set[str], y: set[str]) -> float:
 
 def _partial(x: str, y: str) -> float:
     short, long = sorted((x, y), key=len)
+    if short in long:
+        return 100.0
     return max((_indel(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)), default=0.0)
 
 
@@ -84,3 +94,83 @@ def weighted_ratio(x: str | None, y: str | None) -> float:
 @F.pandas_udf(T.DoubleType())
 def best_of_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def _letters(names: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    """Counts of each name's characters."""
+    out = np.zeros((len(names), len(alphabet)), np.int16)
+    for i, name in enumerate(names):
+        for c in name:
+            out[i, alphabet[c]] += 1
+    return out
+
+
+def _bounds(names: list[str], masters: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """Each name with the most that its Indel ratio with each master can be, from the characters that they have in common."""
+    alphabet = {c: i for i, c in enumerate(sorted(set("".join(names) + "".join(masters))))}
+    theirs = _letters(masters, alphabet)
+    sizes = theirs.sum(axis=1)
+    for name in names:
+        mine = _letters([name], alphabet)[0]
+        total = sizes + len(name)
+        yield name, np.where(total > 0, 2.0 * np.minimum(theirs, mine).sum(axis=1) / np.maximum(total, 1), 1.0)
+
+
+def _tokens(name: str, generic: set[str]) -> set[str]:
+    return {w for w in name.split() if len(w) > 1 and w not in generic}
+
+
+def best_hybrid(names: list[str], masters: list[str], k: int, least: float, generic: list[str]) -> Iterator[tuple[int, int, float]]:
+    """(name, master, score): the k best masters of each name by the hybrid score over ``least``; ties go to the earlier master.
+
+    Masters are tried in the order of what their score can be at most, until none can be among the k best.
+    """
+    stop = set(generic)
+    tokens = [_tokens(m, stop) for m in masters]
+    where: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        for w in t:
+            where.setdefault(w, []).append(i)
+    sizes = np.array([len(t) for t in tokens])
+    ordered = [" ".join(sorted(m.split())) for m in masters]
+    for a, (name, most) in enumerate(_bounds(names, masters)):
+        mine, own = _tokens(name, stop), " ".join(sorted(name.split()))
+        shared = np.zeros(len(masters))
+        for w in mine:
+            shared[where.get(w, [])] += 1
+        either = sizes + len(mine) - shared
+        overlap = np.where(either > 0, shared / np.maximum(either, 1), 1.0)
+        # blanks do not count among sorted tokens, so the bound of the plain texts is widened by theirs
+        total = np.array([len(o) for o in ordered]) + len(own)
+        bound = 0.6 * np.minimum(1.0, most * np.maximum([len(m) + len(name) for m in masters], 1) / np.maximum(total, 1)) + 0.4 * overlap
+        top: list[tuple[float, int]] = []
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] <= least or len(top) == k and bound[i] < -top[-1][0]:
+                break
+            score = 0.6 * _indel(own, ordered[i]) / 100 + 0.4 * overlap[i]
+            if score > least:
+                top = sorted([*top, (-score, i)])[:k]
+        yield from ((a, i, -s) for s, i in top)
+
+
+def best_weighted(names: list[str], masters: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(name, master, score): the best master of each name by the weighted ratio, if it is ``least`` or more; ties go to the earlier.
+
+    A pair is scored if its common characters allow ``least``, if it shares a word, or if the names' lengths differ so much
+    that a part of the longer one counts.
+    """
+    words = [set(m.split()) for m in masters]
+    where: dict[str, list[int]] = {}
+    for i, t in enumerate(words):
+        for w in t:
+            where.setdefault(w, []).append(i)
+    lengths = np.array([len(m) for m in masters])
+    for a, (name, most) in enumerate(_bounds(names, masters)):
+        open_ = 100 * most >= least - 1e-9
+        for w in set(name.split()):
+            open_[where.get(w, [])] = True
+        far = np.maximum(lengths, len(name)) >= 1.5 * np.maximum(1, np.minimum(lengths, len(name)))
+        open_ |= far & np.array([least < 90 or m in name or name in m for m in masters]) if far.any() else False
+        top = max(((weighted_ratio(name, masters[i]), -i) for i in np.flatnonzero(open_).tolist()), default=(0.0, 0))
+        if top[0] >= least:
+            yield a, -top[1], top[0]

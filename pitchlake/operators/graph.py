@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.operators.numbering import numbered
+
 
 def undirected(pairs: DataFrame) -> DataFrame:
     """Distinct (u, v) in both directions. pairs: a, b."""
@@ -33,6 +35,8 @@ def components(pairs: DataFrame, most: int = 50) -> DataFrame:
         label = new.select("team", "label")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"labels still move after {most} rounds")
     size = label.groupBy("label").agg(F.count("*").alias("component_size"))
     return label.join(size, "label").select("team", F.col("label").alias("component"), "component_size")
 
@@ -40,5 +44,5 @@ def components(pairs: DataFrame, most: int = 50) -> DataFrame:
 def connectivity(pairs: DataFrame) -> DataFrame:
     """team, component_id (0, 1, ... by first appearance), component_size, degree."""
     found = components(pairs)
-    ids = found.select("component").distinct().withColumn("component_id", F.row_number().over(Window.orderBy("component")) - 1)
+    ids = numbered(found.select("component").distinct(), ["component"], "component_id")
     return found.join(ids, "component").join(degrees(pairs), "team").select("team", "component_id", "component_size", "degree")

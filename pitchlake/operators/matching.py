@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from pitchlake.functions import similarity as M
 # Words that do not make two clubs alike.
 GENERIC_CLUB = [*N.CLUB_SUFFIXES, "15b", "16b", "17b", "18b", "15g", "16g", "17g", "18g", "south", "north", "east", "west", "central", "metro", "valley", "ridge", "hills", "park", "field", "stadium", "center", "centre"]
 
+NAMES_A_BLOCK, MASTERS_A_BLOCK = 2000, 4000
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in file order."""
@@ -65,9 +70,30 @@ def token_pairs(observed: DataFrame, master: DataFrame) -> DataFrame:
     return left.join(right, "t").select("name", "match", "ord").distinct()
 
 
+def in_blocks(observed: DataFrame, master: DataFrame, compare: Callable[[list[str], list[str]], Iterator[tuple[int, int, float]]]) -> DataFrame:
+    """(name, match, ord, score): what ``compare`` finds in each block of names with each block of the master list.
+
+    Every name meets every master, as the score of names that share nothing is not 0, but only the few that ``compare``
+    yields leave a block. A block is solved by one task; names are distinct and the list is bounded by its teams.
+    """
+    o, m = observed.select("name").where("name is not null").distinct(), master.select(F.col("name").alias("match"), F.col("ord").cast("long").alias("ord")).where("match is not null")
+    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((o, NAMES_A_BLOCK), (m, MASTERS_A_BLOCK)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    left = o.select("name", part("name", rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    right = m.select("match", "ord", part("ord", columns).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ord", kind="stable")
+        found = list(compare(a.name.tolist(), b.match.tolist())) if len(a) and len(b) else []
+        at, to, score = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+        return pd.DataFrame({"name": a.name.to_numpy()[at], "match": b.match.to_numpy()[to], "ord": b.ord.to_numpy()[to], "score": score}).astype({"score": "float64", "ord": "int64"})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(solve, "name string, match string, ord long, score double")
+
+
 def hybrid_candidates(observed: DataFrame, master: DataFrame, k: int = 3, least: float = 0.3) -> DataFrame:
-    """name, match, score, nth: the k best by the hybrid score. Both lists hold normalised names."""
-    scored = token_pairs(observed, master).withColumn("score", M.hybrid(F.col("name"), F.col("match"))).where(F.col("score") > least)
+    """name, match, score, nth: the k best by the hybrid score, with or without a shared token. Both lists hold normalised names."""
+    scored = in_blocks(observed, master, lambda names, masters: M.best_hybrid(names, masters, k, least, N.GENERIC_TOKENS))
     return best(scored, "name", "score", "ord", k)
 
 
@@ -84,8 +110,7 @@ def exact_or_fuzzy(observed: DataFrame, master: DataFrame, threshold: float = 90
     m = keep_first(master.withColumn("key", N.basic_name("name")), ["key"], ["ord"]).select("key", F.col("name").alias("match"), "ord")
     exact = o.join(m.select("key", "match"), "key", "left")
     open_ = exact.where("match is null and key <> ''").select(F.col("key").alias("name")).distinct()
-    pairs = token_pairs(open_, m.select(F.col("key").alias("name"), "ord"))
-    scored = best(pairs.withColumn("score", M.best_of_ratio("name", "match")).where(F.col("score") >= threshold), "name", "score", "ord")
+    scored = best(in_blocks(open_, m.select(F.col("key").alias("name"), "ord"), lambda names, masters: M.best_weighted(names, masters, threshold)), "name", "score", "ord")
     fuzzy = scored.select(F.col("name").alias("key"), F.col("match").alias("fuzzy_key"), "score").join(m.select(F.col("key").alias("fuzzy_key"), F.col("match").alias("fuzzy")), "fuzzy_key")
     kind = F.when(F.col("key") == "", "EMPTY").when(F.col("match").isNotNull(), "EXACT").when(F.col("fuzzy").isNotNull(), "FUZZY").otherwise("NO_MATCH")
     joined = exact.join(fuzzy, "key", "left")
@@ -125,13 +150,36 @@ def resolve(observed: DataFrame, aliases: DataFrame, master: DataFrame, approve:
     return stage.select("name", F.coalesce("cached", "strict", "near").alias("canonical"), confidence.alias("confidence"), source.alias("source"))
 
 
+GRAM = 3
+
+
+def _holders(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l) where the name l holds the name s. s meets l by its rarest gram of up to three characters, of which l has all."""
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n))))
+    size = F.least(F.lit(GRAM), F.length("s"))
+    of_long = long.select("l", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams(F.col("l"), n) for n in range(1, GRAM + 1)]))).alias("g"))
+    often = of_long.groupBy("g").agg(F.count("*").alias("n"))
+    of_short = short.select("s", F.explode(F.when(F.length("s") == 0, F.array(F.lit(""))).when(size == 1, grams(F.col("s"), 1)).when(size == 2, grams(F.col("s"), 2)).otherwise(grams(F.col("s"), GRAM))).alias("g"))
+    rarest = of_short.join(often, "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("s", F.col("r.g").alias("g"))
+    return rarest.join(of_long, "g").where(F.contains("l", F.col("s"))).select("s", "l")
+
+
 def contains_either(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(name, match) where one holds the other, or both share two words. Meets on shared words first: no pair without one is compared,
-    but a name that holds another as part of a word needs the second list to be small; it is sent whole below the broadcast limit."""
-    shared = a.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("w")).join(b.select(F.col("name").alias("match"), F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("w")), "w")
-    counted = shared.groupBy("name", "match").agg(F.count("*").alias("n"))
-    x, y = F.lower("name"), F.lower("match")
-    return counted.where(F.contains(x, y) | F.contains(y, x) | (F.col("n") >= 2)).select("name", "match")
+    """(name, match, inside) where one name holds the other, in any case; names that have no such match get those with which they share two words.
+
+    Null names have no match; the empty name is held by all.
+    """
+    x, y = (df.select("name").where("name is not null").distinct().withColumn("low", F.lower("name")) for df in (a, b))
+    down = _holders(x.select(F.col("low").alias("s")).distinct(), y.select(F.col("low").alias("l")).distinct()).select(F.col("s").alias("x"), F.col("l").alias("y"))
+    up = _holders(y.select(F.col("low").alias("s")).distinct(), x.select(F.col("low").alias("l")).distinct()).select(F.col("l").alias("x"), F.col("s").alias("y"))
+    held = down.union(up).distinct()
+    words = lambda df, c: df.select(F.col("low").alias(c), F.array_sort(F.array_distinct(F.filter(F.split("low", r"\s+"), lambda w: w != ""))).alias("w")).distinct()
+    pairs = lambda df, c: df.select(c, F.explode(F.flatten(F.transform("w", lambda v, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda u: F.struct(v.alias("v"), u.alias("u")))))).alias("p"))
+    rest = words(x, "x").join(held.select("x").distinct(), "x", "left_anti")
+    common = pairs(rest, "x").join(pairs(words(y, "y"), "y"), "p").select("x", "y").distinct()
+    both = held.withColumn("inside", F.lit(True)).union(common.withColumn("inside", F.lit(False)))
+    named = both.join(x.select("name", F.col("low").alias("x")), "x").join(y.select(F.col("name").alias("match"), F.col("low").alias("y")), "y")
+    return named.select("name", "match", "inside")
 
 
 def any_term(column: str, terms: list[str]) -> Column:

@@ -73,5 +73,30 @@ def prediction_scores(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.avg(F.when((p >= 0.5) == (y >= 0.5), 1.0).otherwise(0.0)).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"))
 
 
+def area_under_curve(df: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """auc: the chance that a positive is predicted higher than a negative, ties by half; null if either is missing.
+
+    Counts of each distinct prediction are numbered by range, so no task ranks all rows.
+    """
+    counts = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).groupBy(F.col(predicted).alias("p")).agg(counted(F.col(actual) >= 0.5).alias("pos"), counted(F.col(actual) < 0.5).alias("neg"))
+    part = counts.repartitionByRange("p").withColumn("_part", F.spark_partition_id()).persist()
+    sums = part.groupBy("_part").agg(F.sum("neg").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum("neg").over(Window.partitionBy("_part").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
+    ranked = part.withColumn("_below", below).join(sums.select("_part", before.alias("_before")), "_part")
+    won = F.sum(F.col("pos") * (F.col("_before") + F.col("_below") + F.col("neg") / 2))
+    return ranked.agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+
+
+def calibration_slope(df: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """slope, intercept of the actual outcome on the predicted probability by least squares."""
+    return df.agg(F.regr_slope(actual, predicted).alias("slope"), F.regr_intercept(actual, predicted).alias("intercept"))
+
+
+def by_appearances(df: DataFrame) -> DataFrame:
+    """Review rows by category, within it the most frequent first."""
+    return df.orderBy(F.asc("category"), F.desc("appearances"), "name")
+
+
 def mapping_audit(mapping: DataFrame, raw: str, canonical: str) -> DataFrame:
     return mapping.agg(F.count("*").alias("n"), F.count_distinct(raw).alias("n_raw"), F.count_distinct(canonical).alias("n_canonical"), (F.count("*") - F.count_distinct(raw)).alias("duplicates"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import scores as S
-from pitchlake.operators.reshape import most_recent, recency_window, trailing
+from pitchlake.operators.reshape import most_recent, recency_window, status_by_games, trailing
 
 
 def counted(condition: Column) -> Column:
@@ -35,11 +35,21 @@ def recent(long: DataFrame, as_of: dt.datetime, days: int = 365, n: int = 30) ->
     return most_recent(trailing(long, as_of, days), n)
 
 
-def team_stats(long: DataFrame, teams: DataFrame, as_of: dt.datetime, days: int = 365, n: int = 30) -> DataFrame:
-    """The cross-age engine's metrics: the newest n games in the window, the total over all games, tiers of 15, 10 and 5 games."""
+def with_sides(rows: DataFrame, teams: DataFrame) -> DataFrame:
+    """Rows with age and state of the team and of its opponent; rows of unknown teams go."""
     mine = teams.select(F.col("team"), F.col("age").alias("age"), F.col("state").alias("state"))
     theirs = teams.select(F.col("team").alias("opponent"), F.col("age").alias("opponent_age"), F.col("state").alias("opponent_state"))
-    rows = recent(long, as_of, days, n).join(mine, "team").join(theirs, "opponent")
+    return rows.join(mine, "team").join(theirs, "opponent")
+
+
+def team_stats(long: DataFrame, teams: DataFrame, as_of: dt.datetime, days: int = 365, n: int = 30, total: DataFrame | None = None) -> DataFrame:
+    """The cross-age engine's metrics: the newest n games in the window, the total over all games, tiers of 15, 10 and 5 games."""
+    total = long.groupBy("team").agg(F.count("*").alias("total_games_history")) if total is None else total
+    return stats_of(with_sides(recent(long, as_of, days, n), teams), total)
+
+
+def stats_of(rows: DataFrame, total: DataFrame) -> DataFrame:
+    """team_stats of rows with sides. total: team, total_games_history."""
     win = F.when(F.col("result") == "W", 1.0).otherwise(0.0)
     tier = lambda a, b: F.coalesce(F.avg(F.when(F.col("rn").between(a, b), win)), F.lit(0.0))
     cross_age, cross_state = F.col("age") != F.col("opponent_age"), F.col("state") != F.col("opponent_state")
@@ -50,7 +60,7 @@ def team_stats(long: DataFrame, teams: DataFrame, as_of: dt.datetime, days: int
         counted(cross_age).alias("cross_age_games"), counted(cross_state).alias("cross_state_games"), F.max("date").alias("last_game_date"),
     )
     stats = stats.withColumns({"cross_age_pct": F.col("cross_age_games") / F.col("games_played"), "cross_state_pct": F.col("cross_state_games") / F.col("games_played"), "offense": F.col("goals_for") / F.col("games_played"), "defense": F.col("goals_against") / F.col("games_played")})
-    return stats.join(long.groupBy("team").agg(F.count("*").alias("total_games_history")), "team")
+    return stats.join(total, "team")
 
 
 def power_e2(stats: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -64,11 +74,19 @@ def power_e2(stats: DataFrame, schedule: DataFrame) -> DataFrame:
     return df.withColumn("power_score_adj", F.col("power_score") * F.col("games_penalty"))
 
 
+def numbered_year(long: DataFrame, as_of: dt.datetime, days: int = 365) -> DataFrame:
+    """Games of the window with ``rn`` (1 newest) and ``used``, the team's games in it, from one sort."""
+    return trailing(long, as_of, days).withColumns({"rn": F.row_number().over(recency_window()), "used": F.count(F.lit(1)).over(Window.partitionBy("team"))})
+
+
+def weighted(year: DataFrame, n: int = 30) -> DataFrame:
+    """The newest n games with n and the weight w; goals for are goals against plus the capped margin."""
+    rows = year.where(F.col("rn") <= n).withColumn("n", F.least(F.col("used"), F.lit(n)))
+    return rows.withColumns({"w": S.recency_weight(), "gf_capped": F.col("ga") + S.capped_margin()})
+
+
 def weighted_recent(long: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Recent games with rn, n and the weight w; goals for are goals against plus the capped margin."""
-    rows = recent(long, as_of)
-    n = F.count(F.lit(1)).over(Window.partitionBy("team"))
-    return rows.withColumn("n", n).withColumns({"w": S.recency_weight(), "gf_capped": F.col("ga") + S.capped_margin()})
+    return weighted(numbered_year(long, as_of))
 
 
 def off_def(weighted: DataFrame) -> DataFrame:
@@ -81,13 +99,13 @@ def strengths(base: DataFrame) -> DataFrame:
     return df.withColumns({"opp_off": S.opponent_strength(F.col("off_norm")), "opp_def": S.opponent_strength(F.col("def_norm"))})
 
 
-def adjusted_games(long: DataFrame, base: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Games of the window with adjusted goals: opponent strength, adaptive factor, performance layer. One join carries all metrics."""
+def adjusted_games(year: DataFrame, base: DataFrame) -> DataFrame:
+    """Games of numbered_year with adjusted goals: opponent strength, adaptive factor, performance layer. One join carries all metrics."""
     power = strengths(base)
     means = power.agg(F.avg("opp_off").alias("m_off"), F.avg("opp_def").alias("m_def"))
     me = power.select("team", F.col("off_norm").alias("t_off"))
     you = power.select(F.col("team").alias("opponent"), F.col("off_norm").alias("o_off"), F.col("opp_off"), F.col("opp_def"))
-    rows = trailing(long, as_of, 365).withColumns({"games_ago": F.row_number().over(recency_window()) - 1, "games_used": F.count(F.lit(1)).over(Window.partitionBy("team"))})
+    rows = year.withColumns({"games_ago": F.col("rn") - 1, "games_used": F.col("used")}).drop("rn", "used")
     rows = rows.join(me, "team", "left").join(you, "opponent", "left").crossJoin(F.broadcast(means))
     od, oo = F.coalesce("opp_def", "m_def"), F.coalesce("opp_off", "m_off")
     t_off = F.coalesce("t_off", F.lit(0.5))
@@ -113,11 +131,15 @@ def base_strength(long: DataFrame) -> DataFrame:
     return scaled.withColumn("base_strength", 0.5 * (F.col("o") + F.col("d"))).drop("o", "d")
 
 
-def enriched_history(long: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """One row per (team, date, opponent), the first in file order, with expected goal difference and impact."""
-    rows = trailing(long, as_of, 540)
+def distinct_history(long: DataFrame, as_of: dt.datetime, days: int = 540) -> DataFrame:
+    """One row per (team, date, opponent), the first in file order."""
     w = Window.partitionBy("team", "date", "opponent").orderBy("game_id", F.col("is_home").desc(), "gf", "ga")
-    rows = rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    return trailing(long, as_of, days).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def enriched_history(long: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """distinct_history with expected goal difference and impact."""
+    rows = distinct_history(long, as_of)
     power = base_strength(rows)
     me = power.select("team", "off_strength")
     you = power.select(F.col("team").alias("opponent"), F.col("def_strength").alias("opp_def"), F.col("base_strength").alias("opponent_base_strength"))
@@ -141,3 +163,14 @@ def performance_adjustment(rows: DataFrame, power: DataFrame) -> DataFrame:
     known = known.withColumn("streak", streak)
     rate = 0.02 + 0.01 * F.least(F.lit(1.0), F.col("gp") / 30)
     return known.groupBy("team").agg(F.sum(rate * F.tanh(F.col("delta") * S.streak_multiplier(F.col("streak")) / 2)).alias("adjustment"), F.max("streak").alias("longest_streak"))
+
+
+def power_e1(scaled: DataFrame, baseline: DataFrame, iterative: DataFrame | None = None) -> DataFrame:
+    """power_score (four digits), gp_mult, sos_source, status. The schedule is the iterative one where a team has it, else the baseline.
+
+    scaled: team, games_played, sao_norm, sad_norm; baseline: team, baseline; iterative: team, sos_norm.
+    """
+    df = scaled.join(baseline, "team")
+    df = df.withColumn("sos_norm", F.lit(None).cast("double")) if iterative is None else df.join(iterative.select("team", "sos_norm"), "team", "left")
+    power = F.round(S.power_score(F.col("sao_norm"), F.col("sad_norm"), F.coalesce("sos_norm", "baseline")), 4)
+    return df.select("*", power.alias("power_score"), S.penalty(F.col("games_played"), 1.5).alias("gp_mult"), F.when(F.col("sos_norm").isNotNull(), "iterative").otherwise("baseline").alias("sos_source"), status_by_games("games_played").alias("status"))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators.numbering import numbered
 from pitchlake.sources.league import days_before
 
 RECENCY = (F.desc, F.desc, F.asc, F.asc, F.asc)
@@ -126,8 +127,8 @@ def age_group_games(games: DataFrame, primary: DataFrame, any_master: DataFrame,
 
 
 def tail_remainder(df: DataFrame, order: list[str], n_first: int) -> DataFrame:
-    """Rows after the first ``n_first`` in file order."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") > n_first).drop("_n")
+    """Rows after the first ``n_first`` in file order, which must be total."""
+    return numbered(df, order, "_n", 1).where(F.col("_n") > n_first).drop("_n")
 
 
 def leading_words(column: str) -> Column:
@@ -153,3 +154,41 @@ def unmatched_category(name: str) -> Column:
     state = r"\b(ca|nv|tx|nm|co|wa|ut|or|dc|pr|hi|ak|can|mexico|bc|ab)\b"
     low = F.lower(name)
     return F.when(low.rlike(age), "AGE_MISMATCH").when(low.rlike(state), "OUT_OF_STATE").otherwise("UNKNOWN_MISC")
+
+
+def oriented_scores(team: str = "team_id", home: str = "home_team_id") -> list[Column]:
+    """our_score, opponent_score of a game as the team saw it; a score that is missing counts 0."""
+    at_home = F.col(team) == F.col(home)
+    mine, theirs = F.when(at_home, F.col("home_score")).otherwise(F.col("away_score")), F.when(at_home, F.col("away_score")).otherwise(F.col("home_score"))
+    return [F.coalesce(mine, F.lit(0)).alias("our_score"), F.coalesce(theirs, F.lit(0)).alias("opponent_score")]
+
+
+def normalised_columns(df: DataFrame, synonyms: dict[str, list[str]], numbers: list[str], text: str = "Team") -> DataFrame:
+    """Canonical headers, then numbers out of their texts and the team as text; other columns stay."""
+    out = rename_headers(df, synonyms)
+    made = {c: numeric(c) for c in numbers if c in out.columns and dict(out.dtypes)[c] == "string"} | {c: F.col(c).try_cast("double") for c in numbers if c in out.columns and dict(out.dtypes)[c] != "string"}
+    return out.withColumns(made | ({text: F.col(text).cast("string")} if text in out.columns else {}))
+
+
+#: Columns of the national match format, in order.
+NATIONAL = ["Date", "Team A", "Team B", "Team A State", "Team B State", "Team A Division", "Team B Division", "Team A Club", "Team B Club", "Score A", "Score B", "Result A", "Result B", "Event", "Competition", "Division", "Venue", "Location", "Match ID", "Original Team A ID", "Original Team B ID", "Cross_State", "Event_Type", "Venue_State"]
+
+
+def national(df: DataFrame, age: int, order: list[str]) -> DataFrame:
+    """Matched games of an age in the 24 columns of the national format; match ids follow ``order``, which must be total.
+
+    df: the format's columns of dates, teams, states, clubs, scores, Event, Team A Result and the two ids.
+    """
+    first = 1_000_000 + (age - 10) * 1_000_000
+    other = F.when(F.col("Team A Result") == "W", "L").when(F.col("Team A Result") == "L", "W").when(F.col("Team A Result") == "T", "T").otherwise("")
+    made = {
+        "Team A Division": F.lit(f"U{age}B"), "Team B Division": F.lit(f"U{age}B"), "Result A": F.col("Team A Result"), "Result B": other, "Competition": F.col("Event"), "Division": F.lit(f"U{age}B U{age} Boys Elite"),
+        "Venue": F.col("Event"), "Location": F.lit(""), "Original Team A ID": F.col("Gotsport Team id # Team A"), "Original Team B ID": F.col("Team B GotSport ID"),
+        "Cross_State": ~F.col("Team A State").eqNullSafe(F.col("Team B State")), "Event_Type": F.lit("League"), "Venue_State": F.col("Team A State"),
+    }
+    return numbered(df, order, "Match ID", first).withColumns(made).select(*NATIONAL)
+
+
+def sampled(df: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
+    """At most n rows by chance, the same for a seed: the rows with the least hashes."""
+    return df.withColumn("_u", F.xxhash64(F.lit(seed), *df.columns)).orderBy("_u", *df.columns).limit(n).drop("_u")

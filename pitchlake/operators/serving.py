@@ -17,12 +17,23 @@ def sorted_safely(df: DataFrame, column: str, ascending: bool = False, fallback:
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), key)
 
 
-def slice_of(df: DataFrame, state: str | None = None, age: str | None = None, q: str | None = None) -> DataFrame:
-    for column, value in (("state", state), ("age", age)):
-        df = df.where(F.col(column) == value) if value else df
+def slice_of(df: DataFrame, state: str | None = None, age: str | None = None, q: str | None = None, gender: str | None = None, year: str | int | None = None) -> DataFrame:
+    """Rows of a slice. M, MALE and BOYS ask for M, any other gender for F; filters whose column is missing are ignored."""
+    sex = None if not gender else "M" if gender.upper() in ("M", "MALE", "BOYS") else "F"
+    for column, value in (("state", state), ("age", age), ("gender", sex), ("year", year)):
+        if value and column in df.columns:
+            df = df.where((F.upper(column) if column == "gender" else F.col(column).cast("string")) == str(value))
     return df.where(R.search("name", q)) if q else df
 
 
+def by_team_id(df: DataFrame, team_id: str, column: str = "team_id") -> DataFrame:
+    """Rows of a team whose id is asked for as text: compared as a number where it is one, else as text."""
+    try:
+        return df.where(F.col(column).try_cast("double") == float(team_id))
+    except ValueError:
+        return df.where(F.col(column).cast("string") == team_id)
+
+
 def rankings(ratings: DataFrame, as_of: dt.datetime, least: int = 8, hide_days: int = 180, include_inactive: bool = False, sort: str = "power_score_adj", limit: int | None = None, **where) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(active with ranks, provisional, counts). Rows without games_played are in neither list.
 
@@ -37,7 +48,8 @@ def rankings(ratings: DataFrame, as_of: dt.datetime, least: int = 8, hide_days:
     active = active.withColumn("rank", F.row_number().over(order))
     if limit:
         active = active.where(F.col("rank") <= max(1, min(limit, 5000)))
-    meta = df.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.when(~fresh, 1)), F.lit(0)).alias("inactive"), F.coalesce(F.sum(F.when(fresh & (F.col("games_played") >= least), 1)), F.lit(0)).alias("active"), F.coalesce(F.sum(F.when(fresh & (F.col("games_played") < least), 1)), F.lit(0)).alias("provisional"))
+    sources = [F.coalesce(F.sum(F.when(F.col("sos_source") == k, 1)), F.lit(0)).alias(f"sos_{k}") for k in ("iterative", "baseline")] if "sos_source" in df.columns else []
+    meta = df.agg(*sources, F.count("*").alias("total"), F.coalesce(F.sum(F.when(~fresh, 1)), F.lit(0)).alias("inactive"), F.coalesce(F.sum(F.when(fresh & (F.col("games_played") >= least), 1)), F.lit(0)).alias("active"), F.coalesce(F.sum(F.when(fresh & (F.col("games_played") < least), 1)), F.lit(0)).alias("provisional"))
     return active, provisional, meta
 
 

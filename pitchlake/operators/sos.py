@@ -18,34 +18,42 @@ def opponent_mean(rows: DataFrame, strength: DataFrame) -> DataFrame:
     return joined.groupBy("team").agg(F.avg(F.coalesce("strength", "median")).alias("sos_raw"))
 
 
-def edges(rows: DataFrame, teams: DataFrame) -> DataFrame:
-    """team, opponent, cross_age, w: weights of the recent games, summed per pair so that a step sees each pair once."""
-    mine, theirs = teams.select("team", F.col("age").alias("a")), teams.select(F.col("team").alias("opponent"), F.col("age").alias("b"))
-    joined = rows.join(mine, "team").join(theirs, "opponent")
-    return joined.groupBy("team", "opponent", (F.col("a") != F.col("b")).alias("cross_age")).agg(F.sum(S.result_weight()).alias("w"))
+def edges(rows: DataFrame) -> DataFrame:
+    """team, opponent, cross_age, w: weights of the recent games, summed per pair so that a step sees each pair once. rows: with sides."""
+    return rows.groupBy("team", "opponent", (F.col("age") != F.col("opponent_age")).alias("cross_age")).agg(F.sum(S.result_weight()).alias("w"))
 
 
-def step(strength: DataFrame, edge: DataFrame, mean: float) -> DataFrame:
-    """One Jacobi step: .7 of the own strength and .3 of the weighted mean of the opponents'. strength: team, s."""
-    opponents = strength.select(F.col("team").alias("opponent"), F.col("s").alias("o"))
+def looped(edge: DataFrame, initial: DataFrame) -> DataFrame:
+    """Edges and one loop a team, each with the mean of the initial strengths: a step then reads the strengths once.
+
+    A team's rows stay with the team from step to step, so only the strengths are moved.
+    """
+    mean = initial.agg(F.coalesce(F.avg("s"), F.lit(0.5)).alias("mean"))
+    own = initial.select("team", F.col("team").alias("opponent"), F.lit(False).alias("cross_age"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))
+    return edge.withColumn("own", F.lit(False)).unionByName(own).crossJoin(F.broadcast(mean))
+
+
+def step(strength: DataFrame, edge: DataFrame) -> DataFrame:
+    """One Jacobi step: .7 of the own strength and .3 of the weighted mean of the opponents'. strength: team, s; edge: looped."""
+    theirs = strength.select(F.col("team").alias("opponent"), F.col("s").alias("o"))
     raw = F.coalesce("o", F.lit(UNKNOWN))
-    effective = F.when(F.col("cross_age"), S.cross_age_boost(raw, F.lit(mean))).otherwise(raw)
-    pulled = edge.join(opponents, "opponent", "left").groupBy("team").agg(F.sum(F.col("w") * effective).alias("num"), F.sum("w").alias("den"))
-    new = F.when(F.col("den") > 0, 0.7 * F.col("s") + 0.3 * F.col("num") / F.col("den")).otherwise(F.col("s"))
-    return strength.join(pulled, "team", "left").select("team", new.alias("s"))
+    effective = F.when(F.col("cross_age"), S.cross_age_boost(raw, F.col("mean"))).otherwise(raw)
+    weight = F.when(~F.col("own"), F.col("w"))
+    pulled = edge.join(theirs, "opponent", "left").groupBy("team").agg(F.sum(weight * effective).alias("num"), F.sum(weight).alias("den"), F.max(F.when(F.col("own"), F.col("o"))).alias("s"))
+    return pulled.select("team", F.when(F.col("den") > 0, 0.7 * F.col("s") + 0.3 * F.col("num") / F.col("den")).otherwise(F.col("s")).alias("s"))
 
 
 def relaxed(initial: DataFrame, edge: DataFrame, steps: int | None = None, most: int = 10, tolerance: float = 0.01) -> DataFrame:
     """team, sos_score: z-score (population) after a fixed number of steps, or when no strength moves by ``tolerance``.
 
-    The edges are cached; every step cuts its plan with a checkpoint where one is configured.
+    The edges are cached. A fixed number of steps is one plan; else every step is cut, as its change is looked at.
     """
-    edge = edge.cache()
-    mean = float(initial.agg(F.avg("s")).first()[0] or 0.5)
+    edge = looped(edge, initial).persist()
     now = initial
     for _ in range(steps if steps is not None else most):
-        new = cut(step(now, edge, mean))  # a step reads the strengths twice: uncut, plans would double each time
+        new = step(now, edge)
         if steps is None:
+            new = cut(new)
             moved = new.withColumnRenamed("s", "t").join(now, "team").agg(F.max(F.abs(F.col("t") - F.col("s")))).first()[0]
             if moved is None or moved < tolerance:
                 now = new

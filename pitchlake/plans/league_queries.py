@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import scores as S
 from pitchlake.operators import elo, graph, quality, ratings, reshape, serving, sos
+from pitchlake.operators.numbering import numbered
 from pitchlake.sources import league
 from pitchlake.sources.league import read
 
@@ -161,7 +162,7 @@ STATS_OUT = ["team", "games_played", "wins", "losses", "ties", "goals_for", "goa
 @query("team_stats_e2", BASE + STATS + f"select {', '.join('stats.team' if c == 'team' else c for c in STATS_OUT)}, round(win_percentage, 6) as win_percentage, round(recent_win_pct, 6) as recent_win_pct, round(cross_age_games / games_played, 6) as cross_age_pct, round(cross_state_games / games_played, 6) as cross_state_pct, round(offense, 6) as offense, round(defense, 6) as defense from stats join hist using (team)")
 def team_stats_e2(spark, sf_dir):
     lg, long = _long(spark, sf_dir)
-    return ratings.team_stats(long, lg.teams, lg.as_of).select(*STATS_OUT, *r6("win_percentage", "recent_win_pct", "cross_age_pct", "cross_state_pct", "offense", "defense"))
+    return ratings.team_stats(long, lg.teams, lg.as_of, total=league.games_of_teams(lg.games)).select(*STATS_OUT, *r6("win_percentage", "recent_win_pct", "cross_age_pct", "cross_state_pct", "offense", "defense"))
 
 
 for _name, _tie in (("record_sql_variant", 0.5), ("record_fallback_variant", 0.0)):
@@ -186,8 +187,10 @@ def off_def_raw(spark, sf_dir):
 
 
 def _base(spark, sf_dir):
+    """(league, numbered games of the year, offense and defense): the year is sorted once and kept for what follows."""
     lg, long = _long(spark, sf_dir)
-    return lg, long, ratings.off_def(ratings.weighted_recent(long, lg.as_of))
+    year = ratings.numbered_year(long, lg.as_of).persist()
+    return lg, year, ratings.off_def(ratings.weighted(year))
 
 
 @query("opp_strength", BASE + WEIGHTED + STRENGTH + "select team, off_norm, def_norm, round(opp_off, 6) as opp_off, round(opp_def, 6) as opp_def from st")
@@ -197,26 +200,26 @@ def opp_strength(spark, sf_dir):
 
 @query("adjusted_goals", BASE + WEIGHTED + STRENGTH + ADJUSTED + "select team, count(*) as n, round(sum(adaptive_k), 6) as adaptive_k, round(sum(adj_gf_base), 6) as adj_gf_base, round(sum(adj_ga_base), 6) as adj_ga_base from ad group by team")
 def adjusted_goals(spark, sf_dir):
-    lg, long, base = _base(spark, sf_dir)
-    return ratings.adjusted_games(long, base, lg.as_of).groupBy("team").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in ("adaptive_k", "adj_gf_base", "adj_ga_base")])
+    _, year, base = _base(spark, sf_dir)
+    return ratings.adjusted_games(year, base).groupBy("team").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in ("adaptive_k", "adj_gf_base", "adj_ga_base")])
 
 
 @query("performance_layer", BASE + WEIGHTED + STRENGTH + ADJUSTED + "select team, opponent, game_id, gf, ga, rn - 1 as games_ago, round(perf_delta, 6) as perf_delta, round(perf_factor, 6) as perf_factor, round(adj_gf, 6) as adj_gf, round(adj_ga, 6) as adj_ga from ad")
 def performance_layer(spark, sf_dir):
-    lg, long, base = _base(spark, sf_dir)
-    return ratings.adjusted_games(long, base, lg.as_of).select("team", "opponent", "game_id", "gf", "ga", F.col("games_ago").cast("long").alias("games_ago"), *r6("perf_delta", "perf_factor", "adj_gf", "adj_ga"))
+    _, year, base = _base(spark, sf_dir)
+    return ratings.adjusted_games(year, base).select("team", "opponent", "game_id", "gf", "ga", F.col("games_ago").cast("long").alias("games_ago"), *r6("perf_delta", "perf_factor", "adj_gf", "adj_ga"))
 
 
 @query("zclip", BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + "select team, count(*) as n, count(*) filter (gf_z <> adj_gf) as clipped_gf, round(sum(gf_z), 6) as gf_z, round(sum(ga_z), 6) as ga_z from z group by team")
 def zclip(spark, sf_dir):
-    lg, long, base = _base(spark, sf_dir)
-    z = S.z_clipped(ratings.adjusted_games(long, base, lg.as_of), "team", {"gf_z": "adj_gf", "ga_z": "adj_ga"})
+    _, year, base = _base(spark, sf_dir)
+    z = S.z_clipped(ratings.adjusted_games(year, base), "team", {"gf_z": "adj_gf", "ga_z": "adj_ga"})
     return z.groupBy("team").agg(F.count("*").alias("n"), ratings.counted(F.col("gf_z") != F.col("adj_gf")).alias("clipped_gf"), *[F.round(F.sum(c), 6).alias(c) for c in ("gf_z", "ga_z")])
 
 
 def _sao(spark, sf_dir):
-    lg, long, base = _base(spark, sf_dir)
-    return lg, long, base, ratings.sao_sad(ratings.adjusted_games(long, base, lg.as_of))
+    lg, year, base = _base(spark, sf_dir)
+    return lg, year, base, ratings.sao_sad(ratings.adjusted_games(year, base))
 
 
 @query("sao_sad", BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + SAO + "select team, games_played, round(sao_raw, 6) as sao_raw, round(sad_raw, 6) as sad_raw from sao")
@@ -286,10 +289,10 @@ sr as (select r.team, avg(coalesce(strength, (select quantile_cont(strength, 0.5
 """
 
 
-def _sos_raw(lg, long):
-    hist = ratings.enriched_history(long, lg.as_of)
-    strength = hist.groupBy(F.col("opponent").alias("team")).agg(F.avg("opponent_base_strength").alias("strength"))
-    return sos.opponent_mean(ratings.recent(long, lg.as_of), strength)
+def _sos_raw(lg, long, recent=None):
+    """Strength of an opponent: the mean base strength of its rows in the history, which is its own base strength."""
+    strength = ratings.base_strength(ratings.distinct_history(long, lg.as_of)).select("team", F.col("base_strength").alias("strength"))
+    return sos.opponent_mean(ratings.recent(long, lg.as_of) if recent is None else recent, strength)
 
 
 @query("sos_baseline", BASE + SOS_RAW + "select team, round(sos_raw, 6) as sos_raw from sr")
@@ -302,26 +305,27 @@ def sos_pct_rank_proxy(spark, sf_dir):
     return S.percent_rank_average(_base(spark, sf_dir)[2].select("team", F.round("off_raw", 6).alias("v")), "v", "sos_raw").select("team", *r6("sos_raw"))
 
 
-def _relaxed(lg, long, stats, steps=3):
-    return sos.relaxed(stats.select("team", F.col("win_percentage").alias("s")), sos.edges(ratings.recent(long, lg.as_of), lg.teams), steps)
+def _stats_and_schedule(spark, sf_dir, steps=3):
+    """(league, recent rows, stats, schedule): the recent rows are made once and kept for both."""
+    lg, long = _long(spark, sf_dir)
+    rows = ratings.with_sides(ratings.recent(long, lg.as_of), lg.teams).persist()
+    stats = ratings.stats_of(rows, league.games_of_teams(lg.games))
+    return lg, rows, stats, sos.relaxed(stats.select("team", F.col("win_percentage").alias("s")), sos.edges(rows), steps)
 
 
 @query("sos_relax_3", BASE + STATS + SOS + "select team, round(sos_score, 6) as sos_score from sos")
 def sos_relax_3(spark, sf_dir):
-    lg, long = _long(spark, sf_dir)
-    return _relaxed(lg, long, ratings.team_stats(long, lg.teams, lg.as_of)).select("team", *r6("sos_score"))
+    return _stats_and_schedule(spark, sf_dir)[3].select("team", *r6("sos_score"))
 
 
 @query("sos_relax_converged")
 def sos_relax_converged(spark, sf_dir):
-    lg, long = _long(spark, sf_dir)
-    return _relaxed(lg, long, ratings.team_stats(long, lg.teams, lg.as_of), None).select("team", *r6("sos_score"))
+    return _stats_and_schedule(spark, sf_dir, None)[3].select("team", *r6("sos_score"))
 
 
 def _power(spark, sf_dir):
-    lg, long = _long(spark, sf_dir)
-    stats = ratings.team_stats(long, lg.teams, lg.as_of)
-    return lg, long, ratings.power_e2(stats, _relaxed(lg, long, stats))
+    lg, rows, stats, schedule = _stats_and_schedule(spark, sf_dir)
+    return lg, rows, ratings.power_e2(stats, schedule)
 
 
 POWER_OUT = ("offense_adj", "defense_adj", "offense_norm", "defense_norm", "sos_norm", "power_score", "games_penalty", "power_score_adj")
@@ -357,8 +361,8 @@ isl as (select *, sum(case when delta >= 0 then 1 else 0 end) over (partition by
 stk as (select *, sum(case when delta < 0 then 1 else 0 end) over (partition by team, island order by rn desc) as streak from isl)
 select team, round(sum((0.02::double + 0.01::double * least(1.0::double, gp / 30.0::double)) * tanh(delta * case when streak = 2 then 1.2::double when streak = 3 then 1.5::double when streak >= 5 then 2.0::double else 1.0::double end / 2)), 6) as adjustment, max(streak)::bigint as longest_streak from stk group by team""")
 def perf_adjust(spark, sf_dir):
-    lg, long, power = _power(spark, sf_dir)
-    return ratings.performance_adjustment(ratings.recent(long, lg.as_of), power).select("team", *r6("adjustment"), "longest_streak")
+    _, rows, power = _power(spark, sf_dir)
+    return ratings.performance_adjustment(rows, power).select("team", *r6("adjustment"), "longest_streak")
 
 
 @query("power_e1", BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + SAO + SHRUNK + SOS_RAW + """, q as (select quantile_cont(sao, 0.05) as l1, quantile_cont(sao, 0.95) as h1, quantile_cont(sad, 0.05) as l2, quantile_cont(sad, 0.95) as h2 from shr), q3 as (select quantile_cont(sos_raw, 0.05) as l3, quantile_cont(sos_raw, 0.95) as h3 from sr),
@@ -366,13 +370,10 @@ wz as (select shr.team, games_played, greatest(l1, least(h1, sao)) as a, greates
 nz as (select *, 1 / (1 + exp(-(a - avg(a) over ()) / stddev_pop(a) over ())) as sao_norm, 1 / (1 + exp(-(b - avg(b) over ()) / stddev_pop(b) over ())) as sad_norm from wz)
 select team, games_played, round(0.2::double * sao_norm + 0.2::double * sad_norm + 0.6::double * c, 4) as power_score, round(least(1.0::double, pow(games_played / 20.0::double, 1.5::double)), 6) as gp_mult, 'baseline' as sos_source, case when games_played >= 6 then 'Active' else 'Provisional' end as status from nz""")
 def power_e1(spark, sf_dir):
-    lg, long, _, sao = _sao(spark, sf_dir)
+    lg, year, _, sao = _sao(spark, sf_dir)
     df = S.robust_scale(S.shrunk(sao, {"sao": "sao_raw", "sad": "sad_raw"}, "games_played"), {"sao_norm": "sao", "sad_norm": "sad"})
-    schedule = S.robust_minmax(_sos_raw(lg, long), {"sos_norm": "sos_raw"}).withColumn("sos_iterative_norm", F.lit(None).cast("double"))
-    df = df.join(schedule, "team")
-    component = F.coalesce("sos_iterative_norm", "sos_norm")
-    power = F.round(S.power_score(F.col("sao_norm"), F.col("sad_norm"), component), 4)
-    return df.select("team", "games_played", power.alias("power_score"), F.round(S.penalty(F.col("games_played"), 1.5), 6).alias("gp_mult"), F.when(F.col("sos_iterative_norm").isNotNull(), "iterative").otherwise("baseline").alias("sos_source"), reshape.status_by_games("games_played").alias("status"))
+    schedule = S.robust_minmax(_sos_raw(lg, reshape.unpivot(lg.games), year.where("rn <= 30")), {"baseline": "sos_raw"}).select("team", "baseline")
+    return ratings.power_e1(df, schedule).select("team", "games_played", "power_score", F.round("gp_mult", 6).alias("gp_mult"), "sos_source", "status")
 
 
 def _division_games(lg):
@@ -405,11 +406,40 @@ def elo_batched_3(spark, sf_dir):
     return elo.batched(reshape.trailing(lg.games, lg.as_of, 365), 3).select("team", *r6("rating"))
 
 
-PAIRS = "with recursive p as (select o_custkey as a, o_custkey - o_custkey % 7 + o_orderkey % 3 as b from orders where o_orderkey % 11 = 0 or o_totalprice > 300000),\n"
+@query("elo_schedule_batched", BASE + _ELO + ", m as (select x.team, avg(r3.r) as v from win x join r3 on r3.team = x.opponent group by x.team) select team, round(v, 6) as sos_iterative, round((v - min(v) over ()) / (max(v) over () - min(v) over ()), 6) as sos_norm from m")
+def elo_schedule_batched(spark, sf_dir):
+    """Mean opponent rating from the variant that no task folds alone."""
+    lg = league.load(spark, sf_dir)
+    year = reshape.trailing(lg.games, lg.as_of, 365)
+    return elo.schedule(reshape.unpivot(year), elo.batched(year, 3)).select("team", *r6("sos_iterative", "sos_norm"))
+
+
+POWER_ITERATIVE = """, q as (select quantile_cont(sao, 0.05) as l1, quantile_cont(sao, 0.95) as h1, quantile_cont(sad, 0.05) as l2, quantile_cont(sad, 0.95) as h2 from shr),
+wz as (select shr.team, games_played, greatest(l1, least(h1, sao)) as a, greatest(l2, least(h2, sad)) as b from shr, q),
+nz as (select *, 1 / (1 + exp(-(a - avg(a) over ()) / stddev_pop(a) over ())) as sao_norm, 1 / (1 + exp(-(b - avg(b) over ()) / stddev_pop(b) over ())) as sad_norm from wz),
+m as (select x.team, avg(r3.r) as v from win x join r3 on r3.team = x.opponent group by x.team),
+it as (select team, case when team % 5 > 0 then (v - min(v) over ()) / (max(v) over () - min(v) over ()) end as c from m),
+q3 as (select quantile_cont(sos_raw, 0.05) as l3, quantile_cont(sos_raw, 0.95) as h3 from sr), bl as (select team, (greatest(l3, least(h3, sos_raw)) - l3) / (h3 - l3) as c from sr, q3)
+select nz.team, round(0.2::double * sao_norm + 0.2::double * sad_norm + 0.6::double * coalesce(it.c, bl.c), 4) as power_score, case when it.c is null then 'baseline' else 'iterative' end as sos_source from nz join bl using (team) left join it using (team)
+"""
+
+
+@query("power_e1_iterative", BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + SAO + SHRUNK + SOS_RAW + _ELO + POWER_ITERATIVE)
+def power_e1_iterative(spark, sf_dir):
+    """The first engine's score with an iterative schedule that lacks a fifth of the teams: these fall back to the baseline."""
+    lg, year, _, sao = _sao(spark, sf_dir)
+    df = S.robust_scale(S.shrunk(sao, {"sao": "sao_raw", "sad": "sad_raw"}, "games_played"), {"sao_norm": "sao", "sad_norm": "sad"})
+    games = reshape.trailing(lg.games, lg.as_of, 365)
+    rated = elo.schedule(reshape.unpivot(games), elo.batched(games, 3)).where("team % 5 > 0").select("team", "sos_norm")
+    schedule = S.robust_minmax(_sos_raw(lg, reshape.unpivot(lg.games), year.where("rn <= 30")), {"baseline": "sos_raw"})
+    return ratings.power_e1(df, schedule.select("team", "baseline"), rated).select("team", "power_score", "sos_source")
+
+
+PAIRS = "with recursive p as (select o_custkey as a, o_custkey - o_custkey % 7 + o_orderkey % 3 as b from orders),\n"
 
 
 def _pairs(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 11 = 0 or o_totalprice > 300000")
+    o = read(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 7 + F.col("o_orderkey") % 3).alias("b"))
 
 
@@ -490,8 +520,22 @@ def national_format(spark, sf_dir):
     lg = league.load(spark, sf_dir)
     side = lambda s: lg.teams.select(F.col("team").alias(f"team_{s}"), F.col("state").alias(f"team_{s}_state"), F.col("age").alias(f"age_{s}"))
     g = reshape.trailing(lg.games, lg.as_of, 30).join(side("a"), "team_a").join(side("b"), "team_b").withColumn("result_a", reshape.outcome("score_a", "score_b"))
-    number = F.row_number().over(Window.orderBy("game_id", "team_a", "team_b", "score_a", "score_b", "date")) - 1 + 1_000_000
-    return g.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "team_a", "team_b", "team_a_state", "team_b_state", "score_a", "score_b", "result_a", reshape.invert_result("result_a").alias("result_b"), "event", F.lit("League").alias("competition"), F.col("age_a").alias("division"), (F.col("team_a_state") != F.col("team_b_state")).alias("cross_state"), number.cast("long").alias("match_id"))
+    g = numbered(g, ["game_id", "team_a", "team_b", "score_a", "score_b", "date"], "number", 1_000_000)
+    return g.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "team_a", "team_b", "team_a_state", "team_b_state", "score_a", "score_b", "result_a", reshape.invert_result("result_a").alias("result_b"), "event", F.lit("League").alias("competition"), F.col("age_a").alias("division"), (F.col("team_a_state") != F.col("team_b_state")).alias("cross_state"), F.col("number").cast("long").alias("match_id"))
+
+
+@query("national_columns", BASE + """, g as (select strftime(date, '%Y-%m-%d') as d, g.*, a.state as sa, b.state as sb, case when score_a > score_b then 'W' when score_a < score_b then 'L' when date < today.d - interval 15 day then 'T' end as ra from games g, today, teams a, teams b where date >= today.d - interval 30 day and a.team = team_a and b.team = team_b)
+select d as "Date", team_a as "Team A", team_b as "Team B", sa as "Team A State", sb as "Team B State", 'U11B' as "Team A Division", 'U11B' as "Team B Division", 'Club ' || team_a as "Team A Club", 'Club ' || team_b as "Team B Club", score_a as "Score A", score_b as "Score B",
+  ra as "Result A", case ra when 'W' then 'L' when 'L' then 'W' when 'T' then 'T' else '' end as "Result B", event as "Event", event as "Competition", 'U11B U11 Boys Elite' as "Division", event as "Venue", '' as "Location",
+  row_number() over (order by game_id, team_a, team_b, score_a, score_b, d) - 1 + 2000000 as "Match ID", team_a as "Original Team A ID", team_b as "Original Team B ID", sa is distinct from sb as "Cross_State", 'League' as "Event_Type", sa as "Venue_State" from g""")
+def national_columns(spark, sf_dir):
+    lg = league.load(spark, sf_dir)
+    side = lambda s: lg.teams.select(F.col("team").alias(f"team_{s}"), F.col("state").alias(f"Team {s.upper()} State"))
+    g = reshape.trailing(lg.games, lg.as_of, 30).join(side("a"), "team_a").join(side("b"), "team_b")
+    tie = F.when(F.col("date") < league.days_before(lg.as_of, 15), "T")
+    named = g.select(F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("team_a").alias("Team A"), F.col("team_b").alias("Team B"), "Team A State", "Team B State", F.concat(F.lit("Club "), "team_a").alias("Team A Club"), F.concat(F.lit("Club "), "team_b").alias("Team B Club"),
+                     F.col("score_a").alias("Score A"), F.col("score_b").alias("Score B"), F.when(F.col("score_a") > F.col("score_b"), "W").when(F.col("score_a") < F.col("score_b"), "L").otherwise(tie).alias("Team A Result"), F.col("event").alias("Event"), F.col("team_a").alias("Gotsport Team id # Team A"), F.col("team_b").alias("Team B GotSport ID"), "game_id")
+    return reshape.national(named, 11, ["game_id", "Team A", "Team B", "Score A", "Score B", "Date"]).withColumn("Match ID", F.col("Match ID").cast("long"))
 
 
 def _ratings_table(spark, sf_dir):
@@ -568,6 +612,16 @@ def prediction_scores(spark, sf_dir):
     return quality.prediction_scores(_predictions(spark, sf_dir), "p", "y").select("n", *r6("accuracy", "brier", "log_loss"))
 
 
+@query("prediction_auc", PRED + ", s as (select sum(y)::double as pos, sum(1 - y)::double as neg from p), r as (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0::double as r from p), w as (select sum(case when y = 1 then r end) as w from r) select round((w - pos * (pos + 1) / 2) / (pos * neg), 6) as auc from w, s")
+def prediction_auc(spark, sf_dir):
+    return quality.area_under_curve(_predictions(spark, sf_dir), "p", "y").select(*r6("auc"))
+
+
+@query("calibration_fit", PRED + "select round(regr_slope(y, p), 6) as slope, round(regr_intercept(y, p), 6) as intercept from p")
+def calibration_fit(spark, sf_dir):
+    return quality.calibration_slope(_predictions(spark, sf_dir), "p", "y").select(*r6("slope", "intercept"))
+
+
 @query("metric_lag", PRED + ", d as (select event_type, ts::date as day, avg(p) as m from p group by all) select event_type, day, round(m, 6) as m, round(m - lag(m) over (partition by event_type order by day), 6) as delta from d")
 def metric_lag(spark, sf_dir):
     d = _predictions(spark, sf_dir).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("p").alias("m"))

@@ -29,11 +29,21 @@ def _regex(inner: str, *pairs: tuple[str, str]) -> str:
     return inner
 
 
+def _guarded(inner: str) -> str:
+    """Letters and digits beyond ASCII between marks that are ASCII letters: no word ends beside them, as for Spark's (?U)."""
+    return f"regexp_replace(regexp_replace({inner}, '([^\\x00-\\x7F])', 'qzq\\1qzq', 'g'), 'qzq([^\\p{{L}}\\p{{N}}])qzq', '\\1', 'g')"
+
+
+def _bare(inner: str) -> str:
+    return f"replace({inner}, 'qzq', '')"
+
+
 BASIC = SQUEEZE.format(_regex("lower(coalesce(name, ''))", ("[^a-z0-9 ]", "")))
-LIGHT = SQUEEZE.format(_regex(f"lower(regexp_replace(translate(coalesce(name, ''), '{N.ACCENTED}', '{N.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'))", ("[^a-z0-9 ]", " ")))
+_LETTERS = _nested("coalesce(name, '')", N.LIGATURES)
+LIGHT = SQUEEZE.format(_regex(f"lower(regexp_replace(translate({_LETTERS}, '{N.ACCENTED}', '{N.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'))", ("[^a-z0-9 ]", " ")))
 _WHOLE = "trim(lower(name))"
-_CANON = SQUEEZE.format(_nested(_regex(_WHOLE, ("\\s+\\((h|a)\\)$", ""), ("\\bsc\\b|\\bfc\\b|\\bacademy\\b", "")), [("boys", ""), ("girls", ""), ("b14", "2014"), ("b15", "2015")]))
-CANON = f"case when {_WHOLE} in ({', '.join(repr(c) for c in N.COLOUR_TEAMS)}) then {_WHOLE} else trim(regexp_replace({_CANON}, '\\s+(blue|red|white|black|gold|maroon|green|navy|silver|grey|gray)$', '')) end"
+_CANON = SQUEEZE.format(_nested(_regex(_guarded(_WHOLE), ("\\s+\\((h|a)\\)$", ""), ("\\bsc\\b|\\bfc\\b|\\bacademy\\b", "")), [("boys", ""), ("girls", ""), ("b14", "2014"), ("b15", "2015")]))
+CANON = f"case when {_WHOLE} in ({', '.join(repr(c) for c in N.COLOUR_TEAMS)}) then {_WHOLE} else {_bare(f"trim(regexp_replace({_CANON}, '\\s+(blue|red|white|black|gold|maroon|green|navy|silver|grey|gray)$', ''))")} end"
 
 
 def _division_sql() -> str:
@@ -47,8 +57,8 @@ def _team_sql(column: str = "name", prefixes: dict | None = None, season: int =
     s = f"trim(lower({column}))"
     if prefixes:
         s = "case " + " ".join(f"when starts_with({s}, '{v}') then '{club}' || substr({s}, {len(v) + 1})" for club, vs in prefixes.items() for v in vs) + f" else {s} end"
-    s = _regex(_nested(s, N.SUBSTITUTIONS), ("\\b20(\\d{2})\\b", "\\1"), *[(f"\\bu{a}\\b", str(season - a)[2:]) for a in range(10, 20)], ("\\b(\\d{2})[bg]\\b", "\\1"), ("\\b20(\\d{2})[bg]\\b", "\\1"), ("\\b(boys?|girls?|male|female|men|women|b|g)\\b", ""), ("[^\\w\\s]", " "))
-    return SQUEEZE.format(s)
+    s = _regex(_nested(_guarded(s), N.SUBSTITUTIONS), ("\\b20(\\d{2})\\b", "\\1"), *[(f"\\bu{a}\\b", str(season - a)[2:]) for a in range(10, 20)], ("\\b(\\d{2})[bg]\\b", "\\1"), ("\\b20(\\d{2})[bg]\\b", "\\1"), ("\\b(boys?|girls?|male|female|men|women|b|g)\\b", ""), ("[^\\p{L}\\p{N}_\\s]", " "))
+    return _bare(SQUEEZE.format(s))
 
 
 def _matcher_club_sql() -> str:
@@ -57,7 +67,7 @@ def _matcher_club_sql() -> str:
         s = f"trim(regexp_replace({s}, ' {suffix}$', ''))"
     for p in ("the ", "fc ", "sc "):
         s = f"trim(regexp_replace({s}, '^{p}', ''))"
-    return SQUEEZE.format(_regex(s, ("[^\\w\\s]", "")))
+    return SQUEEZE.format(_regex(s, ("[^\\p{L}\\p{N}_\\s]", "")))
 
 
 for _name, _column, _sql in (
@@ -65,29 +75,19 @@ for _name, _column, _sql in (
     ("norm_light", lambda: N.light_name("name"), LIGHT),
     ("norm_canonical", lambda: N.canonical_name("name"), CANON),
     ("norm_u11", lambda: N.division_name("name"), _division_sql()),
-    ("norm_aggressive", lambda: F.regexp_replace(N.team_name("name"), "[^\\x00-\\x7F]", ""), "regexp_replace(" + _team_sql() + ", '[^\\x00-\\x7F]', '', 'g')"),
-    ("norm_prefixed", lambda: F.regexp_replace(N.team_name("name", X.PREFIXES), "[^\\x00-\\x7F]", ""), "regexp_replace(" + _team_sql(prefixes=X.PREFIXES) + ", '[^\\x00-\\x7F]', '', 'g')"),
-    ("norm_club", lambda: N.club_name("name"), SQUEEZE.format(_regex(_nested("trim(lower(name))", N.CLUB_SUBSTITUTIONS), ("\\b(fc|sc|ac|acad|prem|elite|sel|united|city|assoc|ath)\\b", "")))),
+    ("norm_aggressive", lambda: N.team_name("name"), _team_sql()),
+    ("norm_prefixed", lambda: N.team_name("name", X.PREFIXES), _team_sql(prefixes=X.PREFIXES)),
+    ("norm_club", lambda: N.club_name("name"), _bare(SQUEEZE.format(_regex(_nested(_guarded("trim(lower(name))"), N.CLUB_SUBSTITUTIONS), ("\\b(fc|sc|ac|acad|prem|elite|sel|united|city|assoc|ath)\\b", ""))))),
     ("club_norm", lambda: N.matcher_club(F.col("name")), _matcher_club_sql()),
 ):
-    # names with letters beyond ASCII differ by the word class of the regular expressions, so these queries run on ASCII names
-    def _normalised(spark, sf_dir, column=_column, ascii_only=_name not in ("norm_light",)):
-        parts = read(spark, sf_dir, "part").select("p_name").distinct().select((F.lit(1000) + F.row_number().over(_by_name())).cast("long").alias("ord"), F.col("p_name").alias("name"))
-        rows = X.observed(spark).unionByName(parts)
-        rows = rows.where(~F.col("name").rlike(r"[^\x00-\x7F]")) if ascii_only else rows
-        return rows.select("ord", "name", column().alias("normalised"))
-
-    _where = "" if _name == "norm_light" else " where not regexp_matches(name, '[^\\x00-\\x7F]')"
-    query(_name, f"with {X.OBSERVED_SQL}, n as (select * from observed union all select 1000 + row_number() over (order by p_name), p_name from (select distinct p_name from part)) select ord, name, {_sql} as normalised from n{_where}")(_normalised)
-
+    def _normalised(spark, sf_dir, column=_column):
+        parts = read(spark, sf_dir, "part").select("p_name").distinct().select(F.lit(-1).cast("long").alias("ord"), F.col("p_name").alias("name"))
+        return X.observed(spark).unionByName(parts).select("ord", "name", column().alias("normalised"))
 
-def _by_name():
-    from pyspark.sql import Window
+    query(_name, f"with {X.OBSERVED_SQL}, n as (select * from observed union all select -1, p_name from (select distinct p_name from part)) select ord, name, {_sql} as normalised from n")(_normalised)
 
-    return Window.orderBy("p_name")
 
-
-_LOW = SQUEEZE.format("lower(name)")
+_LOW = SQUEEZE.format(_guarded("lower(name)"))
 _PAD = "' ' || s || ' '"
 _YEAR2 = "case when {0} = '' then null when {0}::int <= 30 then '20' || {0} when {0}::int between 80 and 99 then '19' || {0} end"
 _U = "regexp_extract(s, '\\bu(\\d{1,2})\\b', 1)"
@@ -101,9 +101,9 @@ _FIRST = lambda words: "case " + " ".join(f"when contains({_PAD}, ' {w} ') then
 _DESIGNATION = f"coalesce(case {_ROMAN} " + " ".join(f"when '{k}' then '{v}'" for k, v in N.ROMAN.items()) + f" end, case when {_LETTER} not in ('', 'b', 'g') then {_LETTER} end, case when {_NUMBER} <> '' and length({_NUMBER}) <> 4 and not (length({_NUMBER}) = 2 and {_NUMBER}::int <= 30) then {_NUMBER} end, {_FIRST(N.DESIGNATIONS)}, '')"
 
 
-@query("extract_fields", f"with {X.OBSERVED_SQL}, n as (select ord, name, {_LOW} as s from observed where not regexp_matches(name, '[^\\x00-\\x7F]')) select ord, name, {_BIRTH} as birth_year, {_GENDER} as gender, {_DESIGNATION} as designation, coalesce({_FIRST(N.STATES)}, '') as state from n")
+@query("extract_fields", f"with {X.OBSERVED_SQL}, n as (select ord, name, {_LOW} as s from observed) select ord, name, {_BIRTH} as birth_year, {_GENDER} as gender, {_DESIGNATION} as designation, coalesce({_FIRST(N.STATES)}, '') as state from n")
 def extract_fields(spark, sf_dir):
-    rows = X.observed(spark).where(~F.col("name").rlike(r"[^\x00-\x7F]")).withColumn("p", N.parsed("name"))
+    rows = X.observed(spark).withColumn("p", N.parsed("name"))
     return rows.select("ord", "name", "p.birth_year", "p.gender", "p.designation", "p.state")
 
 
@@ -160,12 +160,9 @@ def alias_resolve(spark, sf_dir):
     return matching.resolve(X.observed(spark), X.aliases(spark), X.master(spark)).select("name", "canonical", *r6("confidence"), "source")
 
 
-_ASCII = " where not regexp_matches(name, '[^\\x00-\\x7F]')"
-
-
-@query("alias_cache", f"with {X.OBSERVED_SQL}, {X.ALIASES_SQL}, o as (select distinct name, {_team_sql()} as key from observed{_ASCII}), a as (select {_team_sql('alias_name')} as key, canonical_team_name, confidence from aliases) select name, canonical_team_name as canonical, confidence from o join a using (key)")
+@query("alias_cache", f"with {X.OBSERVED_SQL}, {X.ALIASES_SQL}, o as (select distinct name, {_team_sql()} as key from observed), a as (select {_team_sql('alias_name')} as key, canonical_team_name, confidence from aliases) select name, canonical_team_name as canonical, confidence from o join a using (key)")
 def alias_cache(spark, sf_dir):
-    o = X.observed(spark).where(~F.col("name").rlike(r"[^\x00-\x7F]")).select("name", N.team_name("name").alias("key")).distinct()
+    o = X.observed(spark).select("name", N.team_name("name").alias("key")).distinct()
     a = X.aliases(spark).select(N.team_name("alias_name").alias("key"), F.col("canonical_team_name").alias("canonical"), "confidence")
     return o.join(a, "key").select("name", "canonical", "confidence")
 
@@ -177,9 +174,9 @@ def alias_replace(spark, sf_dir):
     return matching.replaced(n, "name", a).select("raw", "name")
 
 
-@query("anti_join_new", f"with {X.OBSERVED_SQL}, {X.ALIASES_SQL}, o as (select distinct name, {_team_sql()} as key from observed{_ASCII}) select name, key from o where key not in (select {_team_sql('alias_name')} from aliases)")
+@query("anti_join_new", f"with {X.OBSERVED_SQL}, {X.ALIASES_SQL}, o as (select distinct name, {_team_sql()} as key from observed) select name, key from o where key not in (select {_team_sql('alias_name')} from aliases)")
 def anti_join_new(spark, sf_dir):
-    o = X.observed(spark).where(~F.col("name").rlike(r"[^\x00-\x7F]")).select("name").distinct().withColumn("key", N.team_name("name"))
+    o = X.observed(spark).select("name").distinct().withColumn("key", N.team_name("name"))
     return o.join(X.aliases(spark).select(N.team_name("alias_name").alias("key")).distinct(), "key", "left_anti").select("name", "key")
 
 
@@ -205,6 +202,7 @@ def team_id(spark, sf_dir):
     return s.withColumn("valid", N.is_team_id("team_id"))
 
 
+# The patterns of names that cannot belong to the division.
 _AGE, _STATE = "\\b(2013|2015|13|15|u13|u15|14g|girls)\\b", "\\b(ca|nv|tx|nm|co|wa|ut|or|dc|pr|hi|ak|can|mexico|bc|ab)\\b"
 
 
@@ -228,7 +226,10 @@ def keep_first_dedupe(spark, sf_dir):
     return matching.keep_first(read(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
 
 
-@query("containment_search", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, p as (select distinct o.name, m.name as match, lower(o.name) as x, lower(m.name) as y, len(list_intersect(list_distinct(regexp_split_to_array(lower(o.name), '\\s+')), list_distinct(regexp_split_to_array(lower(m.name), '\\s+')))) as n from observed o, master m) select name, match from p where n > 0 and (contains(x, y) or contains(y, x) or n >= 2)")
+_SPLIT = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
+
+
+@query("containment_search", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, p as (select distinct o.name, m.name as match, contains(lower(o.name), lower(m.name)) or contains(lower(m.name), lower(o.name)) as inside, len(list_intersect({_SPLIT('lower(o.name)')}, {_SPLIT('lower(m.name)')})) as n from observed o, master m), q as (select *, bool_or(inside) over (partition by name) as found from p) select name, match, inside from q where inside or not found and n >= 2")
 def containment_search(spark, sf_dir):
     return matching.contains_either(X.observed(spark).select("name"), X.master(spark).select("name"))
 

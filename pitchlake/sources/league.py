@@ -26,9 +26,27 @@ class League:
     as_of: dt.datetime
 
 
+#: (number of suppliers, newest ship date) by application, directory and change times of the two tables.
+_known: dict[tuple, tuple[int, dt.datetime | None]] = {}
+
+
+def _changed(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+
+
+def facts(spark: SparkSession, sf_dir: str) -> tuple[int, dt.datetime | None]:
+    """(number of suppliers, newest ship date) from one job, kept until a table changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(_changed(spark, f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem")))
+    if key not in _known:
+        newest = read(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").alias("d"))
+        _known[key] = tuple(read(spark, sf_dir, "supplier").agg(F.count("*").alias("n")).crossJoin(newest).first())
+    return _known[key]
+
+
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game_id, date, team_a, team_b, score_a, score_b, event. game_id only orders games, it is not unique."""
-    n = read(spark, sf_dir, "supplier").count()
+    n = facts(spark, sf_dir)[0]
     lines = read(spark, sf_dir, "lineitem")
     return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("game_id"),
@@ -41,6 +59,13 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def games_of_teams(g: DataFrame) -> DataFrame:
+    """team, total_games_history: games of either side, counted side by side so that no game is doubled before it is counted."""
+    whole = g.where("team_a is not null and team_b is not null and score_a is not null and score_b is not null")
+    pairs = whole.groupBy("team_a", "team_b").agg(F.count("*").alias("n"))
+    return pairs.select(F.explode(F.array("team_a", "team_b")).alias("team"), "n").groupBy("team").agg(F.sum("n").alias("total_games_history"))
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """team, name, state, age."""
     nations = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("state"))
@@ -51,7 +76,7 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> League:
     g = games(spark, sf_dir)
-    as_of = read(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).first()[0]
+    as_of = facts(spark, sf_dir)[1]
     return League(g, teams(spark, sf_dir), as_of or dt.datetime(1970, 1, 1))
 
 

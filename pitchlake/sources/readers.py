@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.operators.reshape import first_present, require
+from pitchlake.operators.reshape import canonical_header, first_present, require
 
 GAME_COLUMNS = ["Team A", "Team B", "Score A", "Score B", "Date"]
-#: Other names under which source files hold the columns of a game.
+#: Names under which source files hold the columns of a game, the first that a file has wins.
 GAME_ALIASES = {
-    "Team A": ["Team A", "Home Team", "team_a", "TeamA"], "Team B": ["Team B", "Away Team", "team_b", "TeamB"], "Score A": ["Score A", "Home Score", "score_a", "ScoreA"],
-    "Score B": ["Score B", "Away Score", "score_b", "ScoreB"], "Date": ["Date", "Game Date", "date", "Match Date"],
+    "Team A": ["Team A", "Home", "Home Team", "team_a", "TeamA"], "Team B": ["Team B", "Away", "Away Team", "team_b", "TeamB"],
+    "Score A": ["Score A", "ScoreA", "Home Score", "score_a"], "Score B": ["Score B", "ScoreB", "Away Score", "score_b"],
+    "Date": ["Date", "Date/Time", "Game Date", "date", "Match Date"],
 }
 
 
@@ -48,8 +49,49 @@ def first_existing(spark: SparkSession, candidates: Iterable[str]) -> str | None
 
 
 def game_paths(root: str, division: str) -> list[str]:
-    """Places where a division's games may be, the best first: clean, silver, gold."""
-    return [f"{root}/{layer}/{division}{suffix}" for layer, suffix in (("clean", "_CLEAN.csv"), ("silver", ".parquet"), ("silver", ".csv"), ("gold", ".parquet"), ("gold", ".csv"))]
+    """Places where a division's games may be, the best first: clean, silver, gold, and names of older runs."""
+    layers = [("clean", "_CLEAN.csv"), ("silver", ".parquet"), ("silver", ".csv"), ("gold", ".parquet"), ("gold", ".csv"), ("gold", "_COMPAT.csv")]
+    return [f"{root}/{layer}/{division}{suffix}" for layer, suffix in layers] + [f"{root}/Matched_Games_{division}.csv", f"{root}/Matched_Games.csv"]
+
+
+def history_paths(root: str, age: str, gender: str | None = None, state: str | None = None) -> list[str]:
+    """Files of team histories of a slice, from the most specific name to the plain one."""
+    return [p.replace("Rankings_", "Team_Game_Histories_") for p in slice_paths(root, age, gender, state)]
+
+
+def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(path, change time) of the files that match a glob pattern, in name order."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted((f.getPath().toString(), f.getModificationTime()) for f in found or [])
+
+
+def latest_version(spark: SparkSession, root: str, stem: str, versions: Iterable[str], suffix: str = ".csv") -> str | None:
+    """The file of the first version in the list that exists; without any, the newest file of the stem."""
+    found = first_existing(spark, [f"{root}/{stem}_{v}{suffix}" for v in versions])
+    return found or max(((t, p) for p, t in list_files(spark, f"{root}/{stem}*{suffix}")), default=(0, None))[1]
+
+
+def game_files(spark: SparkSession, root: str, ages: Iterable[str] = ("u10", "u11")) -> dict[str, list[str]]:
+    """CSV files of games by age, wherever they lie under ``root``: the age is part of the name."""
+    files = [p for depth in ("*", "*/*", "*/*/*") for p, _ in list_files(spark, f"{root}/{depth}.csv")]
+    return {age: sorted(p for p in files if age in p.rsplit("/", 1)[-1].lower()) for age in ages}
+
+
+class TableCache:
+    """Tables by path, read again when a file has changed; tables of older changes are released."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: dict[str, tuple[int, DataFrame]] = {}
+
+    def get(self, path: str, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+        changed = max((t for _, t in [*list_files(self.spark, path), *list_files(self.spark, f"{path}/*")]), default=0)
+        if path in self.held and self.held[path][0] != changed:
+            self.held.pop(path)[1].unpersist()
+        if path not in self.held:
+            self.held[path] = changed, read(self.spark, path).persist()
+        return self.held[path][1]
 
 
 def slice_paths(root: str, age: str, gender: str | None = None, state: str | None = None, year: str | None = None) -> list[str]:
@@ -107,3 +149,79 @@ def master_from_games(games: DataFrame, a: str = "team_a", b: str = "team_b") ->
 def states_of_files(df: DataFrame, pattern: str = r"_([A-Z]{2})\.csv$") -> DataFrame:
     """Distinct states in the names of the files a table was read from."""
     return df.select(F.regexp_extract(F.input_file_name(), pattern, 1).alias("state")).where("state <> ''").distinct()
+
+
+def alias_map(spark: SparkSession, path: str) -> DataFrame:
+    """alias, name of a JSON object {alias: name}."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string, string>")).alias("alias", "name"))
+
+
+def slice_index(spark: SparkSession, path: str) -> DataFrame:
+    """state, gender, year of a JSON index {"slices": [...]}; genders are MALE or FEMALE; an empty index is one slice of all."""
+    kind = "struct<slices: array<struct<state: string, gender: string, year: string>>>"
+    found = spark.read.text(path, wholetext=True).select(F.explode_outer(F.from_json("value", kind)["slices"]).alias("s")).select("s.*")
+    return found.select(F.coalesce("state", F.lit("All")).alias("state"), normal_gender("gender", "MALE", "FEMALE", "All").alias("gender"), F.coalesce("year", F.lit("All")).alias("year")).distinct()
+
+
+def normal_gender(column: str, male: str = "M", female: str = "F", missing: str | None = None) -> Column:
+    """M, MALE and BOYS in any case are male, every other value is female; a null is ``missing``."""
+    return F.when(F.col(column).isNull(), F.lit(missing)).when(F.upper(F.trim(column)).isin("M", "MALE", "BOYS"), male).otherwise(female)
+
+
+def metrics_log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a metrics log in the order of time; rows whose time cannot be read come first."""
+    df = require(read_csv(spark, path), ["timestamp"])
+    return df.withColumn("timestamp", F.try_to_timestamp("timestamp").cast("timestamp_ntz")).orderBy(F.col("timestamp").asc_nulls_first())
+
+
+def headers_probe(df: DataFrame, rows: int = 5) -> tuple[list[tuple[str, str]], list[dict]]:
+    """(raw and canonical header of each column, the first rows)."""
+    return [(c, canonical_header(c)) for c in df.columns], [r.asDict() for r in df.limit(rows).collect()]
+
+
+def health(spark: SparkSession, path: str, most: int = 50) -> dict:
+    """Whether a table is there and the names of its first columns."""
+    if not exists(spark, path):
+        return {"ok": False, "path": path, "columns": []}
+    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
+    return {"ok": True, "path": path, "columns": df.columns[:most]}
+
+
+def approved_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Reviewed aliases that were approved, in any spelling of yes."""
+    df = require(read_csv(spark, path), ["alias_name", "canonical_team_name", "approved"])
+    return df.where(F.lower(F.trim("approved")).isin("yes", "y", "true", "1", "approved")).drop("approved")
+
+
+class UnmatchedNames(ValueError):
+    """Observed names that the master list lacks."""
+
+
+def name_map(observed: DataFrame, master: DataFrame, normalise: Callable[[str], Column], log: str | None = None) -> DataFrame:
+    """raw_name, team_id, display_name of every observed name; refuses if any has no master, after writing these to ``log``.
+
+    observed: raw_name; master: team_id, display_name. The check is one count over the names; nothing is collected.
+    """
+    keyed = observed.where("raw_name is not null").select("raw_name").distinct().withColumn("norm", normalise("raw_name"))
+    mapped = keyed.join(master.select("team_id", "display_name", normalise("display_name").alias("norm")), "norm", "left").persist()
+    misses = mapped.where("team_id is null")
+    if n := misses.count():
+        if log:
+            misses.select("raw_name", "norm").write.mode("overwrite").option("header", True).csv(log)
+        raise UnmatchedNames(f"{n} names have no master" + (f", see {log}" if log else ""))
+    return mapped.select("raw_name", "team_id", "display_name").distinct()
+
+
+def corrected_masters(u10: DataFrame, u11: DataFrame, games: DataFrame, season: int = 2026) -> DataFrame:
+    """The master lists an age up, and the youngest made anew of the names in games that hold its birth year.
+
+    Lists: Team_Name, Club, State_Code, GotSport_Team_ID; result: these, Age_Group, Age_U, Team_ID. Ids are hashes of the name.
+    """
+    keep = ["Team_Name", "Club", "State_Code", "GotSport_Team_ID"]
+    older = [df.select(*keep, F.lit(season - age).alias("Age_Group"), F.lit(age).alias("Age_U")) for df, age in ((u10, 11), (u11, 12))]
+    names = distinct_names(games).where(F.contains(F.lower("name"), F.lit(str(season - 10)))).select(F.col("name").alias("Team_Name"))
+    known = u10.select(*keep).groupBy("Team_Name").agg(*[F.first(c).alias(c) for c in keep[1:]])
+    young = names.join(known, "Team_Name", "left").select("Team_Name", *[F.coalesce(c, F.lit("Unknown")).alias(c) for c in keep[1:3]], keep[3], F.lit(season - 10).alias("Age_Group"), F.lit(10).alias("Age_U"))
+    every = young.unionByName(older[0]).unionByName(older[1])
+    return every.withColumn("Team_ID", F.concat(F.lit("u"), "Age_U", F.lit("_"), F.substring(F.sha1("Team_Name"), 1, 12)))

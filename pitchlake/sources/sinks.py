@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from pitchlake.operators.matching import keep_first
 
+FILES_A_STATE = 8
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_by_state(df: DataFrame, path: str, column: str = "state", mode: str = "overwrite") -> None:
-    """One folder per state; rows of a state are brought together first, so that a state is not spread over every task's files."""
-    df.repartition(column).write.mode(mode).partitionBy(column).parquet(path)
+    """One folder per state, of FILES_A_STATE files at most: a state is spread over a few tasks, not all of them, and never one."""
+    df.repartition(F.col(column), F.floor(F.rand(7) * FILES_A_STATE)).write.mode(mode).partitionBy(column).parquet(path)
 
 
 def append_aliases(new: DataFrame, table: str, log: str, run: str) -> None:
@@ -29,6 +31,38 @@ def merged_aliases(existing: DataFrame, approved: DataFrame) -> DataFrame:
     return keep_first(both, ["alias_name"], ["_ord"]).drop("_ord")
 
 
+def merge_reviewed(existing: DataFrame, approved: DataFrame, backup: str, log: str, stamp: str) -> DataFrame:
+    """merged_aliases, after a backup of the table and a log of the aliases that are new."""
+    existing.write.mode("overwrite").parquet(backup)
+    new = approved.join(existing.select("alias_name").distinct(), "alias_name", "left_anti")
+    diff_log(new, "merged", stamp).write.mode("append").parquet(log)
+    return merged_aliases(existing, approved)
+
+
+def write_alias_map(df: DataFrame, path: str) -> None:
+    """A JSON object of alias and name as one line; the map is that of a league's names, of a size for one file."""
+    entries = df.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alias", "name")))).alias("m")) if "alias" in df.columns else df
+    entries.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_name_map(df: DataFrame, path: str) -> None:
+    """Maps of all divisions in one table, a folder a division; a run replaces the divisions it holds."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("division").parquet(path)
+
+
+def write_histories(df: DataFrame, path: str) -> None:
+    """Histories as ``key`` and one JSON ``value`` a team."""
+    rows = F.struct(*[c for c in df.columns if c != "team"])
+    df.groupBy(F.col("team").alias("key")).agg(F.to_json(F.sort_array(F.collect_list(rows))).alias("value")).write.mode("overwrite").parquet(path)
+
+
+def confidence_report(bands: DataFrame, title: str) -> str:
+    """Text of the row that quality.confidence_bands gives."""
+    r = bands.first()
+    share = lambda n: f"{n} ({100 * n / r['n'] if r['n'] else 0:.1f} %)"
+    return "\n".join([title, "=" * len(title), f"Aliases: {r['n']}", f"0.9 and more: {share(r['high'])}", f"0.8 to 0.9: {share(r['middle'])}", f"under 0.8: {share(r['low'])}", f"Mean {r['mean']:.3f}, median {r['median']:.3f}, {r['least']:.3f} to {r['most']:.3f}" if r["n"] else "No aliases"])
+
+
 def diff_log(new: DataFrame, action: str, stamp: str) -> DataFrame:
     return new.withColumns({"action": F.lit(action), "timestamp": F.lit(stamp)})
 

@@ -18,14 +18,21 @@ def new_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def sync(names: DataFrame, read_aliases: Callable[[], DataFrame], resolve: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """Resolve the new names of each micro-batch against the table as it is then, and append what was found.
+    """Resolve the new names of each micro-batch against the table as it is then, and write what was found to the table's folder of the batch.
 
-    A batch that runs again after a failure finds its own rows in the table and appends nothing twice.
+    Rows are those of the alias table: alias_name, canonical_team_name, confidence, source, and the number of the batch; of new
+    names with one key a batch takes the first. A batch
+    that runs again after a failure replaces its own folder: it neither appends twice nor counts its own rows as known.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        fresh = new_names(df.select("name").distinct(), read_aliases())
-        resolve(fresh.select("name")).where("canonical is not null").write.mode("append").parquet(table)
+    def batch(df: DataFrame, number: int) -> None:
+        known = read_aliases()
+        if "batch" in known.columns:
+            known = known.where(F.col("batch") != number)
+        fresh = new_names(df.select("name").distinct(), known).groupBy("key").agg(F.min("name").alias("name"))
+        found = resolve(fresh.select("name")).where("canonical is not null")
+        rows = found.select(F.col("name").alias("alias_name"), F.col("canonical").alias("canonical_team_name"), "confidence", "source")
+        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

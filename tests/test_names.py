@@ -63,3 +63,54 @@ def test_keep_first_and_best(spark):
     df = spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (2, "b", 2.0), (3, "a", 3.0)], "ord int, k string, score double")
     assert sorted(r.ord for r in matching.keep_first(df, ["k"], ["ord"]).collect()) == [0, 2]
     assert sorted(r.ord for r in matching.best(df, "k", "score", "ord").collect()) == [1, 2]
+
+
+def test_matching_of_names_without_a_shared_token(spark):
+    observed = spark.createDataFrame([("desertfoxes",), ("oaklnd rovrs",), ("zzz",), ("",), (None,)], "name string")
+    master = spark.createDataFrame([(0, "desert foxes"), (1, "oakland rovers"), (2, "silver owls"), (3, None)], "ord int, name string")
+    got = {(r.name, r.match): r.nth for r in matching.hybrid_candidates(observed, master).collect()}
+    assert got["desertfoxes", "desert foxes"] == 1 and got["oaklnd rovrs", "oakland rovers"] == 1 and not any(n == "zzz" for n, _ in got)
+    fuzzy = {r.name: (r.match, r.match_type) for r in matching.exact_or_fuzzy(observed.where("name is not null"), master.where("name is not null")).collect()}
+    assert fuzzy["desertfoxes"] == ("desert foxes", "FUZZY") and fuzzy["oaklnd rovrs"] == ("oakland rovers", "FUZZY") and fuzzy["zzz"][1] == "NO_MATCH" and fuzzy[""][1] == "EMPTY"
+
+
+def test_best_of_blocks_by_brute_force():
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))
+    tokens = lambda x: {w for w in x.split() if len(w) > 1 and w not in N.GENERIC_TOKENS}
+
+    def hybrid(x, y):
+        a, b, u, v = tokens(x), tokens(y), " ".join(sorted(x.split())), " ".join(sorted(y.split()))
+        ratio = 2 * lcs(u, v) / (len(u) + len(v)) if u or v else 1.0
+        return 0.6 * ratio + 0.4 * (len(a & b) / len(a | b) if a or b else 1.0)
+
+    for _ in range(25):
+        names = [" ".join(word() for _ in range(rng.randint(0, 4))) for _ in range(12)]
+        masters = [" ".join(rng.choice([word(), "fc", "sc"]) for _ in range(rng.randint(0, 4))) for _ in range(20)]
+        got = [(i, j, round(s, 9)) for i, j, s in M.best_hybrid(names, masters, 3, 0.3, N.GENERIC_TOKENS)]
+        want = [(i, j, round(-s, 9)) for i, x in enumerate(names) for s, j in sorted((-hybrid(x, y), j) for j, y in enumerate(masters) if hybrid(x, y) > 0.3)[:3]]
+        assert got == want
+        for least in (60, 90):
+            best = [(i, max((M.weighted_ratio(x, y), -j) for j, y in enumerate(masters))) for i, x in enumerate(names)]
+            assert list(M.best_weighted(names, masters, least)) == [(i, -j, s) for i, (s, j) in best if s >= least]
+
+
+def test_containment_in_either_direction(spark):
+    a = ["Foxes2016", "Oak", "", "red blue x", "Alpha Beta Gamma", "ab", "é", None, "OAK"]
+    b = ["Foxes", "Oakland", "blue  red y", "beta gamma delta", "xaby", "Café", None, "Oak"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    want = set()
+    for x in filter(lambda v: v is not None, a):
+        held = {(x, y, True) for y in b if y is not None and (x.lower() in y.lower() or y.lower() in x.lower())}
+        want |= held or {(x, y, False) for y in b if y is not None and len(set(x.lower().split()) & set(y.lower().split())) >= 2}
+    assert {tuple(r) for r in matching.contains_either(frame(a), frame(b)).collect()} == want
+
+
+def test_names_in_other_scripts(spark):
+    texts = ["Águilas SC 2016 Boys", "Élan fc Négro Academy", "ﬁne Ǆ Ｆｕｌｌ ½", "Ñandú-b 16b"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "n string").select(N.canonical_name("n")).collect()]
+    assert got == ["águilas 2016", "élan négro", "ﬁne ǆ ｆｕｌｌ ½", "ñandú-b 16b"]
+    light = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "n string").select(N.light_name("n")).collect()]
+    assert light[0] == "aguilas sc 2016 boys" and light[2].startswith("fine dz full") and light[3] == "nandu b 16b"

@@ -15,7 +15,9 @@ NAMES = """rank_by_record unpivot_long perspective_results window_365 inactive_1
 shrink_e1 robust_scale minmax logistic_norm percent_rank_average history_enriched sos_relax_3 rank_state power_e2 components degree
 set_except semi_join_master match_type_report top3_opponents conflicts running_win_pct calibration_bins metric_lag config_compare
 quality_bronze numeric_coercion events_hourly norm_canonical norm_aggressive club_norm extract_fields token_jaccard alias_cache
-anti_join_new mapping_audit team_id containment_search master_from_games division_registry""".split()
+anti_join_new mapping_audit team_id containment_search master_from_games division_registry
+norm_light norm_prefixed norm_club elo_batched_3 elo_schedule_batched power_e1 power_e1_iterative prediction_auc calibration_fit national_columns
+national_format connectivity_report tail_split perf_adjust sos_baseline""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the generated tables are not here")
 
