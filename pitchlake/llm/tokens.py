@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from pitchlake.llm.words import span_hashes
 
-CACHED_PIECES = 1_000_000
-SLICE_CHARS = 1 << 19
+CACHED_PIECES = 200_000  # frequent ones come early; those beyond are forgotten after their slice
+SLICE_CHARS = 1 << 18
 # Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
@@ -59,13 +59,11 @@ class PieceTokenizer:
         ranks = {bytes(letters[c] for c in w): i for w, i in file["model"]["vocab"].items() if w not in self.special}
         self.merge = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kind, self.hashes = _classes(), span_hashes
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.kept: tuple | None = None  # the cache before pieces that it is not to keep
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their slots
+        self.at, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.pool = np.zeros(1 << 18, np.uint32)
-        self.code_at, self.code_n, self.code_used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.code_at, self.code_n, self.code_used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.codes = np.zeros(1 << 18, np.uint32)
 
     def _starts(self, code: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -114,23 +112,26 @@ class PieceTokenizer:
     def _lookup(self, text: str, code: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the pool, number of ids, wrong) of each piece text[s:e] with hash h; wrong: the slot of the hash has another piece."""
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHED_PIECES:
-            self.clear()
+        if self.kept:
+            self.known, self.slots, self.used, self.code_used = self.kept
+            self.kept = None
+        place = np.searchsorted(self.known, unique)
+        old = np.zeros(len(unique), bool)
+        inside = place < len(self.known)
+        old[inside] = self.known[place[inside]] == unique[inside]
         slot = np.empty(len(unique), np.int64)
-        get, new = self.known.get, []
-        for i, key in enumerate(unique.tolist()):
-            k = get(key, -1)
-            slot[i] = k
-            if k < 0:
-                new.append(i)
-        if new:
+        slot[old] = self.slots[place[old]]
+        new = np.flatnonzero(~old)
+        if len(self.known) + len(new) > CACHED_PIECES:
+            self.kept = self.known, self.slots, self.used, self.code_used
+        if len(new):
             begin, stop = s[first[new]].tolist(), e[first[new]].tolist()
             ids = [self.merge.encode_ordinary(text[a:z]) for a, z in zip(begin, stop, strict=True)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            slot[new] = np.arange(len(self.known), len(self.known) + len(new))
             self._keep(len(new), "at", "n", "pool", "used", sizes, np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum())))
             self._keep(len(new), "code_at", "code_n", "codes", "code_used", e[first[new]] - s[first[new]], np.concatenate([code[a:z] for a, z in zip(begin, stop, strict=True)]))
-            slot[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
+            self.known, self.slots = np.insert(self.known, place[new], unique[new]), np.insert(self.slots, place[new], slot[new].astype(np.int32))
         slot = slot[back]
         wrong = self.code_n[slot] != e - s
         width = np.where(wrong, 0, e - s)

@@ -34,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for i, b in enumerate((_BASE, _INVERSE)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -55,7 +55,7 @@ def _geometric(base: int, n: int) -> np.ndarray:
 
 def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_prime_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for i, b in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME)))):
             _prime_powers[i] = _geometric(b, size)
     return _prime_powers[0][:n], _prime_powers[1][:n]
@@ -91,7 +91,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return Prefixes(codes).hashes(starts, ends)
 
 
-def text_slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets) of runs of rows with about ``limit`` bytes; a null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -127,7 +127,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, starts, ends
 
 
-def shingles(texts: pa.Array, size: int, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingles(texts: pa.Array, size: int, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, shingle hashes, counts of shingles per row), for runs of rows."""
     for first, _, data, offsets in text_slices(texts, limit):
         low, starts, ends = word_spans(data, offsets)

@@ -66,6 +66,17 @@ def test_best_fit_equals_best_fit_piece_by_piece():
         assert Counter({r: rooms.count(r) for r in rooms}) == sum((Counter({50 - sum(s * o for s, o in items): n}) for n, items in made), Counter())
 
 
+def test_tokens_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 30)
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 200)
+    path = packing.vocabulary()
+    whole, own = Tokenizer.from_file(path), tokens.PieceTokenizer(path)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.known) <= 30 + 400
+
+
 def test_tokens_of_pieces_that_share_a_hash():
     path = packing.vocabulary()
     whole, own = Tokenizer.from_file(path), tokens.PieceTokenizer(path)
