@@ -150,13 +150,13 @@ def signatures(docs: DataFrame, frequent, size: int, bands: int, rows: int) -> D
                     signed.add(key)
             if len(signed) > REMEMBERED:
                 signed.clear()
-            again = b.filter(pa.array(~fresh))
+            again = b.select([0, 1, 2]).filter(pa.array(~fresh))
             yield pa.RecordBatch.from_pydict({**{k: again.column(j) for j, k in enumerate(names[:3])}, **{k: pa.nulls(again.num_rows, t) for k, t in zip(names[3:], types, strict=True)}})
-            part = b.filter(pa.array(fresh))
+            part = b if fresh.all() else b.filter(pa.array(fresh))
             for first, h, n in words.shingles(part.column(3), size):
                 u, tf, counts = words.by_row(h, n)
                 has = np.flatnonzero(counts)
-                here = part.slice(first, len(n))
+                here = part.select([0, 1, 2]).slice(first, len(n))
                 none = here.filter(pa.array(counts == 0))
                 yield pa.RecordBatch.from_pydict({**{k: none.column(j) for j, k in enumerate(names[:3])}, "n_shingles": pa.array(np.zeros(none.num_rows, np.int64)), **{k: pa.nulls(none.num_rows, t) for k, t in zip(names[4:], types[1:], strict=True)}})
                 if not len(has):
