@@ -65,8 +65,8 @@ def stats_of(rows: DataFrame, total: DataFrame) -> DataFrame:
 
 def power_e2(stats: DataFrame, schedule: DataFrame) -> DataFrame:
     """Shrunk offense and defense, logistic norms, .2/.2/.6, square-root penalty. schedule: team, sos_score."""
-    df = stats.join(schedule, "team")
-    df = S.shrunk(df, {"offense_adj": "offense", "defense_adj": "defense"}, "games_played")
+    df = stats.join(schedule, "team").persist()  # each of the two steps reads its teams twice
+    df = S.shrunk(df, {"offense_adj": "offense", "defense_adj": "defense"}, "games_played").persist()
     df = S.logistic(df, {"offense_norm": "offense_adj", "defense_high": "defense_adj", "sos_norm": "sos_score"})
     df = df.withColumn("defense_norm", 1 - F.col("defense_high")).drop("defense_high")
     df = df.withColumn("power_score", S.power_score(F.col("offense_norm"), F.col("defense_norm"), F.col("sos_norm")))
@@ -101,7 +101,7 @@ def strengths(base: DataFrame) -> DataFrame:
 
 def adjusted_games(year: DataFrame, base: DataFrame) -> DataFrame:
     """Games of numbered_year with adjusted goals: opponent strength, adaptive factor, performance layer. One join carries all metrics."""
-    power = strengths(base)
+    power = strengths(base).persist()  # a row a team, read by three joins
     means = power.agg(F.avg("opp_off").alias("m_off"), F.avg("opp_def").alias("m_def"))
     me = power.select("team", F.col("off_norm").alias("t_off"))
     you = power.select(F.col("team").alias("opponent"), F.col("off_norm").alias("o_off"), F.col("opp_off"), F.col("opp_def"))

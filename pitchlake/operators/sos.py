@@ -12,6 +12,7 @@ UNKNOWN = 0.35
 
 def opponent_mean(rows: DataFrame, strength: DataFrame) -> DataFrame:
     """team, sos_raw: mean strength of recent opponents; unknown ones count the median. strength: team, strength."""
+    strength = strength.persist()  # read for the median and for the join
     median = strength.agg(F.percentile("strength", F.lit(0.5)).alias("median"))
     known = strength.select(F.col("team").alias("opponent"), "strength")
     joined = rows.join(known, "opponent", "left").crossJoin(F.broadcast(median))
@@ -59,6 +60,7 @@ def relaxed(initial: DataFrame, edge: DataFrame, steps: int | None = None, most:
                 now = new
                 break
         now = new
+    now = now.persist()  # read for the rows and for their mean
     z = S.with_global(now, m=F.avg("s"), d=F.stddev_pop("s"))
     return z.select("team", F.coalesce(F.try_divide(F.col("s") - F.col("m"), F.col("d")), F.lit(0.0)).alias("sos_score"))
 

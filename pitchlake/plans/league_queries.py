@@ -190,7 +190,7 @@ def _base(spark, sf_dir):
     """(league, numbered games of the year, offense and defense): the year is sorted once and kept for what follows."""
     lg, long = _long(spark, sf_dir)
     year = ratings.numbered_year(long, lg.as_of).persist()
-    return lg, year, ratings.off_def(ratings.weighted(year))
+    return lg, year, ratings.off_def(ratings.weighted(year)).persist()
 
 
 @query("opp_strength", BASE + WEIGHTED + STRENGTH + "select team, off_norm, def_norm, round(opp_off, 6) as opp_off, round(opp_def, 6) as opp_def from st")
@@ -219,7 +219,7 @@ def zclip(spark, sf_dir):
 
 def _sao(spark, sf_dir):
     lg, year, base = _base(spark, sf_dir)
-    return lg, year, base, ratings.sao_sad(ratings.adjusted_games(year, base))
+    return lg, year, base, ratings.sao_sad(ratings.adjusted_games(year, base)).persist()
 
 
 @query("sao_sad", BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + SAO + "select team, games_played, round(sao_raw, 6) as sao_raw, round(sad_raw, 6) as sad_raw from sao")
@@ -292,7 +292,7 @@ sr as (select r.team, avg(coalesce(strength, (select quantile_cont(strength, 0.5
 def _sos_raw(lg, long, recent=None):
     """Strength of an opponent: the mean base strength of its rows in the history, which is its own base strength."""
     strength = ratings.base_strength(ratings.distinct_history(long, lg.as_of)).select("team", F.col("base_strength").alias("strength"))
-    return sos.opponent_mean(ratings.recent(long, lg.as_of) if recent is None else recent, strength)
+    return sos.opponent_mean(ratings.recent(long, lg.as_of) if recent is None else recent, strength).persist()
 
 
 @query("sos_baseline", BASE + SOS_RAW + "select team, round(sos_raw, 6) as sos_raw from sr")
@@ -309,7 +309,7 @@ def _stats_and_schedule(spark, sf_dir, steps=3):
     """(league, recent rows, stats, schedule): the recent rows are made once and kept for both."""
     lg, long = _long(spark, sf_dir)
     rows = ratings.with_sides(ratings.recent(long, lg.as_of), lg.teams).persist()
-    stats = ratings.stats_of(rows, league.games_of_teams(lg.games))
+    stats = ratings.stats_of(rows, league.games_of_teams(lg.games)).persist()
     return lg, rows, stats, sos.relaxed(stats.select("team", F.col("win_percentage").alias("s")), sos.edges(rows), steps)
 
 
