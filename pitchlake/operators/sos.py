@@ -60,7 +60,7 @@ def relaxed(initial: DataFrame, edge: DataFrame, steps: int | None = None, most:
                 now = new
                 break
         now = new
-    now = now.persist()  # read for the rows and for their mean
+    now = cut(now)  # read for the rows and for their mean; what follows plans over a small table
     z = S.with_global(now, m=F.avg("s"), d=F.stddev_pop("s"))
     return z.select("team", F.coalesce(F.try_divide(F.col("s") - F.col("m"), F.col("d")), F.lit(0.0)).alias("sos_score"))
 
