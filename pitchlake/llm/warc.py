@@ -109,6 +109,18 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return head, block
 
 
+def check_payload(head: dict[str, str], payload: bytes) -> None:
+    """A response must hold the payload of its digest and length; a revisit holds none and states those of the page it repeats."""
+    if head["warc-type"] != "response":
+        return
+    want = head.get("warc-payload-digest", "")
+    if want.startswith("sha1:") and want[5:] != digest(payload):
+        raise WarcError("the payload does not have its digest")
+    size = head.get("x-payload-length", "")
+    if size.isdigit() and int(size) != len(payload):
+        raise WarcError(f"X-Payload-Length is {size}, the payload has {len(payload)}")
+
+
 class ArchiveWriter:
     """Writes records as frames; the dictionary is trained on the first SAMPLE_BYTES of them."""
 
@@ -251,7 +263,8 @@ def read_archives(paths: DataFrame, with_payload: bool = True, strict: bool = Tr
     """Records of the archives in column ``path``: a row each, or with ``strict`` off a row with ``error`` for a broken one.
 
     After a broken frame the rest of its archive can't be found and is left; a record whose header or length is wrong is
-    reported and the next frame is read. An archive without records gives no rows.
+    reported and the next frame is read; so is a response whose payload has another digest or length than its headers
+    state. An archive without records gives no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +284,7 @@ def read_archives(paths: DataFrame, with_payload: bool = True, strict: bool = Tr
                             head, block = parse_record(data)
                             cut = block.find(b"\r\n\r\n") + 4 if head.get("content-type", "").startswith("application/http") else 0
                             payload = block[cut:] if cut >= 4 or not cut else b""
+                            check_payload(head, payload)
                             row |= {"record_type": head["warc-type"], "record_id": head["warc-record-id"], "target_uri": head.get("warc-target-uri"), "date": head["warc-date"], "headers": list(head.items()), "payload": payload if with_payload else None}
                             held += len(data)
                         except WarcError as e:
@@ -326,6 +340,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
 
 
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of a response are those of the payload that was read; a revisit has those of the page it repeats, from its headers."""
     archives = archive_pages(table(spark, sf_dir, "pages"))
     n = archives.count()
     back = read_archives(archives.select("path").repartition(max(1, n)), with_payload=True)
@@ -334,7 +349,7 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = base32_sha1("hex")
     checked = back.withColumn("hex", F.sha1("payload")).select(
         number("x-page-id").alias("page_id"),
-        number("x-payload-length").alias("payload_bytes"),
+        F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(number("x-payload-length")).alias("payload_bytes"),
         F.when(F.col("record_type") == "response", own).otherwise(claimed).alias("payload_digest"),
         "record_type",
         number("x-refers-to-page").alias("refers_to"),

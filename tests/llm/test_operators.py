@@ -315,3 +315,20 @@ def test_warc_dictionary_and_faults():
         list(warc.read_frames(io.BytesIO(data[:-7])))
     with pytest.raises(warc.WarcError):
         warc.parse_record(records[0].replace(b"Content-Length: ", b"Content-Length: 9", 1))
+
+
+def test_warc_payload_is_checked():
+    data = warc.record("response", 1, "http://a/1", b"<p>one</p>", warc.digest(b"<p>one</p>"), None, 0)
+    head, block = warc.parse_record(data)
+    warc.check_payload(head, block[len(warc.HTTP_OK) :])
+    for changed in ({"warc-payload-digest": f"sha1:{warc.digest(b'other')}"}, {"x-payload-length": "9"}):
+        with pytest.raises(warc.WarcError):
+            warc.check_payload(head | changed, block[len(warc.HTTP_OK) :])
+
+
+def test_warc_repeated_ids_and_clashing_columns(spark):
+    rows = [(3, "u", "<p>a</p>", "x", 1), (3, "u", "<p>a</p>", "y", 2), (5, None, "<p>a</p>", None, 3), (None, "v", "<p>a</p>", "z", 4), (7, "w", None, None, 5), (2, "w", "", None, 6), (9, "w", "x" * 300_000, None, 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, first int")
+    back = warc.read_archives(warc.archive_pages(pages)).collect()
+    kinds = sorted((r["headers"]["x-page-id"], r["record_type"], r["headers"].get("x-refers-to-page"), len(r["payload"])) for r in back)
+    assert kinds == [("", "revisit", "3", 0), ("2", "response", None, 0), ("3", "response", None, 8), ("3", "response", None, 8), ("5", "revisit", "3", 0), ("7", "revisit", "2", 0), ("9", "response", None, 300_000)]
