@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -96,81 +95,109 @@ def best_of_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def _letters(names: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    """Counts of each name's characters."""
-    out = np.zeros((len(names), len(alphabet)), np.int16)
-    for i, name in enumerate(names):
-        for c in name:
-            out[i, alphabet[c]] += 1
+def _tokens(name: str, generic: set[str]) -> set[str]:
+    return {w for w in name.split() if len(w) > 1 and w not in generic}
+
+
+def _codes(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    """Rows of character numbers from 1, filled up with 0."""
+    out = np.zeros((len(texts), max(map(len, texts), default=0)), np.int64)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = [alphabet[c] for c in t]
     return out
 
 
-def _bounds(names: list[str], masters: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-    """Each name with the most that its Indel ratio with each master can be, from the characters that they have in common."""
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(names) + "".join(masters))))}
-    theirs = _letters(masters, alphabet)
-    sizes = theirs.sum(axis=1)
-    for name in names:
-        mine = _letters([name], alphabet)[0]
-        total = sizes + len(name)
-        yield name, np.where(total > 0, 2.0 * np.minimum(theirs, mine).sum(axis=1) / np.maximum(total, 1), 1.0)
+def common_characters(x: list[str], y: list[str]) -> np.ndarray:
+    """How many characters each pair of names has in common, in any order: no subsequence is longer.
 
+    A name is a row of 0 and 1 for "holds the character c at least k times", so the product of two rows counts what both hold.
+    """
+    place: dict[tuple[str, int], int] = {}
+    held = []
+    for side in (x, y):
+        at = []
+        for i, t in enumerate(side):
+            seen: dict[str, int] = {}
+            for c in t:
+                seen[c] = seen.get(c, 0) + 1
+                at.append((i, place.setdefault((c, seen[c]), len(place))))
+        held.append(at)
+    sides = []
+    for side, at in zip((x, y), held, strict=True):
+        m = np.zeros((len(side), max(1, len(place))), np.float32)
+        if at:
+            m[tuple(np.array(at).T)] = 1
+        sides.append(m)
+    return sides[0] @ sides[1].T
+
+
+def common_lengths(x: list[str], y: list[str], i: np.ndarray, j: np.ndarray, run: int = 1 << 15) -> np.ndarray:
+    """Length of the longest common subsequence of x[i] and y[j] for arrays of row numbers: 64 pairs' columns a machine word each, all pairs at once.
+
+    The same recurrence as ``subsequence_length``; pairs of which both names are longer than 64 go through that.
+    """
+    out = np.zeros(len(i), np.int64)
+    nx, ny = (np.array([len(t) for t in side], np.int64) for side in (x, y))
+    alphabet = {c: n for n, c in enumerate(sorted(set("".join(x) + "".join(y))), 1)}
+    for rows, a, b, p, q, n in ((nx[i] <= 64, x, y, i, j, nx), ((nx[i] > 64) & (ny[j] <= 64), y, x, j, i, ny)):
+        at = np.flatnonzero(rows)
+        if not len(at):
+            continue
+        codes = _codes(b, alphabet)
+        masks = np.zeros((len(a), len(alphabet) + 1), np.uint64)
+        for r, t in enumerate(a):
+            if len(t) <= 64:
+                for k, c in enumerate(t):
+                    masks[r, alphabet[c]] |= np.uint64(1 << k)
+        size = n.clip(max=64)
+        full = np.array([(1 << int(s)) - 1 for s in size], np.uint64)
+        for start in range(0, len(at), run):
+            part = at[start : start + run]
+            left, right = p[part], q[part]
+            row = full[left].copy()
+            for c in codes[right].T:
+                hit = row & masks[left, c]
+                row = (row + hit) | (row - hit)
+            out[part] = size[left] - np.bitwise_count(row & full[left]).astype(np.int64)
+    for k in np.flatnonzero((nx[i] > 64) & (ny[j] > 64)).tolist():
+        out[k] = subsequence_length(x[i[k]], y[j[k]])
+    return out
 
-def _tokens(name: str, generic: set[str]) -> set[str]:
-    return {w for w in name.split() if len(w) > 1 and w not in generic}
 
+def _shared(x: list[set[str]], y: list[set[str]], weight=lambda w: 1) -> np.ndarray:
+    """Sum of the weights of the words that each pair of sets shares."""
+    at = {w: n for n, w in enumerate(sorted(set().union(*x) & set().union(*y)))}
+    sides = []
+    for side, of in ((x, weight), (y, lambda w: 1)):
+        m = np.zeros((len(side), max(1, len(at))), np.float32)
+        for i, words in enumerate(side):
+            for w in words:
+                if w in at:
+                    m[i, at[w]] = of(w)
+        sides.append(m)
+    return (sides[0] @ sides[1].T).astype(np.int64)
 
-def best_hybrid(names: list[str], masters: list[str], k: int, least: float, generic: list[str]) -> Iterator[tuple[int, int, float]]:
-    """(name, master, score): the k best masters of each name by the hybrid score over ``least``; ties go to the earlier master.
 
-    Masters are tried in the order of what their score can be at most, until none can be among the k best.
-    """
+def token_overlaps(x: list[str], y: list[str], generic: list[str]) -> np.ndarray:
+    """Jaccard similarity of the meaningful tokens of each pair; 1 if neither has any, 0 if one has none."""
     stop = set(generic)
-    tokens = [_tokens(m, stop) for m in masters]
-    where: dict[str, list[int]] = {}
-    for i, t in enumerate(tokens):
-        for w in t:
-            where.setdefault(w, []).append(i)
-    sizes = np.array([len(t) for t in tokens])
-    ordered = [" ".join(sorted(m.split())) for m in masters]
-    for a, (name, most) in enumerate(_bounds(names, masters)):
-        mine, own = _tokens(name, stop), " ".join(sorted(name.split()))
-        shared = np.zeros(len(masters))
-        for w in mine:
-            shared[where.get(w, [])] += 1
-        either = sizes + len(mine) - shared
-        overlap = np.where(either > 0, shared / np.maximum(either, 1), 1.0)
-        # blanks do not count among sorted tokens, so the bound of the plain texts is widened by theirs
-        total = np.array([len(o) for o in ordered]) + len(own)
-        bound = 0.6 * np.minimum(1.0, most * np.maximum([len(m) + len(name) for m in masters], 1) / np.maximum(total, 1)) + 0.4 * overlap
-        top: list[tuple[float, int]] = []
-        for i in np.argsort(-bound, kind="stable").tolist():
-            if bound[i] <= least or len(top) == k and bound[i] < -top[-1][0]:
-                break
-            score = 0.6 * _indel(own, ordered[i]) / 100 + 0.4 * overlap[i]
-            if score > least:
-                top = sorted([*top, (-score, i)])[:k]
-        yield from ((a, i, -s) for s, i in top)
-
-
-def best_weighted(names: list[str], masters: list[str], least: float) -> Iterator[tuple[int, int, float]]:
-    """(name, master, score): the best master of each name by the weighted ratio, if it is ``least`` or more; ties go to the earlier.
-
-    A pair is scored if its common characters allow ``least``, if it shares a word, or if the names' lengths differ so much
-    that a part of the longer one counts.
-    """
-    words = [set(m.split()) for m in masters]
-    where: dict[str, list[int]] = {}
-    for i, t in enumerate(words):
-        for w in t:
-            where.setdefault(w, []).append(i)
-    lengths = np.array([len(m) for m in masters])
-    for a, (name, most) in enumerate(_bounds(names, masters)):
-        open_ = 100 * most >= least - 1e-9
-        for w in set(name.split()):
-            open_[where.get(w, [])] = True
-        far = np.maximum(lengths, len(name)) >= 1.5 * np.maximum(1, np.minimum(lengths, len(name)))
-        open_ |= far & np.array([least < 90 or m in name or name in m for m in masters]) if far.any() else False
-        top = max(((weighted_ratio(name, masters[i]), -i) for i in np.flatnonzero(open_).tolist()), default=(0.0, 0))
-        if top[0] >= least:
-            yield a, -top[1], top[0]
+    a, b = ([_tokens(t, stop) for t in side] for side in (x, y))
+    shared = _shared(a, b)
+    either = np.array([len(t) for t in a])[:, None] + np.array([len(t) for t in b])[None, :] - shared
+    return np.where(either > 0, shared / np.maximum(either, 1), 1.0)
+
+
+def weighted_bounds(x: list[str], y: list[str]) -> np.ndarray:
+    """The most that the weighted ratio of each pair can be, but for windows of the longer name."""
+    def ratio(a: list[str], b: list[str]) -> np.ndarray:
+        total = np.array([len(t) for t in a])[:, None] + np.array([len(t) for t in b])[None, :]
+        return 200.0 * common_characters(a, b) / np.maximum(total, 1)
+
+    a, b = ([set(t.split()) for t in side] for side in (x, y))
+    joined = [[" ".join(sorted(w)) for w in side] for side in (a, b)]
+    many = _shared(a, b)
+    both = _shared(a, b, len) + np.maximum(many - 1, 0)
+    one, two = (np.array([len(t) for t in side]) for side in joined)
+    inside = np.where(both > 0, 200.0 * both / np.maximum(both + np.minimum(one[:, None], two[None, :]), 1), 0.0)
+    words = [[" ".join(sorted(t.split())) for t in side] for side in (x, y)]
+    return np.maximum.reduce([ratio(x, y), 0.95 * ratio(*words), 0.95 * ratio(*joined), 0.95 * inside])

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import names as N
 from pitchlake.functions import similarity as M
+from pitchlake.operators import similarity_join
+from pitchlake.operators.pairs import ranged_join
 
 # Words that do not make two clubs alike.
 GENERIC_CLUB = [*N.CLUB_SUFFIXES, "15b", "16b", "17b", "18b", "15g", "16g", "17g", "18g", "south", "north", "east", "west", "central", "metro", "valley", "ridge", "hills", "park", "field", "stadium", "center", "centre"]
 
-NAMES_A_BLOCK, MASTERS_A_BLOCK = 2000, 4000
-
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in file order."""
@@ -49,52 +46,34 @@ def similarity_gate(a: Column, b: Column, x: Column, y: Column, ratio: Column) -
     return F.when(rejected, 0.0).otherwise(score)
 
 
-def best_master(observed: DataFrame, master: DataFrame, threshold: float = 0.8, season: int = 2026) -> DataFrame:
-    """name, match, score: the best master name under the gate, joined on what must be equal anyway. observed: name; master: name, ord.
+def gated_pairs(observed: DataFrame, master: DataFrame, season: int = 2026) -> DataFrame:
+    """name, match, ord, a, b (parsed), x, y (clubs): the pairs that the gate lets through if their clubs are alike enough.
 
-    Birth year, gender and designation are the join keys, so only names that can match meet; the ratio UDF runs on those pairs.
+    Birth year, gender and designation are the join keys, as they must be equal anyway. Most names may share one key: its
+    pairs are dealt evenly over cells. What does not depend on the ratio is decided in the join.
     """
-    a = observed.select("name").where("name is not null").distinct().withColumn("a", N.parsed("name", season)).withColumn("x", N.matcher_club(F.col("a.club"))).where("a.birth_year <> '' and a.gender <> ''")
-    b = master.where("name is not null").select(F.col("name").alias("match"), "ord").withColumn("b", N.parsed("match", season)).withColumn("y", N.matcher_club(F.col("b.club"))).where("b.birth_year <> '' and b.gender <> ''")
-    on = (F.col("a.birth_year") == F.col("b.birth_year")) & (F.col("a.gender") == F.col("b.gender")) & (F.col("a.designation") == F.col("b.designation")) & (F.col("name") != F.col("match"))
-    pairs = a.join(b, on)
-    gate = similarity_gate(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.col("ratio"))
-    scored = pairs.withColumn("ratio", M.block_ratio("x", "y")).withColumn("score", gate).where(F.col("score") >= threshold)
-    return best(scored, "name", "score", "ord").select("name", "match", "score")
-
+    keys = ["birth_year", "gender", "designation"]
 
-def token_pairs(observed: DataFrame, master: DataFrame) -> DataFrame:
-    """Pairs (name, match, ord) that share a meaningful token: an equi-join on tokens instead of every pair."""
-    left = observed.select("name", F.explode(F.array_distinct(N.meaningful_tokens(F.col("name")))).alias("t"))
-    right = master.select(F.col("name").alias("match"), "ord", F.explode(F.array_distinct(N.meaningful_tokens(F.col("name")))).alias("t"))
-    return left.join(right, "t").select("name", "match", "ord").distinct()
+    def side(df: DataFrame, name: str, p: str, club: str) -> DataFrame:
+        parsed = df.withColumn(p, N.parsed(name, season)).withColumn(club, N.matcher_club(F.col(f"{p}.club")))
+        return parsed.where(f"{p}.birth_year <> '' and {p}.gender <> ''").withColumns({k: F.col(f"{p}.{k}") for k in keys})
 
+    a = side(observed.select("name").where("name is not null").distinct(), "name", "a", "x")
+    b = side(master.where("name is not null").select(F.col("name").alias("match"), "ord"), "match", "b", "y")
+    pairs = ranged_join(a, b, keys).where(F.col("name") != F.col("match"))
+    return pairs.where(similarity_gate(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.lit(1.0)) > 0)
 
-def in_blocks(observed: DataFrame, master: DataFrame, compare: Callable[[list[str], list[str]], Iterator[tuple[int, int, float]]]) -> DataFrame:
-    """(name, match, ord, score): what ``compare`` finds in each block of names with each block of the master list.
 
-    Every name meets every master, as the score of names that share nothing is not 0, but only the few that ``compare``
-    yields leave a block. A block is solved by one task; names are distinct and the list is bounded by its teams.
-    """
-    o, m = observed.select("name").where("name is not null").distinct(), master.select(F.col("name").alias("match"), F.col("ord").cast("long").alias("ord")).where("match is not null")
-    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((o, NAMES_A_BLOCK), (m, MASTERS_A_BLOCK)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    left = o.select("name", part("name", rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
-    right = m.select("match", "ord", part("ord", columns).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
-
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("ord", kind="stable")
-        found = list(compare(a.name.tolist(), b.match.tolist())) if len(a) and len(b) else []
-        at, to, score = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-        return pd.DataFrame({"name": a.name.to_numpy()[at], "match": b.match.to_numpy()[to], "ord": b.ord.to_numpy()[to], "score": score}).astype({"score": "float64", "ord": "int64"})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(solve, "name string, match string, ord long, score double")
+def best_master(observed: DataFrame, master: DataFrame, threshold: float = 0.8, season: int = 2026) -> DataFrame:
+    """name, match, score: the best master name under the gate; the ratio UDF runs on pairs that the gate can let through. observed: name; master: name, ord."""
+    gate = similarity_gate(F.col("a"), F.col("b"), F.col("x"), F.col("y"), F.col("ratio"))
+    scored = gated_pairs(observed, master, season).withColumn("ratio", M.block_ratio("x", "y")).withColumn("score", gate).where(F.col("score") >= threshold)
+    return best(scored, "name", "score", "ord").select("name", "match", "score")
 
 
 def hybrid_candidates(observed: DataFrame, master: DataFrame, k: int = 3, least: float = 0.3) -> DataFrame:
     """name, match, score, nth: the k best by the hybrid score, with or without a shared token. Both lists hold normalised names."""
-    scored = in_blocks(observed, master, lambda names, masters: M.best_hybrid(names, masters, k, least, N.GENERIC_TOKENS))
-    return best(scored, "name", "score", "ord", k)
+    return similarity_join.hybrid_best(observed, master.select(F.col("name").alias("match"), "ord"), k, least).select("name", "match", "score", "nth")
 
 
 def review_rows(candidates: DataFrame) -> DataFrame:
@@ -110,7 +89,8 @@ def exact_or_fuzzy(observed: DataFrame, master: DataFrame, threshold: float = 90
     m = keep_first(master.withColumn("key", N.basic_name("name")), ["key"], ["ord"]).select("key", F.col("name").alias("match"), "ord")
     exact = o.join(m.select("key", "match"), "key", "left")
     open_ = exact.where("match is null and key <> ''").select(F.col("key").alias("name")).distinct()
-    scored = best(in_blocks(open_, m.select(F.col("key").alias("name"), "ord"), lambda names, masters: M.best_weighted(names, masters, threshold)), "name", "score", "ord")
+    pairs = similarity_join.weighted_candidates(open_, m.select(F.col("key").alias("match"), "ord"), threshold)
+    scored = best(pairs.withColumn("score", M.best_of_ratio("name", "match")).where(F.col("score") >= threshold), "name", "score", "ord")
     fuzzy = scored.select(F.col("name").alias("key"), F.col("match").alias("fuzzy_key"), "score").join(m.select(F.col("key").alias("fuzzy_key"), F.col("match").alias("fuzzy")), "fuzzy_key")
     kind = F.when(F.col("key") == "", "EMPTY").when(F.col("match").isNotNull(), "EXACT").when(F.col("fuzzy").isNotNull(), "FUZZY").otherwise("NO_MATCH")
     joined = exact.join(fuzzy, "key", "left")

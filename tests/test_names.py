@@ -74,29 +74,6 @@ def test_matching_of_names_without_a_shared_token(spark):
     assert fuzzy["desertfoxes"] == ("desert foxes", "FUZZY") and fuzzy["oaklnd rovrs"] == ("oakland rovers", "FUZZY") and fuzzy["zzz"][1] == "NO_MATCH" and fuzzy[""][1] == "EMPTY"
 
 
-def test_best_of_blocks_by_brute_force():
-    import random
-
-    rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))
-    tokens = lambda x: {w for w in x.split() if len(w) > 1 and w not in N.GENERIC_TOKENS}
-
-    def hybrid(x, y):
-        a, b, u, v = tokens(x), tokens(y), " ".join(sorted(x.split())), " ".join(sorted(y.split()))
-        ratio = 2 * lcs(u, v) / (len(u) + len(v)) if u or v else 1.0
-        return 0.6 * ratio + 0.4 * (len(a & b) / len(a | b) if a or b else 1.0)
-
-    for _ in range(25):
-        names = [" ".join(word() for _ in range(rng.randint(0, 4))) for _ in range(12)]
-        masters = [" ".join(rng.choice([word(), "fc", "sc"]) for _ in range(rng.randint(0, 4))) for _ in range(20)]
-        got = [(i, j, round(s, 9)) for i, j, s in M.best_hybrid(names, masters, 3, 0.3, N.GENERIC_TOKENS)]
-        want = [(i, j, round(-s, 9)) for i, x in enumerate(names) for s, j in sorted((-hybrid(x, y), j) for j, y in enumerate(masters) if hybrid(x, y) > 0.3)[:3]]
-        assert got == want
-        for least in (60, 90):
-            best = [(i, max((M.weighted_ratio(x, y), -j) for j, y in enumerate(masters))) for i, x in enumerate(names)]
-            assert list(M.best_weighted(names, masters, least)) == [(i, -j, s) for i, (s, j) in best if s >= least]
-
-
 def test_containment_in_either_direction(spark):
     a = ["Foxes2016", "Oak", "", "red blue x", "Alpha Beta Gamma", "ab", "é", None, "OAK"]
     b = ["Foxes", "Oakland", "blue  red y", "beta gamma delta", "xaby", "Café", None, "Oak"]
