@@ -35,8 +35,6 @@ RANKS = 200
 SCALE = 1_000_000_000
 TERMS, GROUPS = 1024, 16
 CELLS = 1 << 22
-#: Rows of counts that a task gathers before it hands them on.
-HELD = 400_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -57,49 +55,31 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words.dictionary_encode(), np.searchsorted(starts, offsets)
 
 
-def term_counts(docs: DataFrame, limit: int = 1 << 22) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that hold it); sums of slices, several rows for a key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def summed() -> pd.DataFrame:
-            return pd.concat(held).groupby(["lang", "source", "term"], sort=False, as_index=False).sum()
+def term_counts(docs: DataFrame, limit: int = 1 << 24) -> DataFrame:
+    """lang, source, term, n (occurrences), docs (documents that hold it); sums of slices of ``limit`` bytes of text, several rows for a key."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, source = (b.column(i).to_pandas().to_numpy() for i in (0, 1))
             for first, end, data, offsets in text_slices(b.column(2), limit):
                 words, bounds = terms_of(data, offsets)
                 if not len(words):
                     continue
-                group, names = pd.factorize(pd.MultiIndex.from_arrays([lang[first:end], source[first:end]]))
+                lang, source = (b.column(i).slice(first, end - first) for i in (0, 1))
+                group, _ = pd.factorize(pd.MultiIndex.from_arrays([lang.to_pandas(), source.to_pandas()]))
+                at = np.unique(group, return_index=True)[1]  # a row of each group
                 code = words.indices.to_numpy().astype(np.int64)
                 width, row = len(words.dictionary), np.repeat(np.arange(end - first), np.diff(bounds))
-                key = group[row] * width + code
-                n = pd.Series(key).groupby(key, sort=False).size()
+                place, keys = pd.factorize(group[row] * width + code)
                 once = ~pd.Series(row * width + code).duplicated().to_numpy()
-                in_docs = pd.Series(key[once]).groupby(key[once], sort=False).size()
-                of = names[(n.index // width).to_numpy()]
-                text = words.dictionary.cast(pa.large_string()).to_pandas().to_numpy()
-                held.append(pd.DataFrame({"lang": of.get_level_values(0), "source": of.get_level_values(1), "term": text[(n.index % width).to_numpy()], "n": n.to_numpy(), "docs": in_docs.reindex(n.index).to_numpy()}))
-                size += len(n)
-                if size >= HELD:
-                    held = [summed()]
-                    size = len(held[0])
-                    if size >= HELD // 2:
-                        yield held.pop()
-                        size = 0
-        if held:
-            yield summed()
+                of = pa.array(at[keys // width])
+                yield pa.RecordBatch.from_arrays([
+                    lang.take(of).cast(pa.string()), source.take(of).cast(pa.string()), words.dictionary.take(pa.array(keys % width)).cast(pa.large_string()).cast(pa.string()),
+                    pa.array(np.bincount(place, minlength=len(keys)).astype(np.int64)), pa.array(np.bincount(place[once], minlength=len(keys)).astype(np.int64)),
+                ], schema=schema)
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for df in run(it):
-            yield pa.RecordBatch.from_pandas(df.astype({"n": "int64", "docs": "int64"}), schema=pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]), preserve_index=False)
-
-    return docs.select(blank("lang"), blank("source"), blank("text")).mapInArrow(batches, "lang string, source string, term string, n long, docs long")
+    return docs.select(blank("lang"), blank("source"), blank("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
