@@ -162,47 +162,57 @@ def birth_year(c: Column, season: int = 2026) -> Column:
     return F.coalesce(_group(c, U + r"\b(20\d{2})(?:[a-zA-Z]|\b)"), of_age, _century(_group(c, U + r"\b(\d{2})\b")), _century(_group(c, U + r"\b(\d{2})[bg]\b")), F.lit(""))
 
 
-def _has_word(c: Column, word: str) -> Column:
-    return F.concat(F.lit(" "), c, F.lit(" ")).contains(f" {word} ")
+def _words(c: Column) -> Column:
+    """The words of a name between blanks; the parser reads names whose white space is single blanks."""
+    return F.split(c, " ")
 
 
-def _any_word(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [_has_word(c, w) for w in words])
+def _list(words: list[str]) -> Column:
+    """A constant array from one literal, so that a plan does not grow with the list."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
-def gender(c: Column) -> Column:
-    mark = F.regexp_extract(c, U + r"\b\d{2,4}([bg])\b", 1)
-    return F.when(_any_word(c, ["boys", "b", "male", "m"]), "boys").when(_any_word(c, ["girls", "g", "female", "f"]), "girls").when(mark == "b", "boys").when(mark == "g", "girls").otherwise("")
+def _first_word(words: Column, listed: list[str]) -> Column:
+    """The word of the list that comes first in the list among those that the name holds: the least place of its words."""
+    places = F.map_from_arrays(_list(listed), F.sequence(F.lit(1), F.lit(len(listed))))
+    return F.get(_list(listed), F.array_min(F.transform(words, lambda w: F.element_at(places, w))) - 1)
+
 
+def _any_word(words: Column, listed: list[str]) -> Column:
+    return F.arrays_overlap(words, _list(listed))
 
-def _first_word(c: Column, words: list[str]) -> Column:
-    """The first word of the list that the name holds."""
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.get(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))), F.lit(0))
+
+def gender(c: Column, words: Column | None = None) -> Column:
+    w = _words(c) if words is None else words
+    mark = F.regexp_extract(c, U + r"\b\d{2,4}([bg])\b", 1)
+    return F.when(_any_word(w, ["boys", "b", "male", "m"]), "boys").when(_any_word(w, ["girls", "g", "female", "f"]), "girls").when(mark == "b", "boys").when(mark == "g", "girls").otherwise("")
 
 
-def designation(c: Column) -> Column:
+def designation(c: Column, words: Column | None = None) -> Column:
     """Roman numeral, single letter but b and g, number that is no year, or a word of the list; only the first hit of a kind counts."""
     low = F.lower(c)
+    numerals = F.map_from_arrays(_list(list(ROMAN)), _list(list(ROMAN.values())))
     roman = _group(low, U + r"\b(i|ii|iii|iv|v|vi|vii|viii|ix|x)\b")
-    as_number = reduce(lambda out, kv: F.when(roman == kv[0], kv[1]).otherwise(out), ROMAN.items(), F.lit(None).cast("string"))
     letter = _group(low, U + r"\b([a-z])\b")
     number = _group(c, U + r"\b(\d+)\b")
-    year = (F.length(number) == 4) | ((F.length(number) == 2) & (number.try_cast("int") <= 30))
-    return F.coalesce(as_number, F.when(~letter.isin("b", "g"), letter), F.when(~year, number), _first_word(c, DESIGNATIONS), F.lit(""))
+    named = lambda n: F.when(~((F.length(n) == 4) | ((F.length(n) == 2) & (n.try_cast("int") <= 30))), n)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a pattern is searched once for all uses
+    return F.coalesce(F.element_at(numerals, roman), once(letter, lambda x: F.when(~x.isin("b", "g"), x)), once(number, named), _first_word(_words(c) if words is None else words, DESIGNATIONS), F.lit(""))
 
 
-def coach(c: Column) -> Column:
+def coach(c: Column, words: Column | None = None) -> Column:
     """A known name at the end, else the last word, else the last word before a number; short and generic words do not count."""
-    known = F.get(F.filter(F.array(*[F.lit(w) for w in COACHES]), lambda w: F.endswith(c, F.concat(F.lit(" "), w))), F.lit(0))
-    fits = lambda w: F.when((F.length(w) > 3) & ~w.isin(NOT_COACHES), w)
+    w = _words(c) if words is None else words
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    known = F.when((F.size(w) > 1) & F.array_contains(_list(COACHES), F.element_at(w, -1)), F.element_at(w, -1))
+    fits = lambda word: once(word, lambda x: F.when((F.length(x) > 3) & ~F.array_contains(_list(NOT_COACHES), x), x))
     last = F.lower(_group(c, U + r"\b([A-Za-z]+(?:\.[A-Za-z])?)\s*(?:\d+\s*)?$"))
     before = F.regexp_extract_all(c, F.lit(U + r"\b([A-Za-z]+(?:\.[A-Za-z])?)\s+\d+"), F.lit(1))
-    return F.coalesce(known, fits(last), fits(F.lower(F.get(before, F.size(before) - 1))), F.lit(""))
+    return F.coalesce(known, fits(last), fits(F.lower(once(before, lambda b: F.get(b, F.size(b) - 1)))), F.lit(""))
 
 
-def state(c: Column) -> Column:
-    return F.coalesce(_first_word(F.lower(c), STATES), F.lit(""))
+def state(c: Column, words: Column | None = None) -> Column:
+    return F.coalesce(_first_word(_words(F.lower(c)) if words is None else words, STATES), F.lit(""))
 
 
 def club(c: Column, year: Column, sex: Column, mark: Column, trainer: Column) -> Column:
@@ -222,14 +232,16 @@ def parsed(c: str, season: int = 2026) -> Column:
     """Struct of the fields of a name. The name is read in lower case, so that gender marks are still there."""
     bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  computes a value once for all its uses
 
-    def fields(low: Column) -> Column:
-        return F.struct(birth_year(low, season).alias("y"), gender(low).alias("g"), designation(low).alias("d"), coach(low).alias("t"), state(low).alias("s"), low.alias("low"))
+    def fields(s: Column) -> Column:
+        low, words = s["low"], s["words"]
+        return F.struct(birth_year(low, season).alias("y"), gender(low, words).alias("g"), designation(low, words).alias("d"), coach(low, words).alias("t"), state(low, words).alias("s"), low.alias("low"))
 
     def assembled(p: Column) -> Column:
         y, g, d, t, low = (p[k] for k in ("y", "g", "d", "t", "low"))
         return F.struct(club(low, y, g, d, t).alias("club"), y.alias("birth_year"), g.alias("gender"), d.alias("designation"), t.alias("coach"), p["s"].alias("state"), F.col(c).alias("original"), low.alias("normalized"))
 
-    return bound(bound(_squeezed(F.lower(_text(c))), fields), assembled)
+    read = bound(_squeezed(F.lower(_text(c))), lambda low: F.struct(low.alias("low"), _words(low).alias("words")))
+    return bound(bound(read, fields), assembled)
 
 
 def team_id(division: Column | str, canonical: str) -> Column:

@@ -9,6 +9,7 @@ from pitchlake.functions import names as N
 from pitchlake.functions import similarity as M
 from pitchlake.operators import similarity_join
 from pitchlake.operators.pairs import ranged_join
+from pitchlake.operators.sos import cut
 
 # Words that do not make two clubs alike.
 GENERIC_CLUB = [*N.CLUB_SUFFIXES, "15b", "16b", "17b", "18b", "15g", "16g", "17g", "18g", "south", "north", "east", "west", "central", "metro", "valley", "ridge", "hills", "park", "field", "stadium", "center", "centre"]
@@ -55,8 +56,9 @@ def gated_pairs(observed: DataFrame, master: DataFrame, season: int = 2026) -> D
     keys = ["birth_year", "gender", "designation"]
 
     def side(df: DataFrame, name: str, p: str, club: str) -> DataFrame:
-        parsed = df.withColumn(p, N.parsed(name, season)).withColumn(club, N.matcher_club(F.col(f"{p}.club")))
-        return parsed.where(f"{p}.birth_year <> '' and {p}.gender <> ''").withColumns({k: F.col(f"{p}.{k}") for k in keys})
+        parsed = cut(df.withColumn(p, N.parsed(name, season)))  # read several times: as keys, in the gate and by the ratio
+        whole = parsed.where(f"{p}.birth_year <> '' and {p}.gender <> ''").withColumn(club, N.matcher_club(F.col(f"{p}.club")))
+        return cut(whole.withColumns({k: F.col(f"{p}.{k}") for k in keys}))
 
     a = side(observed.select("name").where("name is not null").distinct(), "name", "a", "x")
     b = side(master.where("name is not null").select(F.col("name").alias("match"), "ord"), "match", "b", "y")
@@ -85,8 +87,8 @@ def review_rows(candidates: DataFrame) -> DataFrame:
 
 def exact_or_fuzzy(observed: DataFrame, master: DataFrame, threshold: float = 90.0) -> DataFrame:
     """name, match, match_type (EXACT, FUZZY, NO_MATCH, EMPTY), score 0 to 100. Only names without an exact match are compared."""
-    o = observed.select("name").distinct().withColumn("key", N.basic_name("name"))
-    m = keep_first(master.withColumn("key", N.basic_name("name")), ["key"], ["ord"]).select("key", F.col("name").alias("match"), "ord")
+    o = cut(observed.select("name").distinct().withColumn("key", N.basic_name("name")))
+    m = cut(keep_first(master.withColumn("key", N.basic_name("name")), ["key"], ["ord"]).select("key", F.col("name").alias("match"), "ord"))
     exact = o.join(m.select("key", "match"), "key", "left")
     open_ = exact.where("match is null and key <> ''").select(F.col("key").alias("name")).distinct()
     pairs = similarity_join.weighted_candidates(open_, m.select(F.col("key").alias("match"), "ord"), threshold)
@@ -114,12 +116,12 @@ def resolve(observed: DataFrame, aliases: DataFrame, master: DataFrame, approve:
 
     The key of the alias table is the aggressive normalisation of both sides.
     """
-    o = observed.select("name").distinct().withColumn("key", N.team_name("name"))
+    o = cut(observed.select("name").distinct().withColumn("key", N.team_name("name")))
     cache = keep_first(aliases.withColumn("key", N.team_name("alias_name")), ["key"], ["alias_name"]).select("key", F.col("canonical_team_name").alias("cached"), F.col("confidence").alias("cached_score"))
     stage = o.join(cache, "key", "left")
     strict = best_master(stage.where("cached is null"), master).select("name", F.col("match").alias("strict"))
-    stage = stage.join(strict, "name", "left")
-    m = master.withColumn("key", N.team_name("name"))
+    stage = cut(stage.join(strict, "name", "left"))
+    m = cut(master.withColumn("key", N.team_name("name")))
     left = stage.where("cached is null and strict is null and key <> ''").select(F.col("key").alias("name")).distinct()
     near = hybrid_candidates(left, m.select(F.col("key").alias("name"), "ord"), 1)
     near = near.where((F.col("score") >= approve) & (N.token_overlap(F.col("name"), F.col("match")) >= overlap)).select(F.col("name").alias("key"), F.col("match").alias("near_key"), F.col("score").alias("near_score"))

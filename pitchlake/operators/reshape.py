@@ -148,12 +148,14 @@ def advice(offense: str, defense: str, schedule: str, low: float = 0.4, high: fl
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))
 
 
+# The patterns of names that cannot belong to the division.
+OTHER_AGE = r"\b(2013|2015|13|15|u13|u15|14g|girls)\b"
+OTHER_STATE = r"\b(ca|nv|tx|nm|co|wa|ut|or|dc|pr|hi|ak|can|mexico|bc|ab)\b"
+
+
 def unmatched_category(name: str) -> Column:
-    # The patterns of names that cannot belong to the division.
-    age = r"\b(2013|2015|13|15|u13|u15|14g|girls)\b"
-    state = r"\b(ca|nv|tx|nm|co|wa|ut|or|dc|pr|hi|ak|can|mexico|bc|ab)\b"
     low = F.lower(name)
-    return F.when(low.rlike(age), "AGE_MISMATCH").when(low.rlike(state), "OUT_OF_STATE").otherwise("UNKNOWN_MISC")
+    return F.when(low.rlike(f"(?U){OTHER_AGE}"), "AGE_MISMATCH").when(low.rlike(f"(?U){OTHER_STATE}"), "OUT_OF_STATE").otherwise("UNKNOWN_MISC")
 
 
 def oriented_scores(team: str = "team_id", home: str = "home_team_id") -> list[Column]:

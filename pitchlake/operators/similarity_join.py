@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pitchlake.functions import names as N
 from pitchlake.functions import similarity as M
 from pitchlake.operators.pairs import ranged_join, solved
+from pitchlake.operators.sos import cut
 
 EPS = 1e-9
 
@@ -87,8 +88,8 @@ def near(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def indel_join(left: DataFrame, right: DataFrame, least: float, text=lambda c: c) -> DataFrame:
     """name, match, ord, ratio of the pairs whose texts have an Indel ratio of ``least`` or more. left: name; right: match, ord."""
-    x = left.where("name is not null").select("name", text(F.col("name")).alias("s"), F.lit(float(least)).alias("least")).distinct()
-    y = right.where("match is not null").select("match", F.col("ord").cast("long").alias("ord"), text(F.col("match")).alias("s"))
+    x = cut(left.where("name is not null").select("name", text(F.col("name")).alias("s"), F.lit(float(least)).alias("least")).distinct())
+    y = cut(right.where("match is not null").select("match", F.col("ord").cast("long").alias("ord"), text(F.col("match")).alias("s")))
     return near(x, y)
 
 
@@ -104,7 +105,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     Two sets of n and m tokens with that Jaccard similarity share a token among the n - ceil(least n) + 1 rarest of the one and the m - ceil(least m) + 1
     rarest of the other, in one order of rarity for both.
     """
-    x, y = _keys(left.select("name").where("name is not null").distinct(), "name"), _keys(right.select("match", "ord").where("match is not null"), "match")
+    x, y = cut(_keys(left.select("name").where("name is not null").distinct(), "name")), cut(_keys(right.select("match", "ord").where("match is not null"), "match"))
     often = x.select("t").union(y.select("t")).groupBy("t").agg(F.count("*").alias("f"))
 
     def prefix(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,13 +157,13 @@ def hybrid_best(left: DataFrame, right: DataFrame, k: int = 3, least: float = 0.
     """
     from pitchlake.operators.matching import best
 
-    x = left.select("name").where("name is not null").distinct().withColumn("s", N.sorted_tokens(F.col("name")))
-    y = right.where("match is not null").select("match", F.col("ord").cast("long").alias("ord")).withColumn("s", N.sorted_tokens(F.col("match")))
+    x = cut(left.select("name").where("name is not null").distinct().withColumn("s", N.sorted_tokens(F.col("name"))))
+    y = cut(right.where("match is not null").select("match", F.col("ord").cast("long").alias("ord")).withColumn("s", N.sorted_tokens(F.col("match"))))
     schema = "name string, match string, ord long, score double"
-    alike = best(solved(_keys(x, "name"), _keys(y, "match"), ["t"], hybrid_cell(k, least), schema).distinct(), "name", "score", "ord", k).drop("nth")
+    alike = cut(best(solved(_keys(x, "name"), _keys(y, "match"), ["t"], hybrid_cell(k, least), schema).distinct(), "name", "score", "ord", k).drop("nth"))
     last = alike.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     limit = F.greatest(F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(least)), F.lit(least))
-    open_ = x.join(last, "name", "left").select("name", "s", (F.coalesce(limit, F.lit(least)) / 0.6).alias("least"))
+    open_ = cut(x.join(last, "name", "left").select("name", "s", (F.coalesce(limit, F.lit(least)) / 0.6).alias("least")))
     other = near(open_, y).where(N.token_overlap(F.col("name"), F.col("match")) == 0).select("name", "match", "ord", (0.6 * F.col("ratio")).alias("score")).where(F.col("score") > least)
     return best(alike.union(other), "name", "score", "ord", k)
 
@@ -191,8 +192,8 @@ def weighted_candidates(left: DataFrame, right: DataFrame, least: float = 90.0)
 
     if least < 90:
         raise ValueError("a limit under 90 admits names whose windows are merely alike")
-    x = left.select("name").where("name <> ''").distinct()
-    y = right.where("match <> ''").select("match", F.col("ord").cast("long").alias("ord"))
+    x = cut(left.select("name").where("name <> ''").distinct())
+    y = cut(right.where("match <> ''").select("match", F.col("ord").cast("long").alias("ord")))
     unique = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))), " ")
     plain = [indel_join(x, y, limit, text).select("name", "match", "ord") for limit, text in ((least / 100, lambda c: c), (least / 95, N.sorted_tokens), (least / 95, unique))]
     words = lambda df, c: df.withColumn("t", F.explode(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))))

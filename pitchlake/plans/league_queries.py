@@ -172,12 +172,15 @@ for _name, _tie in (("record_sql_variant", 0.5), ("record_fallback_variant", 0.0
     query(_name, BASE + f"select team, count(*) as games_played, count(*) filter (result = 'W') as wins, count(*) filter (result = 'L') as losses, count(*) filter (result = 'T') as ties, sum(gf - ga)::bigint as goal_diff, round(avg(case result when 'W' then 1.0::double when 'L' then 0.0::double else {_tie}::double end), 6) as win_pct from rec group by team")(_record)
 
 
-@query("recency_weights", """with x as (select n, rn from range(1, 31) a(n), range(1, 31) b(rn) where rn <= n)
-select n, rn, round(case when n <= 10 then 1.0::double / n when n <= 25 then case when rn <= 10 then 0.07::double else 0.30::double / (n - 10) end
-  else case when rn <= n - 25 then 0.07::double * case when n = 26 then 0.8::double else 0.8::double - 0.4::double * (n - 25 - rn) / (n - 26) end when rn <= n - 15 then 0.07::double else 0.02::double end / (1 + 0.07::double * case when n = 26 then 0.8::double else 0.6::double * (n - 25) end) end, 6) as w from x""")
+@query("recency_weights", BASE + """select team, n, rn, round(case when n <= 10 then 1.0::double / n when n <= 25 then case when rn <= 10 then 0.07::double else 0.30::double / (n - 10) end
+  else case when rn <= n - 25 then 0.07::double * case when n = 26 then 0.8::double else 0.8::double - 0.4::double * (n - 25 - rn) / (n - 26) end when rn <= n - 15 then 0.07::double else 0.02::double end / (1 + 0.07::double * case when n = 26 then 0.8::double else 0.6::double * (n - 25) end) end, 6) as w
+  from (select team, rn, (team % 30 + 1)::bigint as want, least(n, want) as n from rec) where rn <= n""")
 def recency_weights(spark, sf_dir):
-    n = spark.range(1, 31).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("id"))).alias("rn"))
-    return n.select("n", "rn", F.round(S.recency_weight(), 6).alias("w"))
+    """Weights of each team's newest games; a team looks at 1 to 30 games by its key, so that every length occurs."""
+    lg, long = _long(spark, sf_dir)
+    year = ratings.numbered_year(long, lg.as_of).where("rn <= 30")
+    recent = year.select("team", "rn", F.least("used", F.col("team") % 30 + 1).alias("n")).where("rn <= n")
+    return recent.select("team", "n", "rn", F.round(S.recency_weight(), 6).alias("w"))
 
 
 @query("off_def_raw", BASE + WEIGHTED + "select team, games_played, round(off_raw, 6) as off_raw, round(def_raw, 6) as def_raw from od")

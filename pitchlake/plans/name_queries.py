@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names as N
 from pitchlake.functions import similarity as M
-from pitchlake.operators import matching, quality, reshape
-from pitchlake.plans import fixtures as X
+from pitchlake.operators import matching, quality, reshape, similarity_join
+from pitchlake.plans import rosters as X
 from pitchlake.plans.league_queries import BASE, QUERIES, SQL, query, r6
 from pitchlake.sources import readers
 from pitchlake.sources.league import read
@@ -81,10 +81,10 @@ for _name, _column, _sql in (
     ("club_norm", lambda: N.matcher_club(F.col("name")), _matcher_club_sql()),
 ):
     def _normalised(spark, sf_dir, column=_column):
-        parts = read(spark, sf_dir, "part").select("p_name").distinct().select(F.lit(-1).cast("long").alias("ord"), F.col("p_name").alias("name"))
-        return X.observed(spark).unionByName(parts).select("ord", "name", column().alias("normalised"))
+        names = X.observed(spark, sf_dir).union(X.master(spark, sf_dir).withColumn("ord", F.lit(-1).cast("long")))
+        return names.select("ord", "name", column().alias("normalised"))
 
-    query(_name, f"with {X.OBSERVED_SQL}, n as (select * from observed union all select -1, p_name from (select distinct p_name from part)) select ord, name, {_sql} as normalised from n")(_normalised)
+    query(_name, f"with {X.ALL_SQL}, n as (select * from observed union all select -1, name from master) select ord, name, {_sql} as normalised from n")(_normalised)
 
 
 _LOW = SQUEEZE.format(_guarded("lower(name)"))
@@ -101,94 +101,104 @@ _FIRST = lambda words: "case " + " ".join(f"when contains({_PAD}, ' {w} ') then
 _DESIGNATION = f"coalesce(case {_ROMAN} " + " ".join(f"when '{k}' then '{v}'" for k, v in N.ROMAN.items()) + f" end, case when {_LETTER} not in ('', 'b', 'g') then {_LETTER} end, case when {_NUMBER} <> '' and length({_NUMBER}) <> 4 and not (length({_NUMBER}) = 2 and {_NUMBER}::int <= 30) then {_NUMBER} end, {_FIRST(N.DESIGNATIONS)}, '')"
 
 
-@query("extract_fields", f"with {X.OBSERVED_SQL}, n as (select ord, name, {_LOW} as s from observed) select ord, name, {_BIRTH} as birth_year, {_GENDER} as gender, {_DESIGNATION} as designation, coalesce({_FIRST(N.STATES)}, '') as state from n")
+@query("extract_fields", f"with {X.ALL_SQL}, n as (select ord, name, {_LOW} as s from observed) select ord, name, {_BIRTH} as birth_year, {_GENDER} as gender, {_DESIGNATION} as designation, coalesce({_FIRST(N.STATES)}, '') as state from n")
 def extract_fields(spark, sf_dir):
-    rows = X.observed(spark).withColumn("p", N.parsed("name"))
+    rows = X.observed(spark, sf_dir).withColumn("p", N.parsed("name"))
     return rows.select("ord", "name", "p.birth_year", "p.gender", "p.designation", "p.state")
 
 
 @query("parse_team_name")
 def parse_team_name(spark, sf_dir):
-    return X.observed(spark).select("ord", N.parsed("name").alias("p")).select("ord", "p.*")
+    return X.observed(spark, sf_dir).select("ord", N.parsed("name").alias("p")).select("ord", "p.*")
+
+
+def _normalised_lists(spark, sf_dir):
+    """Distinct observed names and the master list, both normalised."""
+    return X.observed(spark, sf_dir).select(N.team_name("name").alias("name")).distinct(), X.master(spark, sf_dir).select("ord", N.team_name("name").alias("name"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in N.GENERIC_TOKENS) + "]"
 _TOKENS = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: length(w) > 1 and not list_contains({_STOP}, w)))"
 
 
-@query("token_jaccard", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, o as (select distinct {BASIC} as a from observed), m as (select {BASIC} as b from master), t as (select a, b, {_TOKENS('a')} as x, {_TOKENS('b')} as y from o, m), j as (select a, b, len(list_intersect(x, y)) as i, len(x) as lx, len(y) as ly from t) select a, b, round(i / (lx + ly - i), 6) as jaccard from j where i > 0")
+#: The share of meaningful tokens from which the resolver takes two names for alike.
+OVERLAP = 0.75
+
+
+@query("token_jaccard", f"with {X.ALL_SQL}, o as (select distinct {_team_sql()} as name from observed), m as (select ord, {_team_sql()} as match from master), t as (select *, {_TOKENS('name')} as x, {_TOKENS('match')} as y from o, m), j as (select *, len(list_intersect(x, y)) as i from t) select name, match, ord, round(case when len(x) + len(y) = 0 then 1.0::double else i::double / (len(x) + len(y) - i) end, 6) as jaccard from j where i >= {OVERLAP} * (len(x) + len(y) - i)")
 def token_jaccard(spark, sf_dir):
-    o, m = X.observed(spark).select(N.basic_name("name").alias("name")).distinct(), X.master(spark).select("ord", N.basic_name("name").alias("name"))
-    return matching.token_pairs(o, m).select(F.col("name").alias("a"), F.col("match").alias("b"), F.round(N.token_overlap(F.col("name"), F.col("match")), 6).alias("jaccard"))
+    o, m = _normalised_lists(spark, sf_dir)
+    return similarity_join.jaccard_join(o, m.withColumnRenamed("name", "match"), OVERLAP).select("name", "match", "ord", F.round("overlap", 6).alias("jaccard"))
 
 
 @query("indel_ratio")
 def indel_ratio(spark, sf_dir):
-    o, m = X.observed(spark).select(N.team_name("name").alias("name")).distinct(), X.master(spark).select("ord", N.team_name("name").alias("name"))
-    return matching.token_pairs(o, m).select("name", "match", F.round(M.token_sort_ratio(F.col("name"), F.col("match")), 6).alias("ratio"))
+    """Pairs with a token-sorted ratio of 0.9 and more."""
+    o, m = _normalised_lists(spark, sf_dir)
+    return similarity_join.indel_join(o, m.withColumnRenamed("name", "match"), 0.9, N.sorted_tokens).select("name", "match", "ord", *r6("ratio"))
 
 
 @query("hybrid_topk")
 def hybrid_topk(spark, sf_dir):
-    o, m = X.observed(spark).select(N.team_name("name").alias("name")).distinct(), X.master(spark).select("ord", N.team_name("name").alias("name"))
+    o, m = _normalised_lists(spark, sf_dir)
     return matching.hybrid_candidates(o, m).select("name", "match", F.round("score", 6).alias("score"), "nth")
 
 
 @query("unmatched_review")
 def unmatched_review(spark, sf_dir):
-    o, m = X.observed(spark).select(N.team_name("name").alias("name")).distinct(), X.master(spark).select("ord", N.team_name("name").alias("name"))
+    o, m = _normalised_lists(spark, sf_dir)
     return matching.review_rows(matching.hybrid_candidates(o, m)).select("name", "top_candidates", *r6("best_score"))
 
 
 @query("blocked_best_match")
 def blocked_best_match(spark, sf_dir):
-    return matching.best_master(X.observed(spark), X.master(spark)).select("name", "match", *r6("score"))
+    return matching.best_master(X.observed(spark, sf_dir), X.master(spark, sf_dir)).select("name", "match", *r6("score"))
 
 
 @query("audit_match_bands")
 def audit_match_bands(spark, sf_dir):
-    return quality.audit_bands(matching.best_master(X.observed(spark), X.master(spark)))
+    return quality.audit_bands(matching.best_master(X.observed(spark, sf_dir), X.master(spark, sf_dir)))
 
 
 @query("exact_or_fuzzy")
 def exact_or_fuzzy(spark, sf_dir):
-    return matching.exact_or_fuzzy(X.observed(spark), X.master(spark)).select("name", "match", "match_type", *r6("score"))
+    return matching.exact_or_fuzzy(X.observed(spark, sf_dir), X.master(spark, sf_dir)).select("name", "match", "match_type", *r6("score"))
 
 
 @query("alias_resolve")
 def alias_resolve(spark, sf_dir):
-    return matching.resolve(X.observed(spark), X.aliases(spark), X.master(spark)).select("name", "canonical", *r6("confidence"), "source")
+    return matching.resolve(X.observed(spark, sf_dir), X.aliases(spark, sf_dir), X.master(spark, sf_dir)).select("name", "canonical", *r6("confidence"), "source")
 
 
-@query("alias_cache", f"with {X.OBSERVED_SQL}, {X.ALIASES_SQL}, o as (select distinct name, {_team_sql()} as key from observed), a as (select {_team_sql('alias_name')} as key, canonical_team_name, confidence from aliases) select name, canonical_team_name as canonical, confidence from o join a using (key)")
+@query("alias_cache", f"with {X.ALL_SQL}, o as (select distinct name, {_team_sql()} as key from observed), a as (select {_team_sql('alias_name')} as key, canonical_team_name, confidence from aliases) select name, canonical_team_name as canonical, confidence from o join a using (key)")
 def alias_cache(spark, sf_dir):
-    o = X.observed(spark).select("name", N.team_name("name").alias("key")).distinct()
-    a = X.aliases(spark).select(N.team_name("alias_name").alias("key"), F.col("canonical_team_name").alias("canonical"), "confidence")
+    o = X.observed(spark, sf_dir).select("name", N.team_name("name").alias("key")).distinct()
+    a = X.aliases(spark, sf_dir).select(N.team_name("alias_name").alias("key"), F.col("canonical_team_name").alias("canonical"), "confidence")
     return o.join(a, "key").select("name", "canonical", "confidence")
 
 
-@query("alias_replace", f"with {X.ALIASES_SQL}, n as (select alias_name as name from aliases union all select canonical_team_name from aliases) select n.name as raw, coalesce(canonical_team_name, n.name) as name from n left join aliases on alias_name = n.name")
+@query("alias_replace", f"with {X.ALL_SQL}, n as (select alias_name as name from aliases union all select name from observed) select n.name as raw, coalesce(canonical_team_name, n.name) as name from n left join aliases on alias_name = n.name")
 def alias_replace(spark, sf_dir):
-    a = X.aliases(spark)
-    n = a.select(F.col("alias_name").alias("name")).union(a.select("canonical_team_name")).withColumn("raw", F.col("name"))
+    a = X.aliases(spark, sf_dir)
+    n = a.select(F.col("alias_name").alias("name")).union(X.observed(spark, sf_dir).select("name")).withColumn("raw", F.col("name"))
     return matching.replaced(n, "name", a).select("raw", "name")
 
 
-@query("anti_join_new", f"with {X.OBSERVED_SQL}, {X.ALIASES_SQL}, o as (select distinct name, {_team_sql()} as key from observed) select name, key from o where key not in (select {_team_sql('alias_name')} from aliases)")
+@query("anti_join_new", f"with {X.ALL_SQL}, o as (select distinct name, {_team_sql()} as key from observed) select name, key from o where key not in (select {_team_sql('alias_name')} from aliases)")
 def anti_join_new(spark, sf_dir):
-    o = X.observed(spark).select("name").distinct().withColumn("key", N.team_name("name"))
-    return o.join(X.aliases(spark).select(N.team_name("alias_name").alias("key")).distinct(), "key", "left_anti").select("name", "key")
+    o = X.observed(spark, sf_dir).select("name").distinct().withColumn("key", N.team_name("name"))
+    return o.join(X.aliases(spark, sf_dir).select(N.team_name("alias_name").alias("key")).distinct(), "key", "left_anti").select("name", "key")
 
 
-@query("name_map_left", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, o as (select name, {CANON} as key from observed), m as (select name as canonical, {CANON} as key from master) select o.name, canonical from o left join m using (key)")
+@query("name_map_left", f"with {X.ALL_SQL}, o as (select name, {CANON} as key from observed), m as (select name as canonical, {CANON} as key from master) select o.name, canonical from o left join m using (key)")
 def name_map_left(spark, sf_dir):
-    o = X.observed(spark).select("name", N.canonical_name("name").alias("key"))
-    return o.join(X.master(spark).select(F.col("name").alias("canonical"), N.canonical_name("name").alias("key")), "key", "left").select("name", "canonical")
+    o = X.observed(spark, sf_dir).select("name", N.canonical_name("name").alias("key"))
+    return o.join(X.master(spark, sf_dir).select(F.col("name").alias("canonical"), N.canonical_name("name").alias("key")), "key", "left").select("name", "canonical")
 
 
-@query("alignment", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, o as (select distinct {CANON} as key from observed), m as (select distinct {CANON} as key from master) select key, 'left' as side from o where key not in (select key from m) union all select key, 'right' from m where key not in (select key from o)")
+@query("alignment", f"with {X.ALL_SQL}, o as (select distinct {CANON} as key from observed), m as (select distinct {CANON} as key from master) select key, 'left' as side from o where key not in (select key from m) union all select key, 'right' from m where key not in (select key from o)")
 def alignment(spark, sf_dir):
-    return quality.alignment(X.observed(spark).select(N.canonical_name("name").alias("key")), X.master(spark).select(N.canonical_name("name").alias("key")), "key")
+    return quality.alignment(X.observed(spark, sf_dir).select(N.canonical_name("name").alias("key")), X.master(spark, sf_dir).select(N.canonical_name("name").alias("key")), "key")
 
 
 @query("mapping_audit", "select count(*) as n, count(distinct p_name) as n_raw, count(distinct p_brand) as n_canonical, count(*) - count(distinct p_name) as duplicates from part")
@@ -202,23 +212,19 @@ def team_id(spark, sf_dir):
     return s.withColumn("valid", N.is_team_id("team_id"))
 
 
-# The patterns of names that cannot belong to the division.
-_AGE, _STATE = "\\b(2013|2015|13|15|u13|u15|14g|girls)\\b", "\\b(ca|nv|tx|nm|co|wa|ut|or|dc|pr|hi|ak|can|mexico|bc|ab)\\b"
-
-
-@query("unmatched_categories", f"with {X.OBSERVED_SQL}, c as (select case when regexp_matches(lower(name), '{_AGE}') then 'AGE_MISMATCH' when regexp_matches(lower(name), '{_STATE}') then 'OUT_OF_STATE' else 'UNKNOWN_MISC' end as category from observed) select category, count(*) as n from c group by 1")
+@query("unmatched_categories", f"with {X.ALL_SQL}, c as (select case when regexp_matches({_guarded('lower(name)')}, '{reshape.OTHER_AGE}') then 'AGE_MISMATCH' when regexp_matches({_guarded('lower(name)')}, '{reshape.OTHER_STATE}') then 'OUT_OF_STATE' else 'UNKNOWN_MISC' end as category from observed) select category, count(*) as n from c group by 1")
 def unmatched_categories(spark, sf_dir):
-    return X.observed(spark).groupBy(reshape.unmatched_category("name").alias("category")).agg(F.count("*").alias("n"))
+    return X.observed(spark, sf_dir).groupBy(reshape.unmatched_category("name").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("confidence_hist", f"with {X.ALIASES_SQL} select count(*) as n, count(*) filter (confidence >= 0.9) as high, count(*) filter (confidence >= 0.8 and confidence < 0.9) as middle, count(*) filter (confidence < 0.8) as low, round(avg(confidence), 6) as mean, round(quantile_cont(confidence, 0.5), 6) as median, min(confidence) as least, max(confidence) as most from aliases")
+@query("confidence_hist", f"with {X.ALL_SQL} select count(*) as n, count(*) filter (confidence >= 0.9) as high, count(*) filter (confidence >= 0.8 and confidence < 0.9) as middle, count(*) filter (confidence < 0.8) as low, round(avg(confidence), 6) as mean, round(quantile_cont(confidence, 0.5), 6) as median, min(confidence) as least, max(confidence) as most from aliases")
 def confidence_hist(spark, sf_dir):
-    return quality.confidence_bands(X.aliases(spark)).select("n", "high", "middle", "low", *r6("mean", "median"), "least", "most")
+    return quality.confidence_bands(X.aliases(spark, sf_dir)).select("n", "high", "middle", "low", *r6("mean", "median"), "least", "most")
 
 
-@query("low_confidence", f"with {X.ALIASES_SQL} select * from aliases where confidence < 0.8 order by confidence")
+@query("low_confidence", f"with {X.ALL_SQL} select * from aliases where confidence < 0.8 order by confidence")
 def low_confidence(spark, sf_dir):
-    return X.aliases(spark).where("confidence < 0.8").orderBy("confidence")
+    return X.aliases(spark, sf_dir).where("confidence < 0.8").orderBy("confidence")
 
 
 @query("keep_first_dedupe", "select p_name, p_partkey, p_brand from (select *, row_number() over (partition by p_name order by p_partkey) as n from part) where n = 1")
@@ -229,9 +235,15 @@ def keep_first_dedupe(spark, sf_dir):
 _SPLIT = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
 
 
-@query("containment_search", f"with {X.OBSERVED_SQL}, {X.MASTER_SQL}, p as (select distinct o.name, m.name as match, contains(lower(o.name), lower(m.name)) or contains(lower(m.name), lower(o.name)) as inside, len(list_intersect({_SPLIT('lower(o.name)')}, {_SPLIT('lower(m.name)')})) as n from observed o, master m), q as (select *, bool_or(inside) over (partition by name) as found from p) select name, match, inside from q where inside or not found and n >= 2")
+_TERMS_SQL = "terms as (select distinct club as name from teams_of_parts union select distinct place || ' ' || club from teams_of_parts union select s_name from supplier)"
+
+
+@query("containment_search", f"with {X.ALL_SQL}, {_TERMS_SQL}, p as (select o.name, m.name as match, contains(lower(o.name), lower(m.name)) or contains(lower(m.name), lower(o.name)) as inside, len(list_intersect({_SPLIT('lower(o.name)')}, {_SPLIT('lower(m.name)')})) as n from terms o, master m), q as (select *, bool_or(inside) over (partition by name) as found from p) select name, match, inside from q where inside or not found and n >= 2")
 def containment_search(spark, sf_dir):
-    return matching.contains_either(X.observed(spark).select("name"), X.master(spark).select("name"))
+    """Search terms, a club or a place and a club, in the master list."""
+    t = X.teams_of_parts(spark, sf_dir)
+    terms = t.select(F.col("club").alias("name")).union(t.select(F.concat_ws(" ", "place", "club"))).union(read(spark, sf_dir, "supplier").select("s_name"))
+    return matching.contains_either(terms, X.master(spark, sf_dir).select("name"))
 
 
 @query("any_term_search", "select p_partkey, p_name from part where contains(lower(p_name), 'ring') or contains(lower(p_name), 'bolt')")
@@ -239,14 +251,14 @@ def any_term_search(spark, sf_dir):
     return read(spark, sf_dir, "part").where(matching.any_term("p_name", ["ring", "bolt"])).select("p_partkey", "p_name")
 
 
-@query("age_detection", f"with {X.OBSERVED_SQL} select name, case when contains(lower(name), '2015') or contains(lower(name), 'u10') then 'U10' else 'U11' end as age from observed")
+@query("age_detection", f"with {X.ALL_SQL} select name, case when contains(lower(name), '2015') or contains(lower(name), 'u10') then 'U10' else 'U11' end as age from observed")
 def age_detection(spark, sf_dir):
-    return X.observed(spark).select("name", reshape.age_from_text("name").alias("age"))
+    return X.observed(spark, sf_dir).select("name", reshape.age_from_text("name").alias("age"))
 
 
-@query("club_heuristic")
+@query("club_heuristic", f"with {X.ALL_SQL}, w as (select name, regexp_split_to_array(trim(name), '\\s+') as ws from observed), p as (select *, list_position(list_transform(ws, lambda x: regexp_matches(x, '[0-9]')), true) as pos from w) select name, array_to_string(case when pos > 0 then ws[1:pos - 1] else ws end, ' ') as club from p")
 def club_heuristic(spark, sf_dir):
-    return X.observed(spark).select("name", reshape.leading_words("name").alias("club"))
+    return X.observed(spark, sf_dir).select("name", reshape.leading_words("name").alias("club"))
 
 
 @query("distinct_names", BASE + "select distinct t.name from (select team_a as team from games union select team_b from games) join teams t using (team)")
@@ -265,9 +277,15 @@ def master_from_games(spark, sf_dir):
     return readers.master_from_games(league.games(spark, sf_dir))
 
 
-REGISTRY = '{"az_boys_u10": {"age": 10, "gender": "m", "state": "AZ", "url": "https://example.org/10", "active": true}, "az_girls_u12": {"age": 12, "gender": "f", "state": "AZ", "url": "https://example.org/12", "active": false}}'
+_AGES = "(values (10), (11), (12)) a(age)"
 
 
-@query("division_registry", "select * from (values ('az_boys_u10', 10, 'm', 'AZ', true, 'AZ_Boys_U10'), ('az_girls_u12', 12, 'f', 'AZ', false, 'AZ_Girls_U12')) t(division, age, gender, state, active, canonical)")
+@query("division_registry", f"select lower(n_name) || '_' || (case when n_nationkey % 2 = 0 then 'boys' else 'girls' end) || '_u' || age as division, age, case when n_nationkey % 2 = 0 then 'm' else 'f' end as gender, n_name as state, n_regionkey > 0 as active, n_name || '_' || (case when n_nationkey % 2 = 0 then 'Boys' else 'Girls' end) || '_U' || age as canonical from nation, {_AGES}")
 def division_registry(spark, sf_dir):
-    return readers.registry(spark, REGISTRY).select("division", "age", "gender", "state", "active", "canonical")
+    """A registry file for each nation, written as JSON text and scanned."""
+    boys = F.col("n_nationkey") % 2 == 0
+    entry = F.struct("age", F.when(boys, "m").otherwise("f").alias("gender"), F.col("n_name").alias("state"), F.concat(F.lit("https://example.org/"), "n_nationkey").alias("url"), (F.col("n_regionkey") > 0).alias("active"))
+    key = F.concat_ws("_", F.lower("n_name"), F.when(boys, "boys").otherwise("girls"), F.concat(F.lit("u"), "age"))
+    rows = read(spark, sf_dir, "nation").withColumn("age", F.explode(F.array(F.lit(10), F.lit(11), F.lit(12))))
+    texts = rows.groupBy("n_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, entry)))).alias("text"))  # three ages a nation
+    return readers.registry_rows(texts, "text").select("division", "age", "gender", "state", "active", "canonical")

@@ -106,16 +106,26 @@ def cross_age(age: int) -> int | None:
     return age + 1 if 10 <= age <= 12 else None
 
 
+REGISTRY_FIELDS = ("age", "gender", "state", "url", "active")
+
+
+def registry_rows(texts: DataFrame, column: str) -> DataFrame:
+    """division, age, gender, state, url, active, canonical of JSON registries, one a row; an entry that lacks a field fails the query."""
+    one = texts.select(F.explode(F.from_json(column, "map<string, map<string, string>>")).alias("division", "d"))
+    missing = F.array_except(F.array(*[F.lit(f) for f in REGISTRY_FIELDS]), F.map_keys("d"))
+    checked = one.where(F.when(F.size(missing) == 0, F.lit(True)).otherwise(F.raise_error(F.concat("division", F.lit(" has no "), F.array_join(missing, ", "))).cast("boolean")))
+    kinds = {"age": "int", "active": "boolean"}
+    rows = checked.select("division", *[F.col("d")[f].cast(kinds.get(f, "string")).alias(f) for f in REGISTRY_FIELDS])
+    return rows.withColumn("canonical", F.concat_ws("_", "state", F.when(F.lower("gender") == "m", "Boys").otherwise("Girls"), F.concat(F.lit("U"), "age")))
+
+
 def registry(spark: SparkSession, text: str) -> DataFrame:
-    """division, age, gender, state, url, active of a JSON registry; refuses entries without a field."""
-    fields = ("age", "gender", "state", "url", "active")
+    """The rows of one JSON registry; refuses entries without a field."""
     for key, entry in json.loads(text).items():
-        missing = [f for f in fields if f not in entry]
+        missing = [f for f in REGISTRY_FIELDS if f not in entry]
         if missing:
             raise ValueError(f"{key} has no {', '.join(missing)}")
-    kind = "map<string, struct<age: int, gender: string, state: string, url: string, active: boolean>>"
-    one = spark.createDataFrame([(text,)], "j string").select(F.explode(F.from_json("j", kind)).alias("division", "d"))
-    return one.select("division", "d.*").withColumn("canonical", F.concat_ws("_", "state", F.when(F.lower("gender") == "m", "Boys").otherwise("Girls"), F.concat(F.lit("U"), "age")))
+    return registry_rows(spark.createDataFrame([(text,)], "j string"), "j")
 
 
 def prefix_table(text: str) -> dict[str, list[str]]:
