@@ -93,14 +93,14 @@ def division_name(c: str) -> Column:
     """One leading prefix of each kind goes, then boys, girls, fc, sc and academy after a blank."""
     s = F.trim(F.lower(_text(c)))
     for prefix in ("fc ", "sc ", "soccer club ", "football club "):
-        s = F.when(s.startswith(prefix), F.substring(s, len(prefix) + 1, 1 << 20)).otherwise(s)
+        s = F.when(s.startswith(prefix), F.substr(s, F.lit(len(prefix) + 1))).otherwise(s)
     s = _replaced(s, [(w, "") for w in (" boys", " girls", " fc", " sc", " academy")])
     return F.when(F.col(c).isNotNull(), _squeezed(s))
 
 
 def club_prefixed(c: Column, prefixes: dict[str, list[str]]) -> Column:
     """The canonical club in place of its first matching variation, in the order of the table."""
-    tried = [F.when(c.startswith(v), F.concat(F.lit(club), F.substring(c, len(v) + 1, 1 << 20))) for club, vs in prefixes.items() for v in vs]
+    tried = [F.when(c.startswith(v), F.concat(F.lit(club), F.substr(c, F.lit(len(v) + 1)))) for club, vs in prefixes.items() for v in vs]
     return F.coalesce(*tried, c) if tried else c
 
 

@@ -15,7 +15,7 @@ from pitchlake.operators.sos import cut
 GENERIC_CLUB = [*N.CLUB_SUFFIXES, "15b", "16b", "17b", "18b", "15g", "16g", "17g", "18g", "south", "north", "east", "west", "central", "metro", "valley", "ridge", "hills", "park", "field", "stadium", "center", "centre"]
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in file order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
@@ -166,3 +166,19 @@ def contains_either(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def any_term(column: str, terms: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(column), t))
+
+
+def matched_histories(games: DataFrame, mapping: DataFrame, master: DataFrame) -> DataFrame:
+    """team, opponent, date, gf, ga, matched: games of the master's teams, also those under a name that is mapped to one of them.
+
+    games: game_id, date, team_a, team_b, score_a, score_b; mapping: name, match; master: name. Of games alike in date, team and opponent one
+    stays: of mapped names before the own one, side A before side B, then by game_id. Teams that no game names themselves are not ranked.
+    """
+    side = lambda me, you, mine, theirs, nth: F.struct(F.col(me).alias("name"), F.col(you).alias("opponent"), F.col(mine).alias("gf"), F.col(theirs).alias("ga"), F.lit(nth).alias("side"))
+    sides = games.select("game_id", "date", F.explode(F.array(side("team_a", "team_b", "score_a", "score_b", 0), side("team_b", "team_a", "score_b", "score_a", 1))).alias("s")).select("game_id", "date", "s.*")
+    listed = master.select("name").distinct()
+    ranked = listed.join(sides.select("name").distinct(), "name", "left_semi")
+    other = mapping.where("name <> match").join(ranked.withColumnRenamed("name", "match"), "match", "left_semi").select("name", F.col("match").alias("team"), F.lit(True).alias("matched"))
+    names = other.union(ranked.select("name", F.col("name").alias("team"), F.lit(False)))
+    rows = sides.join(names, "name")
+    return keep_first(rows, ["date", "team", "opponent"], [F.desc("matched"), F.col("side"), F.col("game_id"), F.col("name"), F.col("gf"), F.col("ga")]).select("team", "opponent", "date", "gf", "ga", "matched")

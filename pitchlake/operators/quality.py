@@ -100,3 +100,21 @@ def by_appearances(df: DataFrame) -> DataFrame:
 
 def mapping_audit(mapping: DataFrame, raw: str, canonical: str) -> DataFrame:
     return mapping.agg(F.count("*").alias("n"), F.count_distinct(raw).alias("n_raw"), F.count_distinct(canonical).alias("n_canonical"), (F.count("*") - F.count_distinct(raw)).alias("duplicates"))
+
+
+def overlap(games: DataFrame, own: DataFrame, older: DataFrame, age: str) -> DataFrame:
+    """One row: games and teams of an age group's games, their overlap with the master list, and the games against teams of the older list.
+
+    games: team_a, team_b, age_a; own, older: team. A team without a game, or without a place in the list, counts on its side.
+    """
+    sides = games.select(F.explode(F.array(F.struct(F.col("team_a").alias("team"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("team_b").alias("team"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("s")).select("s.*").where("team is not null")
+    seen = sides.groupBy("team").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    both = seen.join(own.select("team").distinct().withColumn("listed", F.lit(1)), "team", "full")
+    has = lambda c: F.col(c).isNotNull()
+    teams = both.agg(
+        counted(F.col("a") == 1).alias("teams_a"), counted(F.col("b") == 1).alias("teams_b"), counted(has("a")).alias("teams_in_games"), counted(has("listed")).alias("teams_in_master"),
+        counted(has("a") & has("listed")).alias("in_both"), counted(~has("a")).alias("master_only"), counted(~has("listed")).alias("games_only"),
+    )
+    against = games.join(older.select(F.col("team").alias("team_b"), F.lit(True).alias("older")).distinct(), "team_b", "left")
+    counts = against.agg(F.count("*").alias("n_games"), counted((F.col("age_a") == age) & F.col("older")).alias("cross_age_games"))
+    return counts.crossJoin(F.broadcast(teams)).withColumn("cross_age_pct", F.coalesce(F.try_divide(100.0 * F.col("cross_age_games"), F.col("n_games")), F.lit(0.0)))  # two rows of counts

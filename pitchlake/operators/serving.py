@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.operators import reshape as R
+from pitchlake.operators.numbering import numbered
 from pitchlake.sources.league import days_before
 
 
@@ -71,3 +72,51 @@ def kpis(ratings: DataFrame) -> DataFrame:
 
 def by_state(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("state").agg(F.count("*").alias("n_teams"), F.max_by("team", F.struct("power_score_adj", -F.col("team"))).alias("best_team"))
+
+
+#: Sort keys of the first engine's ranking, all falling, then the team: no two teams share a rank.
+SIX_KEYS = ("power_score_adj", "sao_norm", "sad_norm", "sos_norm", "games_played")
+
+
+def ranked_without_ties(ratings: DataFrame, keys: tuple[str, ...] = SIX_KEYS, team: str = "team") -> DataFrame:
+    """``rank`` from 1 by the keys, best first, nulls last, then by team. Teams are dealt by range, none sees all."""
+    return numbered(ratings, [*[F.col(k).desc_nulls_last() for k in keys], F.col(team)], "rank", 1)
+
+
+def every_slice(ratings: DataFrame, by: tuple[str, ...] = ("state", "gender", "age"), most: int = 12) -> DataFrame:
+    """Each row once for every slice that holds it: the columns of ``by`` hold its value or 'All'. slice_bits says which are set.
+
+    A row is copied 2 ^ len(by) times, at most ``most`` columns apart; a null is a value of its own, ''.
+    """
+    if len(by) > most:
+        raise ValueError("too many columns to slice by")
+    bits = F.explode(F.sequence(F.lit(0), F.lit((1 << len(by)) - 1)))
+    out = ratings.withColumn("slice_bits", bits)
+    return out.withColumns({c: F.when(F.col("slice_bits").bitwiseAND(F.lit(1 << i)) != 0, F.coalesce(F.col(c).cast("string"), F.lit(""))).otherwise("All") for i, c in enumerate(by)})
+
+
+def slice_ranks(ratings: DataFrame, by: tuple[str, ...] = ("state", "gender", "age"), score: str = "power_score_adj", team: str = "team") -> DataFrame:
+    """The rank of every team in every slice that holds it, from one sort.
+
+    Rows are sorted by slice and score over range partitions and numbered over all; a rank is the distance to the first number of its
+    slice, and there is a row a slice of these. So the slice of all teams is not numbered by one task. Columns: slice_bits, ``by``, team, score, slice_rank.
+    """
+    rows = every_slice(ratings.select(*by, team, score), by)
+    keys = ["slice_bits", *by]
+    number = numbered(rows, [*keys, F.col(score).desc_nulls_last(), F.col(team)], "_n")
+    first = number.groupBy(*keys).agg(F.min("_n").alias("_first"))
+    return number.join(first, keys).select(*keys, team, score, (F.col("_n") - F.col("_first") + 1).alias("slice_rank"))
+
+
+def slice_sizes(ratings: DataFrame, by: tuple[str, ...] = ("state", "gender", "age"), score: str = "power_score_adj", team: str = "team") -> DataFrame:
+    """One row a slice, of all combinations of ``by``: n_teams, mean_score, best_team. Counted by a cube, summed before the shuffle."""
+    values = ratings.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by], team, score)
+    best = F.max_by(team, F.struct(F.col(score), -F.col(team)))
+    cube = values.cube(*by).agg(F.count("*").alias("n_teams"), F.avg(score).alias("mean_score"), best.alias("best_team"), *[F.grouping(c).alias(f"_{c}") for c in by])
+    return cube.select(*[F.when(F.col(f"_{c}") == 1, "All").otherwise(F.col(c)).alias(c) for c in by], "n_teams", "mean_score", "best_team")
+
+
+def selector_params(gender: str, age_label: str, state: str) -> Column:
+    """The query string that a selection of gender, age label ('U12 (2013)') and state stands for."""
+    sex = F.when(F.col(gender) == "Boys", "boys").otherwise("girls")
+    return F.format_string("gender=%s&age_group=%s&state=%s", sex, F.split(age_label, " ")[0], F.col(state))

@@ -39,16 +39,26 @@ STATS = """, stats as (select r.team, count(*) as games_played, count(*) filter
   from margin r join teams a on a.team = r.team join teams b on b.team = r.opponent group by r.team),
 hist as (select team, count(*) as total_games_history from res group by team)
 """
-SOS = """, edge as (select r.team, r.opponent, a.age <> b.age as cross_age,
+SOS_EDGES = """, edge as (select r.team, r.opponent, a.age <> b.age as cross_age,
   sum(case result when 'W' then least(1.6::double, 1 + 0.1::double * m) when 'L' then greatest(0.4::double, 1 - 0.1::double * abs(m)) else 1.0::double end) as w
   from margin r join teams a on a.team = r.team join teams b on b.team = r.opponent group by all),
 mu as (select avg(win_percentage) as mu from stats), s0 as (select team, win_percentage as s from stats)
-""" + "".join(
-    f""", p{k} as (select e.team, sum(w * case when cross_age and coalesce(s, 0.35::double) > mu then coalesce(s, 0.35::double) * least(1 + 0.05::double * (coalesce(s, 0.35::double) - mu) / mu, 1.10::double) else coalesce(s, 0.35::double) end) as num, sum(w) as den
+"""
+
+
+def _steps(n: int) -> str:
+    return "".join(
+        f""", p{k} as (select e.team, sum(w * case when cross_age and coalesce(s, 0.35::double) > mu then coalesce(s, 0.35::double) * least(1 + 0.05::double * (coalesce(s, 0.35::double) - mu) / mu, 1.10::double) else coalesce(s, 0.35::double) end) as num, sum(w) as den
   from edge e left join s{k} o on o.team = e.opponent, mu group by e.team),
 s{k + 1} as (select x.team, case when den > 0 then 0.7::double * s + 0.3::double * num / den else s end as s from s{k} x left join p{k} p on p.team = x.team)"""
-    for k in range(3)
-) + ", sos as (select team, coalesce((s - avg(s) over ()) / nullif(stddev_pop(s) over (), 0), 0) as sos_score from s3)\n"
+        for k in range(n)
+    )
+
+
+_Z = ", sos as (select team, coalesce((s - avg(s) over ()) / nullif(stddev_pop(s) over (), 0), 0) as sos_score from {})\n"
+SOS = SOS_EDGES + _steps(3) + _Z.format("s3")
+#: Ten steps at most; the first after which no strength moved by 0.01 counts.
+SOS_SETTLED = SOS_EDGES + _steps(10).replace(" as (select", " as materialized (select") + ", moved as (" + " union all ".join(f"select {k} as k, max(abs(a.s - b.s)) as m from s{k} a join s{k - 1} b using (team)" for k in range(1, 11)) + "), chosen as (select coalesce(min(k) filter (m < 0.01), 10) as k from moved), settled as (" + " union all ".join(f"select team, s from s{k}, chosen where k = {k}" for k in range(1, 11)) + ")" + _Z.format("settled")
 POWER = """, sh as (select *, (games_played * offense + 8 * avg(offense) over ()) / (games_played + 8) as offense_adj, (games_played * defense + 8 * avg(defense) over ()) / (games_played + 8) as defense_adj from stats join sos using (team)),
 nm as (select *, 1 / (1 + exp(-(offense_adj - avg(offense_adj) over ()) / (1.5::double * stddev_samp(offense_adj) over ()))) as offense_norm,
   1 - 1 / (1 + exp(-(defense_adj - avg(defense_adj) over ()) / (1.5::double * stddev_samp(defense_adj) over ()))) as defense_norm,
@@ -321,7 +331,7 @@ def sos_relax_3(spark, sf_dir):
     return _stats_and_schedule(spark, sf_dir)[3].select("team", *r6("sos_score"))
 
 
-@query("sos_relax_converged")
+@query("sos_relax_converged", BASE + STATS + SOS_SETTLED + "select team, round(sos_score, 6) as sos_score from sos")
 def sos_relax_converged(spark, sf_dir):
     return _stats_and_schedule(spark, sf_dir, None)[3].select("team", *r6("sos_score"))
 
@@ -368,10 +378,12 @@ def perf_adjust(spark, sf_dir):
     return ratings.performance_adjustment(rows, power).select("team", *r6("adjustment"), "longest_streak")
 
 
-@query("power_e1", BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + SAO + SHRUNK + SOS_RAW + """, q as (select quantile_cont(sao, 0.05) as l1, quantile_cont(sao, 0.95) as h1, quantile_cont(sad, 0.05) as l2, quantile_cont(sad, 0.95) as h2 from shr), q3 as (select quantile_cont(sos_raw, 0.05) as l3, quantile_cont(sos_raw, 0.95) as h3 from sr),
+_E1_NORMS = BASE + WEIGHTED + STRENGTH + ADJUSTED + GUARD + SAO + SHRUNK + SOS_RAW + """, q as (select quantile_cont(sao, 0.05) as l1, quantile_cont(sao, 0.95) as h1, quantile_cont(sad, 0.05) as l2, quantile_cont(sad, 0.95) as h2 from shr), q3 as (select quantile_cont(sos_raw, 0.05) as l3, quantile_cont(sos_raw, 0.95) as h3 from sr),
 wz as (select shr.team, games_played, greatest(l1, least(h1, sao)) as a, greatest(l2, least(h2, sad)) as b, (greatest(l3, least(h3, sos_raw)) - l3) / (h3 - l3) as c from shr join sr using (team), q, q3),
-nz as (select *, 1 / (1 + exp(-(a - avg(a) over ()) / stddev_pop(a) over ())) as sao_norm, 1 / (1 + exp(-(b - avg(b) over ()) / stddev_pop(b) over ())) as sad_norm from wz)
-select team, games_played, round(0.2::double * sao_norm + 0.2::double * sad_norm + 0.6::double * c, 4) as power_score, round(least(1.0::double, pow(games_played / 20.0::double, 1.5::double)), 6) as gp_mult, 'baseline' as sos_source, case when games_played >= 6 then 'Active' else 'Provisional' end as status from nz""")
+nz as (select *, 1 / (1 + exp(-(a - avg(a) over ()) / stddev_pop(a) over ())) as sao_norm, 1 / (1 + exp(-(b - avg(b) over ()) / stddev_pop(b) over ())) as sad_norm from wz)"""
+
+
+@query("power_e1", _E1_NORMS + """ select team, games_played, round(0.2::double * sao_norm + 0.2::double * sad_norm + 0.6::double * c, 4) as power_score, round(least(1.0::double, pow(games_played / 20.0::double, 1.5::double)), 6) as gp_mult, 'baseline' as sos_source, case when games_played >= 6 then 'Active' else 'Provisional' end as status from nz""")
 def power_e1(spark, sf_dir):
     lg, year, _, sao = _sao(spark, sf_dir)
     df = S.robust_scale(S.shrunk(sao, {"sao": "sao_raw", "sad": "sad_raw"}, "games_played"), {"sao_norm": "sao", "sad_norm": "sad"})
@@ -379,6 +391,59 @@ def power_e1(spark, sf_dir):
     return ratings.power_e1(df, schedule).select("team", "games_played", "power_score", F.round("gp_mult", 6).alias("gp_mult"), "sos_source", "status")
 
 
+@query("rank_six_keys", _E1_NORMS + """, pw as (select team, games_played, round(0.2::double * sao_norm + 0.2::double * sad_norm + 0.6::double * c, 4) as power_score, least(1.0::double, pow(games_played / 20.0::double, 1.5::double)) as gp_mult, round(sao_norm, 6) as sao_norm, round(sad_norm, 6) as sad_norm, round(c, 6) as sos_norm from nz),
+fin as (select *, round(power_score * gp_mult, 3) as power_score_adj from pw) select row_number() over (order by power_score_adj desc, sao_norm desc, sad_norm desc, sos_norm desc, games_played desc, team) as rank, team, power_score_adj, sao_norm, sad_norm, sos_norm, games_played from fin""")
+def rank_six_keys(spark, sf_dir):
+    """The first engine's final order: adjusted score, offense, defense, schedule, games, team."""
+    lg, year, _, sao = _sao(spark, sf_dir)
+    df = S.robust_scale(S.shrunk(sao, {"sao": "sao_raw", "sad": "sad_raw"}, "games_played"), {"sao_norm": "sao", "sad_norm": "sad"})
+    schedule = S.robust_minmax(_sos_raw(lg, reshape.unpivot(lg.games), year.where("rn <= 30")), {"baseline": "sos_raw"}).select("team", "baseline")
+    rows = ratings.power_e1(df, schedule).select("team", "games_played", F.round(F.col("power_score") * F.col("gp_mult"), 3).alias("power_score_adj"), *r6("sao_norm", "sad_norm"), F.round("baseline", 6).alias("sos_norm"))
+    return serving.ranked_without_ties(rows).select("rank", "team", "power_score_adj", "sao_norm", "sad_norm", "sos_norm", "games_played")
+
+
+_SLICED = ", sl as (select p.team, t.state, case when p.team % 2 = 0 then 'M' else 'F' end as gender, t.age, round(power_score_adj, 6) as power_score_adj from power p join teams t using (team))\n"
+
+
+def _sliced(spark, sf_dir):
+    lg, _, power = _power(spark, sf_dir)
+    rows = power.select("team", *r6("power_score_adj")).join(lg.teams.select("team", "state", "age"), "team")
+    return sos.cut(rows.withColumn("gender", F.when(F.col("team") % 2 == 0, "M").otherwise("F")))
+
+
+@query("slice_rankings", BASE + STATS + SOS + POWER + _SLICED + """, ev as (select bits::int as slice_bits, case when bits & 1 = 0 then 'All' else state end as state, case when bits & 2 = 0 then 'All' else gender end as gender, case when bits & 4 = 0 then 'All' else age end as age, team, power_score_adj from sl, range(8) b(bits))
+select *, row_number() over (partition by slice_bits, state, gender, age order by power_score_adj desc, team) as slice_rank from ev""")
+def slice_rankings(spark, sf_dir):
+    """Ranks of all teams in the slices of state, gender and age that hold them, all slices in one plan."""
+    return serving.slice_ranks(_sliced(spark, sf_dir))
+
+
+@query("slice_index", BASE + STATS + SOS + POWER + _SLICED + """ select case when grouping(state) = 1 then 'All' else state end as state, case when grouping(gender) = 1 then 'All' else gender end as gender, case when grouping(age) = 1 then 'All' else age end as age,
+  count(*) as n_teams, round(avg(power_score_adj), 6) as mean_score, arg_max(team, (power_score_adj, -team)) as best_team from sl group by cube (state, gender, age)""")
+def slice_index(spark, sf_dir):
+    return serving.slice_sizes(_sliced(spark, sf_dir)).select("state", "gender", "age", "n_teams", *r6("mean_score"), "best_team")
+
+
+@query("selector_params", BASE + "select team, 'gender=' || (case when team % 2 = 0 then 'boys' else 'girls' end) || '&age_group=' || age || '&state=' || state as params from teams")
+def selector_params(spark, sf_dir):
+    teams = league.teams(spark, sf_dir).withColumns({"gender": F.when(F.col("team") % 2 == 0, "Boys").otherwise("Girls"), "label": F.concat("age", F.lit(" (2013)"))})
+    return teams.select("team", serving.selector_params("gender", "label", "state").alias("params"))
+
+
+@query("overlap_analysis", BASE + """, ga as (select g.*, a.age as age_a from games g left join teams a on a.team = g.team_a where event <> 'N' and a.age = 'U10'), own as (select team from teams where age = 'U10' and team % 3 > 0), older as (select team from teams where age = 'U11'),
+seen as (select distinct team_a as team from ga union select distinct team_b from ga)
+select count(*) as n_games, count(*) filter (age_a = 'U10' and team_b in (select team from older)) as cross_age_games, (select count(distinct team_a) from ga) as teams_a, (select count(distinct team_b) from ga) as teams_b, (select count(*) from seen) as teams_in_games, (select count(*) from own) as teams_in_master,
+  (select count(*) from own where team in (select team from seen)) as in_both, (select count(*) from own where team not in (select team from seen)) as master_only, (select count(*) from seen where team not in (select team from own)) as games_only,
+  round(100.0::double * count(*) filter (age_a = 'U10' and team_b in (select team from older)) / count(*), 6) as cross_age_pct from ga""")
+def overlap_analysis(spark, sf_dir):
+    """U10 games that are no friendlies against a master list that lacks a third of the teams."""
+    lg = league.load(spark, sf_dir)
+    ages = lg.teams.select(F.col("team").alias("team_a"), F.col("age").alias("age_a"))
+    games = lg.games.where("event <> 'N'").join(ages, "team_a").where("age_a = 'U10'")
+    out = quality.overlap(games, lg.teams.where("age = 'U10' and team % 3 > 0"), lg.teams.where("age = 'U11'"), "U10")
+    return out.withColumn("cross_age_pct", F.round("cross_age_pct", 6))
+
+
 def _division_games(lg):
     ages = lg.teams.select(F.col("team").alias("team_a"), F.col("age").alias("division"))
     return lg.games.join(ages, "team_a")

@@ -160,6 +160,25 @@ def audit_match_bands(spark, sf_dir):
     return quality.audit_bands(matching.best_master(X.observed(spark, sf_dir), X.master(spark, sf_dir)))
 
 
+def name_games(spark, sf_dir):
+    """game_id, date, team_a, team_b, score_a, score_b: games between observed names; a part's name plays that of the part l_suppkey + 1 further."""
+    names = X.observed(spark, sf_dir).where("ord >= 0 and name <> ''")
+    parts = read(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("n"))
+    lines = read(spark, sf_dir, "lineitem").crossJoin(F.broadcast(parts))  # one row
+    other = F.pmod(F.col("l_partkey") + F.col("l_suppkey") + 1, F.col("n"))
+    rows = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("game_id"), F.col("l_shipdate").alias("date"), F.col("l_partkey").alias("ka"), other.alias("kb"), (F.floor("l_quantity") % 7).alias("score_a"), (F.floor("l_extendedprice") % 6).alias("score_b"))
+    side = lambda c, k: names.select(F.col("ord").alias(k), F.col("name").alias(c))
+    return rows.join(side("team_a", "ka"), "ka").join(side("team_b", "kb"), "kb").drop("ka", "kb")
+
+
+@query("matched_histories")
+def matched_histories(spark, sf_dir):
+    """Histories of master teams over their own games and those under names that the strict matcher maps to them."""
+    master = X.master(spark, sf_dir)
+    mapping = matching.best_master(X.observed(spark, sf_dir), master)
+    return matching.matched_histories(name_games(spark, sf_dir), mapping.select("name", "match"), master)
+
+
 @query("exact_or_fuzzy")
 def exact_or_fuzzy(spark, sf_dir):
     return matching.exact_or_fuzzy(X.observed(spark, sf_dir), X.master(spark, sf_dir)).select("name", "match", "match_type", *r6("score"))

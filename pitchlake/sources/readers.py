@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitchlake.operators.reshape import canonical_header, first_present, require
 
 GAME_COLUMNS = ["Team A", "Team B", "Score A", "Score B", "Date"]
-#: Names under which source files hold the columns of a game, the first that a file has wins.
+# Names under which source files hold the columns of a game; the first that a file has wins.
 GAME_ALIASES = {
     "Team A": ["Team A", "Home", "Home Team", "team_a", "TeamA"], "Team B": ["Team B", "Away", "Away Team", "team_b", "TeamB"],
     "Score A": ["Score A", "ScoreA", "Home Score", "score_a"], "Score B": ["Score B", "ScoreB", "Away Score", "score_b"],
@@ -74,7 +74,13 @@ def latest_version(spark: SparkSession, root: str, stem: str, versions: Iterable
 
 def game_files(spark: SparkSession, root: str, ages: Iterable[str] = ("u10", "u11")) -> dict[str, list[str]]:
     """CSV files of games by age, wherever they lie under ``root``: the age is part of the name."""
-    files = [p for depth in ("*", "*/*", "*/*/*") for p, _ in list_files(spark, f"{root}/{depth}.csv")]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listing = fs.listFiles(p, True) if fs.exists(p) else None
+    files = []
+    while listing is not None and listing.hasNext():
+        path = listing.next().getPath().toString()
+        files += [path] if path.lower().endswith(".csv") else []
     return {age: sorted(p for p in files if age in p.rsplit("/", 1)[-1].lower()) for age in ages}
 
 
@@ -235,3 +241,44 @@ def corrected_masters(u10: DataFrame, u11: DataFrame, games: DataFrame, season:
     young = names.join(known, "Team_Name", "left").select("Team_Name", *[F.coalesce(c, F.lit("Unknown")).alias(c) for c in keep[1:3]], keep[3], F.lit(season - 10).alias("Age_Group"), F.lit(10).alias("Age_U"))
     every = young.unionByName(older[0]).unionByName(older[1])
     return every.withColumn("Team_ID", F.concat(F.lit("u"), "Age_U", F.lit("_"), F.substring(F.sha1("Team_Name"), 1, 12)))
+
+
+# Files that stand in for a division's rankings or predictions.
+GENERAL_RANKINGS = ["Rankings_v53_enhanced.csv", "Rankings_v53.csv", "Rankings_v52b.csv"]
+SERVED_RANKINGS = ["Rankings_v53_enhanced.csv", "Rankings_AZ_M_U12_2025_v53e.csv", "Rankings.csv"]
+GENERAL_PREDICTIONS = ["Predicted_Outcomes_v52b.csv"]
+
+
+def load_first(spark: SparkSession, root: str, names: Iterable[str]) -> tuple[str, DataFrame] | None:
+    """(path, table) of the first name that exists under ``root``, CSV or Parquet by suffix; None if there is none."""
+    path = first_existing(spark, [f"{root}/{n}" for n in names if n])
+    return path and (path, clean_headers(spark.read.parquet(path)) if path.endswith(".parquet") else read_csv(spark, path))
+
+
+def division_rankings(spark: SparkSession, root: str, own: str | None, fallbacks: Iterable[str] = ()) -> tuple[str, DataFrame] | None:
+    """A division's ranking file, else one of its fallbacks, else a general one."""
+    return load_first(spark, root, [own or "", *fallbacks, *GENERAL_RANKINGS])
+
+
+def division_predictions(spark: SparkSession, root: str, own: str | None) -> tuple[str, DataFrame] | None:
+    return load_first(spark, root, [own or "", *GENERAL_PREDICTIONS])
+
+
+def served_rankings(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
+    """What the service starts with; it does not start without."""
+    found = load_first(spark, root, SERVED_RANKINGS)
+    if found is None:
+        raise FileNotFoundError(f"no ranking files under {root}")
+    return found
+
+
+def read_histories(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows that sinks.write_histories wrote, a row a game again with ``team``; None without a cache. schema: that of a game."""
+    if not exists(spark, path):
+        return None
+    return spark.read.parquet(path).select(F.col("key").alias("team"), F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("g")).select("team", "g.*")
+
+
+def newest_plot(spark: SparkSession, root: str, pattern: str = "*.png") -> str | None:
+    """The newest file of a pattern; of equal times the last by name."""
+    return max(((t, p) for p, t in list_files(spark, f"{root}/{pattern}")), default=(0, None))[1]

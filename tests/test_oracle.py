@@ -17,7 +17,8 @@ set_except semi_join_master match_type_report top3_opponents conflicts running_w
 quality_bronze numeric_coercion events_hourly norm_canonical norm_aggressive club_norm extract_fields token_jaccard alias_cache
 anti_join_new mapping_audit team_id containment_search master_from_games division_registry
 norm_light norm_prefixed norm_club elo_batched_3 elo_schedule_batched power_e1 power_e1_iterative prediction_auc calibration_fit national_columns
-national_format connectivity_report tail_split perf_adjust sos_baseline""".split()
+national_format connectivity_report tail_split perf_adjust sos_baseline rank_six_keys slice_rankings slice_index selector_params overlap_analysis
+sos_relax_converged club_heuristic unmatched_categories alias_replace""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the generated tables are not here")
 
