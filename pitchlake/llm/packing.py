@@ -144,11 +144,12 @@ def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, loos
 
     A pattern is used if its pieces are worth 1 - ``loose`` or more at the prices of the program, the dearest first; fractions
     of patterns that are rounded off are carried on to the next. The rest of a rounded cover is a smaller program, up to
-    ``passes`` times; the rest after the pass from which the fewest sequences follow is packed best fit.
+    ``passes`` times; the rest after the pass from which the fewest sequences follow is packed best fit. The rest before
+    the first pass is everything: where best fit alone reaches the bound, as on lengths that are all there, no cover is better.
     """
     left = demand.astype(np.int64).copy()
     used_up: list[tuple[int, list[tuple[int, int]]]] = []
-    made: list[tuple[int, list[tuple[int, int]]]] = []
+    made = best_fit(lengths, left, capacity)
     for _ in range(passes):
         open_ = np.flatnonzero(left)
         if not open_.size:
@@ -167,7 +168,7 @@ def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, loos
                 left[used] -= each * whole
                 used_up.append((whole, list(zip(lengths[used].tolist(), each.tolist(), strict=True))))
         now = used_up + best_fit(lengths, left, capacity)
-        if not made or sum(n for n, _ in now) < sum(n for n, _ in made):
+        if sum(n for n, _ in now) < sum(n for n, _ in made):
             made = now
         if left.sum() > 0.7 * before:
             break

@@ -49,6 +49,29 @@ def test_plan_is_near_its_bound_and_does_not_grow_with_the_documents(kind, over)
     assert packing.price_patterns(prices, lengths, 2048)[0][-1] <= 1 + 1e-9  # no pattern is worth more than a sequence
 
 
+@pytest.mark.parametrize(("each", "bound"), [(200, 204_900), (5, 5_123)])
+def test_every_length_alike(each, bound):
+    lengths = np.arange(1, 2049)
+    assert (lengths * each).sum() / 2048 > bound - 1 and checked(lengths.tolist(), [each] * 2048)[0] == bound
+
+
+def test_never_above_best_fit():
+    rng = np.random.default_rng(2)
+    for sample in (rng.uniform(700, 2048, 4000), rng.lognormal(6, 1.2, 4000), rng.integers(1, 60, 500), rng.choice([1025, 700, 690, 340, 12], 3000), rng.exponential(300, 3000)):
+        lengths, demand = np.unique(np.clip(sample.astype(int), 1, 2048), return_counts=True)
+        fit = sum(n for n, _ in packing.best_fit(lengths, demand.astype(np.int64), 2048))
+        assert checked(lengths.tolist(), demand.tolist())[0] <= fit
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "a b", "x", 1), (None, None, "y", 2), (7, "a b", "z", 3), (7, "a b", "z", 3), (7, "other words here", "z", 4), (8, "", "z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece string, length int").repartition(3)
+    got = packing.pack(docs).collect()
+    assert Counter(r.doc_id for r in got) == {None: 2, 7: 3, 8: 1} and all(r.piece == 0 and r.start == 0 for r in got)
+    assert len({r.sequence_id for r in got}) == 1 and sorted(r.offset for r in got) == [sum(sorted_lengths[:k]) for sorted_lengths in [[r.length for r in sorted(got, key=lambda r: r.offset)]] for k in range(len(got))]
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
 def test_best_fit_equals_best_fit_piece_by_piece():
     rng = random.Random(3)
     for _ in range(60):
