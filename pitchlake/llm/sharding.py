@@ -1,14 +1,15 @@
 """K-d tree partitioning of documents into byte-balanced shards, in DataFrame operations only.
 
-The tree is cut at weighted medians: a node that stands for k shards is split so that its left side gets
-floor(k / 2) / k of its bytes, along the metadata dimension (size, source, language, id) that is widest in it
+The tree is cut at weighted medians: a node that stands for a run of shards is split so that its left side gets the bytes
+that the first half of them still wants, along the metadata dimension (size, source, language, id) that is widest in it
 relative to the whole table. A median is found without sorting: one pass counts the bytes of at most 1024 equal
 bins of every dimension for all nodes of a level, which gives their bounds too; further passes count within the
 bin that holds the median until it is light enough. The driver sees bins of nodes only, never rows.
 
-Equal texts share their coordinates and so stay together, unless they hold more than a 64th of a shard's bytes or
-rows: then the rows take their own coordinates and can be cut anywhere. So a cut misses its share of bytes by at
-most half the heaviest row or kept group, and a 2000th of a shard.
+Equal texts are one unit of weight and share their coordinates, so they stay together. Units that weigh more than a 16th of a
+shard, at most 16 times the shards whatever the table, would make a cut coarse: they are dealt first, the heaviest to the lightest
+shard, and the tree gives every shard the bytes that it lacks. Only a unit heavier than a shard is split, into as few parts as
+shards would hold it. So a shard misses the mean by what the cuts miss: half of a 16th of a shard each at most.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ from pitchlake.llm.common import stash, table
 
 BIN_BITS = 10
 LOW_BITS = 32
-ROW_BITS = 10
 COORD_BITS = 30
-GROUPS_A_SHARD = 64
+HEAVY_A_SHARD = 16
 SLACK = 0.0005
 ROWS_A_BUCKET = 5000
 DIMS = ("k_size", "k_source", "k_lang", "k_id")
 
 
-def _coordinates(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, crc and one sortable long per dimension: the coordinate above, a tie-breaking hash below."""
+def _coordinates(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(light rows, rows of heavy units with their shard, bytes that each shard lacks beside them).
+
+    Light rows: doc_id, size, crc and one sortable long per dimension: the coordinate above, a hash of the text below.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -41,15 +44,16 @@ def _coordinates(docs: DataFrame, shards: int) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     )
     narrow = stash(narrow, "shard-rows")
-    n, total, low_id, high_id = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
-    heavy = (F.col("g_bytes") > F.lit(total / shards / GROUPS_A_SHARD)) | (F.col("g_rows") > F.lit(n / shards / GROUPS_A_SHARD))
-    groups = narrow.groupBy("text_hash").agg(F.sum("size").alias("g_bytes"), F.count("*").alias("g_rows"), F.min("doc_id").alias("g_id"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"))
-    groups = groups.where("g_rows > 1")
-    spread = F.broadcast(stash(groups.where(heavy).select("text_hash"), "shard-heavy"))  # at most 2 * GROUPS_A_SHARD * shards hashes
-    together = narrow.join(spread, "text_hash", "left_anti").join(groups.where(~heavy), "text_hash", "left")
-    own = F.col("g_rows").isNull()
-    together = together.withColumns({c: F.when(own, F.col(mine)).otherwise(F.col(g)) for c, mine, g in (("place_id", "doc_id", "g_id"), ("source", "source", "g_source"), ("lang", "lang", "g_lang"))})
-    apart = narrow.join(spread, "text_hash", "left_semi").withColumn("place_id", F.col("doc_id"))
+    total, low_id, high_id = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    units = narrow.groupBy("text_hash").agg(F.sum("size").alias("g_bytes"), F.count("*").alias("g_rows"), F.min("doc_id").alias("g_id"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"))
+    heavy = stash(units.where(F.col("g_bytes") > F.lit(total / shards / HEAVY_A_SHARD)).select("text_hash", F.ceil(F.col("g_bytes") / F.lit(max(1.0, total / shards))).cast("int").alias("parts")), "heavy-units")
+    large = narrow.join(F.broadcast(heavy), "text_hash").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")))  # at most HEAVY_A_SHARD * shards units
+    dealt, loads = _deal(large.groupBy("text_hash", "part").agg(F.sum("size").alias("bytes")), shards)
+    large = large.join(F.broadcast(dealt), ["text_hash", "part"]).select("doc_id", "size", "text_crc32", "shard")
+    groups = units.where("g_rows > 1").drop("g_bytes", "g_rows").withColumn("grouped", F.lit(True))
+    light = narrow.join(F.broadcast(heavy), "text_hash", "left_anti").join(groups, "text_hash", "left")
+    own = F.col("grouped").isNull()
+    light = light.withColumns({c: F.when(own, F.col(mine)).otherwise(F.col(g)) for c, mine, g in (("place_id", "doc_id", "g_id"), ("source", "source", "g_source"), ("lang", "lang", "g_lang"))})
     top = float((1 << COORD_BITS) - 1)
     name = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - COORD_BITS)
     coords = {
@@ -59,12 +63,21 @@ def _coordinates(docs: DataFrame, shards: int) -> DataFrame:
         "k_id": F.floor((F.coalesce(F.col("place_id"), F.lit(low_id)).cast("double") - low_id) / max(1, high_id - low_id) * top),
     }
 
-    def keyed(part: DataFrame, tie: Column) -> DataFrame:
-        return part.select("doc_id", "size", "text_crc32", *[(F.shiftleft(c.cast("long"), LOW_BITS) + tie).alias(k) for k, c in coords.items()])
+    tie = F.shiftrightunsigned(F.xxhash64("text_hash", F.lit(5)), 64 - LOW_BITS)
+    keys = light.select("doc_id", "size", "text_crc32", *[(F.shiftleft(c.cast("long"), LOW_BITS) + tie).alias(k) for k, c in coords.items()])
+    lacks = [max(0.0, total / shards - x) for x in loads]
+    return stash(keys, "shard-keys"), large, lacks
+
 
-    bits = lambda n, *of: F.shiftrightunsigned(F.xxhash64(*of), 64 - n)
-    by_row = F.shiftleft(bits(LOW_BITS - ROW_BITS, "doc_id", "text_hash"), ROW_BITS) + bits(ROW_BITS, "row")  # repeated rows can be cut too
-    return stash(keyed(together, bits(LOW_BITS, "text_hash", F.lit(5))).union(keyed(apart, by_row)), "shard-keys")
+def _deal(units: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
+    """(text_hash, part, shard; bytes by shard): the heaviest unit first, each to the lightest shard. A bounded number of units."""
+    loads = [0] * shards
+    rows = []
+    for r in sorted(units.collect(), key=lambda r: (-r["bytes"], r["text_hash"], r["part"])):
+        shard = min(range(shards), key=lambda i: (loads[i], i))
+        loads[shard] += r["bytes"]
+        rows.append((r["text_hash"], r["part"], shard))
+    return units.sparkSession.createDataFrame(rows, "text_hash long, part int, shard int"), loads
 
 
 def _leaf_expr(node: dict) -> Column:
@@ -98,7 +111,7 @@ def _narrow_down(node: dict, bins: list[tuple[int, int, int]]) -> tuple[int, int
         if node["below"] + size >= node["want"]:
             break
         node["below"], node["before"] = node["below"] + size, last
-    if first < last and size > SLACK * node["bytes"] / node["shards"]:
+    if first < last and size > SLACK * node["bytes"] / len(node["lacks"]):
         return first, last
     over, under = node["below"] + size - node["want"], node["want"] - node["below"]
     after = node["before"] is None or (over <= under and last < node["box"][node["dim"]][1])
@@ -106,11 +119,11 @@ def _narrow_down(node: dict, bins: list[tuple[int, int, int]]) -> tuple[int, int
     return None
 
 
-def kd_tree(rows: DataFrame, shards: int) -> dict:
-    """Cuts of the tree over ``rows`` (size and one long per dimension); leaves carry a number and their shards."""
+def kd_tree(rows: DataFrame, lacks: list[float]) -> dict:
+    """Cuts of the tree over ``rows`` (size and one long per dimension) into a leaf for each of ``lacks``, in proportion to it."""
     bounds = rows.agg(*[f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    root = {"name": 0, "shards": shards}
-    if shards < 2 or bounds["lo_k_id"] is None:
+    root = {"name": 0, "lacks": lacks}
+    if len(lacks) < 2 or bounds["lo_k_id"] is None:
         return root
     root["box"] = {d: (bounds[f"lo_{d}"], bounds[f"hi_{d}"]) for d in DIMS}
     range_ = lambda box, d: (box[d][1] >> LOW_BITS) - (box[d][0] >> LOW_BITS)
@@ -126,7 +139,8 @@ def kd_tree(rows: DataFrame, shards: int) -> dict:
             n["dim"] = max(DIMS, key=lambda d, n=n: range_(n["box"], d) / spread[d])
             if n["box"][n["dim"]][0] == n["box"][n["dim"]][1]:
                 continue  # equal in the widest dimension: one group of rows that no key tells apart
-            n |= {"below": 0, "before": None, "want": n["bytes"] * (n["shards"] // 2) / n["shards"]}
+            half = sum(n["lacks"][: len(n["lacks"]) // 2])
+            n |= {"below": 0, "before": None, "want": n["bytes"] * half / (sum(n["lacks"]) or 1)}
             ready.append(n)
             if span := _narrow_down(n, bins[n["dim"]]):
                 open_[n["name"]] = {n["dim"]: span}
@@ -137,10 +151,11 @@ def kd_tree(rows: DataFrame, shards: int) -> dict:
             open_ = {name: {by_name[name]["dim"]: span} for name, span in spans.items() if span}
         for n in ready:
             lo, hi = n["box"][n["dim"]]
-            n["left"] = {"name": names, "shards": n["shards"] // 2, "box": n["box"] | {n["dim"]: (lo, n["cut"])}}
-            n["right"] = {"name": names + 1, "shards": n["shards"] - n["shards"] // 2, "box": n["box"] | {n["dim"]: (n["cut"] + 1, hi)}}
+            middle = len(n["lacks"]) // 2
+            n["left"] = {"name": names, "lacks": n["lacks"][:middle], "box": n["box"] | {n["dim"]: (lo, n["cut"])}}
+            n["right"] = {"name": names + 1, "lacks": n["lacks"][middle:], "box": n["box"] | {n["dim"]: (n["cut"] + 1, hi)}}
             names += 2
-        level = [x for n in ready for x in (n["left"], n["right"]) if x["shards"] > 1]
+        level = [x for n in ready for x in (n["left"], n["right"]) if len(x["lacks"]) > 1]
     return root
 
 
@@ -148,25 +163,24 @@ def _number_leaves(node: dict, first: int = 0) -> int:
     if "left" in node:
         return _number_leaves(node["right"], _number_leaves(node["left"], first))
     node["name"] = first
-    return first + node["shards"]
+    return first + len(node["lacks"])
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Every row of ``docs`` with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: sizes (UTF-8 bytes plus 8) of the shards are near equal. Each cut misses its share by at most
-    half the heaviest row or kept group and a 2000th of a shard, so a shard misses the mean by at most four times that.
-    slot numbers the rows of a shard from 0 without gaps.
+    The law is ``bytes``: sizes (UTF-8 bytes plus 8) of the shards are near equal. Rows of one text share a shard unless they weigh
+    more than one. slot numbers the rows of a shard from 0 without gaps.
 
     Defined cases: a null text weighs 8 bytes and has CRC 0, like an empty one, but is a group of its own; null
     source, language or id take part with a coordinate of their own; repeated rows each get a slot; a table with
     fewer rows than shards leaves shards empty; an empty table gives an empty table; extra columns are ignored.
     """
-    rows = _coordinates(docs, shards)
-    root = kd_tree(rows, shards)
+    rows, large, lacks = _coordinates(docs, shards)
+    root = kd_tree(rows, lacks)
     _number_leaves(root)
-    placed = rows.select("doc_id", "size", "text_crc32", _leaf_expr(root).cast("int").alias("shard"))
-    n = rows.count()
+    placed = stash(rows.select("doc_id", "size", "text_crc32", _leaf_expr(root).cast("int").alias("shard")).union(large), "placed")
+    n = placed.count()
     buckets = max(1, -(-n // (shards * ROWS_A_BUCKET)))
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
