@@ -254,6 +254,11 @@ def repeated_spans(docs: DataFrame, sentences: int, least_words: int, window: in
     return repeats.union(every.mapInArrow(mark, "doc long, uid long, first int, last int"))
 
 
+def ranges_of_documents(ranges: DataFrame) -> DataFrame:
+    """doc, uid, r: the different ranges of each document, at most as many as its text has; rows alike find the same ones, which tasks merge before the shuffle."""
+    return ranges.groupBy("doc", "uid").agg(F.collect_set(F.struct("first", "last")).alias("r"))
+
+
 def _cut(text: str | None, first: list[int] | None, last: list[int] | None) -> tuple[str | None, int]:
     """The text without the byte ranges, and the bytes removed."""
     if text is None or first is None or not len(first):
@@ -278,8 +283,7 @@ def remove_repeats(docs: DataFrame, sentences: int = 3, least_words: int = 15, w
     id_ = F.col("doc_id").cast("long")
     doc, uid = F.coalesce(id_, F.lit((1 << 63) - 1)), F.xxhash64(id_, F.col("text").cast("string"))
     ranges = repeated_spans(docs.select(doc.alias("doc"), uid.alias("uid"), F.col("text").cast("string").alias("text")), sentences, least_words, window, least_hot)
-    merged = ranges.groupBy("doc", "uid").agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    merged = merged.select(F.col("doc").alias("_cut_doc"), F.col("uid").alias("_cut_uid"), F.col("r.first").alias("_cut_first"), F.col("r.last").alias("_cut_last"))
+    merged = ranges_of_documents(ranges).select(F.col("doc").alias("_cut_doc"), F.col("uid").alias("_cut_uid"), F.col("r.first").alias("_cut_first"), F.col("r.last").alias("_cut_last"))
     names = [c for c in docs.columns if c != "removed_bytes"]
     joined = docs.select(names).join(merged, (doc == F.col("_cut_doc")) & (uid == F.col("_cut_uid")), "left").drop("_cut_doc", "_cut_uid")
     at = names.index("text")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +99,17 @@ def test_spans_of_texts_that_defeat_one_hash():
     n = len(x)
     h = words.span_hashes(data, np.array([0, n + 1, 2 * n + 2]), np.array([n, 2 * n + 1, 3 * n + 2]))
     assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_rows_alike_share_their_ranges(spark):
+    """A passage of one document in 300 equal rows of another: as many ranges as one row has, not 300 times as many."""
+    words = [f"w{i}" for i in range(60)]
+    passage = " ".join(words)
+    rows = [(1, f"Start here. {passage}. End of it.")] + [(2, f"Other begin. {passage}. Other end now.")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    id_ = F.col("doc_id")
+    found = op.repeated_spans(docs.select(id_.alias("doc"), F.xxhash64(id_, "text").alias("uid"), "text"), 3, 15, 25, op.LEAST_HOT)
+    sizes = [len(r.r) for r in op.ranges_of_documents(found).collect()]
+    assert found.count() > 1000 and max(sizes) <= 60
+    got = Counter(r.text for r in op.remove_repeats(docs).collect())
+    assert got[rows[0][1]] == 1 and len(got) == 2 and all(passage not in t for t in got if t != rows[0][1])
