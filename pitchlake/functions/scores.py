@@ -97,11 +97,23 @@ def minmax(df: DataFrame, columns: dict[str, str], digits: int | None = None) ->
     return out.withColumns(made).drop(*aggregates)
 
 
+#: Rows up to which one aggregate may hold the values of a percentile; beyond it they are found by counted bins.
+HELD_VALUES = 500_000
+
+
+def percentile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of interpolated percentiles of the whole table: {name: (column, share)}."""
+    from pitchlake.operators.quantiles import quantile_row
+
+    if df.limit(HELD_VALUES + 1).count() <= HELD_VALUES:
+        return df.agg(*[F.percentile(c, F.lit(s)).alias(name) for name, (c, s) in wanted.items()])
+    return quantile_row(df, wanted)
+
+
 def _winsorised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    aggregates = {}
-    for c in columns.values():
-        aggregates |= {f"_p5_{c}": F.percentile(c, F.lit(0.05)), f"_p95_{c}": F.percentile(c, F.lit(0.95))}
-    return with_global(df, **aggregates).withColumns({f"_w_{c}": F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_p5_{c}"), F.least(F.col(f"_p95_{c}"), F.col(c)))) for c in columns.values()})
+    wanted = {f"_p{n}_{c}": (c, s) for c in columns.values() for n, s in ((5, 0.05), (95, 0.95))}
+    cuts = percentile_row(df, wanted)
+    return df.crossJoin(F.broadcast(cuts)).withColumns({f"_w_{c}": F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_p5_{c}"), F.least(F.col(f"_p95_{c}"), F.col(c)))) for c in columns.values()})  # one row
 
 
 def robust_scale(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.functions import scores as S
 from pitchlake.operators.ratings import counted
 
 
@@ -32,10 +33,11 @@ def alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def confidence_bands(aliases: DataFrame, column: str = "confidence") -> DataFrame:
     c = F.col(column)
-    return aliases.agg(
+    bands = aliases.agg(
         F.count("*").alias("n"), counted(c >= 0.9).alias("high"), counted((c >= 0.8) & (c < 0.9)).alias("middle"), counted(c < 0.8).alias("low"),
-        F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"),
+        F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"),
     )
+    return bands.crossJoin(F.broadcast(S.percentile_row(aliases, {"median": (column, 0.5)})))  # one row each
 
 
 def audit_bands(scores: DataFrame, column: str = "score") -> DataFrame:

@@ -13,7 +13,7 @@ UNKNOWN = 0.35
 def opponent_mean(rows: DataFrame, strength: DataFrame) -> DataFrame:
     """team, sos_raw: mean strength of recent opponents; unknown ones count the median. strength: team, strength."""
     strength = strength.persist()  # read for the median and for the join
-    median = strength.agg(F.percentile("strength", F.lit(0.5)).alias("median"))
+    median = S.percentile_row(strength, {"median": ("strength", 0.5)})
     known = strength.select(F.col("team").alias("opponent"), "strength")
     joined = rows.join(known, "opponent", "left").crossJoin(F.broadcast(median))
     return joined.groupBy("team").agg(F.avg(F.coalesce("strength", "median")).alias("sos_raw"))
