@@ -19,10 +19,16 @@ def write_by_state(df: DataFrame, path: str, column: str = "state", mode: str =
     df.repartition(F.col(column), F.floor(F.rand(7) * FILES_A_STATE)).write.mode(mode).partitionBy(column).parquet(path)
 
 
+def write_run(df: DataFrame, path: str, run: str, kind: str = "parquet") -> None:
+    """The rows of a run in a folder of their own. A run that is repeated replaces its rows; one that fails leaves those that were there."""
+    writer = df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run")
+    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
+
 def append_aliases(new: DataFrame, table: str, log: str, run: str) -> None:
-    """Append to the alias table and keep the delta of the run."""
-    new.write.mode("append").parquet(table)
-    new.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(log)
+    """Add to the alias table and keep the delta of the run; a run that is repeated is in both once."""
+    write_run(new, table, run)
+    write_run(new, log, run)
 
 
 def merged_aliases(existing: DataFrame, approved: DataFrame) -> DataFrame:
@@ -35,7 +41,7 @@ def merge_reviewed(existing: DataFrame, approved: DataFrame, backup: str, log: s
     """merged_aliases, after a backup of the table and a log of the aliases that are new."""
     existing.write.mode("overwrite").parquet(backup)
     new = approved.join(existing.select("alias_name").distinct(), "alias_name", "left_anti")
-    diff_log(new, "merged", stamp).write.mode("append").parquet(log)
+    write_run(diff_log(new, "merged", stamp), log, stamp)
     return merged_aliases(existing, approved)
 
 
