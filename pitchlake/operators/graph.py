@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.operators.numbering import numbered
+from pitchlake.operators.sos import cut
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -22,15 +23,13 @@ def degrees(pairs: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, most: int = 50) -> DataFrame:
     """team, component (smallest team of it), component_size: least labels spread along edges, then jump to the label's label."""
     edge = undirected(pairs).cache()
-    spark = pairs.sparkSession
-    label = edge.groupBy(F.col("u").alias("team")).agg(F.least(F.min("v"), F.min("u")).alias("label"))
+    label = cut(edge.groupBy(F.col("u").alias("team")).agg(F.least(F.min("v"), F.min("u")).alias("label")))
     for _ in range(most):
-        label = label.checkpoint() if spark.sparkContext.getCheckpointDir() else label.persist()
         near = edge.join(label.withColumnRenamed("team", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         spread = label.join(near, label["team"] == near["u"]).select("team", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = spread.select(F.col("team").alias("mid"), F.col("mid").alias("far"))
         new = spread.join(jump, "mid", "left").select("team", "old", F.least("mid", F.coalesce("far", "mid")).alias("label"))
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
+        new = cut(new)
         moved = new.where("label <> old").limit(1).count()
         label = new.select("team", "label")
         if not moved:

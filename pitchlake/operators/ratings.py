@@ -85,8 +85,14 @@ def weighted(year: DataFrame, n: int = 30) -> DataFrame:
     return rows.withColumns({"w": S.recency_weight(), "gf_capped": F.col("ga") + S.capped_margin()})
 
 
-def weighted_recent(long: DataFrame, as_of: dt.datetime) -> DataFrame:
-    return weighted(numbered_year(long, as_of))
+def weighted_recent(long: DataFrame, as_of: dt.datetime, days: int = 365, n: int = 30) -> DataFrame:
+    """weighted(numbered_year(...)) without its full sort: every task keeps its newest n games of a team before they are shuffled.
+
+    A team with half of all games sends n rows a task; its games are counted side by side.
+    """
+    year = trailing(long, as_of, days)
+    used = year.groupBy("team").agg(F.count("*").alias("used"))
+    return weighted(most_recent(year, n).join(used, "team"), n)
 
 
 def off_def(weighted: DataFrame) -> DataFrame:

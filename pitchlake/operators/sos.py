@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,9 @@ def relaxed(initial: DataFrame, edge: DataFrame, steps: int | None = None, most:
                 now = new
                 break
         now = new
+    else:
+        if steps is None:
+            logging.getLogger(__name__).warning("strengths still move by %s after %d steps", moved, most)
     now = cut(now)  # read for the rows and for their mean; what follows plans over a small table
     z = S.with_global(now, m=F.avg("s"), d=F.stddev_pop("s"))
     return z.select("team", F.coalesce(F.try_divide(F.col("s") - F.col("m"), F.col("d")), F.lit(0.0)).alias("sos_score"))

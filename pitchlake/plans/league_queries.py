@@ -188,7 +188,7 @@ for _name, _tie in (("record_sql_variant", 0.5), ("record_fallback_variant", 0.0
 def recency_weights(spark, sf_dir):
     """Weights of each team's newest games; a team looks at 1 to 30 games by its key, so that every length occurs."""
     lg, long = _long(spark, sf_dir)
-    year = ratings.numbered_year(long, lg.as_of).where("rn <= 30")
+    year = ratings.weighted_recent(long, lg.as_of)
     recent = year.select("team", "rn", F.least("used", F.col("team") % 30 + 1).alias("n")).where("rn <= n")
     return recent.select("team", "n", "rn", F.round(S.recency_weight(), 6).alias("w"))
 
