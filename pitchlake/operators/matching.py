@@ -142,8 +142,8 @@ def _holders(short: DataFrame, long: DataFrame) -> DataFrame:
     of_long = long.select("l", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams(F.col("l"), n) for n in range(1, GRAM + 1)]))).alias("g"))
     often = of_long.groupBy("g").agg(F.count("*").alias("n"))
     of_short = short.select("s", F.explode(F.when(F.length("s") == 0, F.array(F.lit(""))).when(size == 1, grams(F.col("s"), 1)).when(size == 2, grams(F.col("s"), 2)).otherwise(grams(F.col("s"), GRAM))).alias("g"))
-    rarest = of_short.join(often, "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("s", F.col("r.g").alias("g"))
-    return rarest.join(of_long, "g").where(F.contains("l", F.col("s"))).select("s", "l")
+    rarest = of_short.join(often.hint("merge"), "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("s", F.col("r.g").alias("g"))
+    return rarest.join(of_long.hint("merge"), "g").where(F.contains("l", F.col("s"))).select("s", "l")
 
 
 def contains_either(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -13,7 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.operators.sos import cut
+
 LEFT_ROWS, RIGHT_ROWS = 512, 2048
+#: Rows of a narrow table up to which it is broadcast.
+SENT_ROWS = 200_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a narrow table, a row a key: it is counted, and sent to all tasks up to SENT_ROWS rows, else sorted and merged.
+
+    Left to the planner, rows that an explode has multiplied pass for small, and the wide side can be sent.
+    """
+    right = cut(right)
+    return left.join(F.broadcast(right) if right.limit(SENT_ROWS + 1).count() <= SENT_ROWS else right.hint("merge"), list(on), how)
 
 
 def cells(left: DataFrame, right: DataFrame, on: Sequence[str], left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:
@@ -25,18 +38,18 @@ def cells(left: DataFrame, right: DataFrame, on: Sequence[str], left_rows: int =
 
 def dealt(left: DataFrame, right: DataFrame, on: Sequence[str], left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Both sides with the columns _i and _j: rows that agree in the key, _i and _j are the pairs. Null keys meet nothing."""
-    of = cells(left, right, on, left_rows, right_rows).select(*on, "_a", "_b")
+    of = cut(cells(left, right, on, left_rows, right_rows).select(*on, "_a", "_b"))
     part = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c not in on]), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = left.join(of, list(on)).withColumn("_i", part(left, "_a")).withColumn("_j", every("_b"))
-    y = right.join(of, list(on)).withColumn("_j", part(right, "_b")).withColumn("_i", every("_a"))
+    x = join_counted(left, of, on).withColumn("_i", part(left, "_a")).withColumn("_j", every("_b"))
+    y = join_counted(right, of, on).withColumn("_j", part(right, "_b")).withColumn("_i", every("_a"))
     return x.drop("_a", "_b"), y.drop("_a", "_b")
 
 
 def ranged_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:
     """The inner join on ``on``, a hot key's pairs dealt evenly."""
     x, y = dealt(left, right, on, left_rows, right_rows)
-    return x.join(y, [*on, "_i", "_j"]).drop("_i", "_j")
+    return x.join(y.hint("merge"), [*on, "_i", "_j"]).drop("_i", "_j")
 
 
 def solved(left: DataFrame, right: DataFrame, on: Sequence[str], solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:

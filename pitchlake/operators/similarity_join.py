@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names as N
 from pitchlake.functions import similarity as M
-from pitchlake.operators.pairs import ranged_join, solved
+from pitchlake.operators.pairs import join_counted, ranged_join, solved
 from pitchlake.operators.sos import cut
 
 EPS = 1e-9
@@ -48,7 +48,7 @@ def probes(left: DataFrame, right: DataFrame) -> DataFrame:
     few = x.where(F.col("need") > F.length("s") - 1).select("name", "s", "least", F.lit("").alias("gram"), F.lit(0).alias("place"))
     each = x.where(F.col("need") <= F.length("s") - 1).withColumn("g", F.explode(grams(F.col("s")))).select("name", "s", "least", "need", "g.gram", "g.place")
     held = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "place")))  # as long as the name
-    rare = each.join(often, "gram", "left").groupBy("name", "s", "least", "need").agg(held.alias("h")).withColumn("h", F.explode(F.slice("h", F.lit(1), F.col("need")))).where("h.n > 0")
+    rare = join_counted(each, often, ["gram"], "left").groupBy("name", "s", "least", "need").agg(held.alias("h")).withColumn("h", F.explode(F.slice("h", F.lit(1), F.col("need")))).where("h.n > 0")
     return rare.select("name", "s", "least", "h.gram", "h.place").union(few)
 
 
@@ -109,7 +109,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     often = x.select("t").union(y.select("t")).groupBy("t").agg(F.count("*").alias("f"))
 
     def prefix(df: DataFrame, keys: list[str]) -> DataFrame:
-        held = df.join(often, "t").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("h"))
+        held = join_counted(df, often, ["t"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("h"))
         n = F.size("h")
         return held.select(*keys, F.col("h.t").alias(f"{keys[0]}_t"), F.explode(F.slice("h", F.lit(1), n - F.ceil(least * n - EPS).cast("int") + 1)).alias("e")).withColumn("t", F.col("e.t")).drop("e")
 
