@@ -60,6 +60,12 @@ def subsequence_length(x: str, y: str) -> int:
     return len(x) - row.bit_count()
 
 
+@F.pandas_udf(T.DoubleType())
+def subsequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Indel ratio of texts without nulls."""
+    return pd.Series([_indel(x, y) / 100 for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def _indel(x: str, y: str) -> float:
     return 200.0 * subsequence_length(x, y) / (len(x) + len(y)) if x or y else 100.0
 

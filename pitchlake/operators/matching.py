@@ -153,7 +153,7 @@ def resolve(observed: DataFrame, aliases: DataFrame, master: DataFrame, approve:
     stage = cut(stage.join(strict, "name", "left"))
     m = cut(master.withColumn("key", N.team_name("name")))
     left = stage.where("cached is null and strict is null and key <> ''").select(F.col("key").alias("name")).distinct()
-    near = hybrid_candidates(left, m.select(F.col("key").alias("name"), "ord"), 1)
+    near = hybrid_candidates(left, m.select(F.col("key").alias("name"), "ord"), 1, approve - 1e-9)
     near = near.where((F.col("score") >= approve) & (N.token_overlap(F.col("name"), F.col("match")) >= overlap)).select(F.col("name").alias("key"), F.col("match").alias("near_key"), F.col("score").alias("near_score"))
     near = near.join(keep_first(m, ["key"], ["ord"]).select(F.col("key").alias("near_key"), F.col("name").alias("near")), "near_key")
     stage = stage.join(near, "key", "left")

@@ -57,3 +57,8 @@ def solved(left: DataFrame, right: DataFrame, on: Sequence[str], solve: Callable
     x, y = dealt(left, right, on, left_rows, right_rows)
     keys = [*on, "_i", "_j"]
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(solve, schema)
+
+
+def crossed(left: DataFrame, right: DataFrame, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows: int = 2048) -> DataFrame:
+    """What ``solve`` makes of all pairs, in cells of about ``rows`` by ``rows`` rows; a row is copied once for each part of the other side."""
+    return solved(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), ["_all"], solve, schema, rows, rows)

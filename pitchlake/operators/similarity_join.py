@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names as N
 from pitchlake.functions import similarity as M
-from pitchlake.operators.pairs import join_counted, ranged_join, solved
+from pitchlake.operators.pairs import crossed, join_counted, ranged_join, solved
 from pitchlake.operators.sos import cut
 
 EPS = 1e-9
+#: For bounds in single precision.
+SLACK = 1e-5
 
 
 def grams(text: Column) -> Column:
@@ -121,7 +123,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 
 def hybrid_cell(k: int, least: float):
-    """For a cell of names that share a token: the k best of each left name by the hybrid score, over ``least``; ties to the smaller ord."""
+    """For a cell of any names: of each left name, the k best right ones by the hybrid score among those over ``least`` that can reach its ``floor``; ties to the smaller ord."""
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"name": pd.Series(dtype=str), "match": pd.Series(dtype=str), "ord": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
@@ -129,19 +131,28 @@ def hybrid_cell(k: int, least: float):
             return out
         b = b.sort_values("ord", kind="stable")
         x, y = a.s.tolist(), b.s.tolist()
+        n, m = (np.array([len(t) for t in side], np.float32) for side in (x, y))
         overlap = M.token_overlaps(a.name.tolist(), b.match.tolist(), N.GENERIC_TOKENS)
-        total = np.array([len(t) for t in x])[:, None] + np.array([len(t) for t in y])[None, :]
-        ratio = lambda common, total: np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
-        most = 0.6 * ratio(M.common_characters(x, y), total) + 0.4 * overlap
+        total = n[:, None] + m[None, :]
+        most = M.common_characters(x, y)
+        np.divide(most, np.maximum(total, 1), out=most)
+        most *= 1.2
+        most[total == 0] = 0.6
+        most += (0.4 * overlap).astype(np.float32)
 
         def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return 0.6 * ratio(M.common_lengths(x, y, i, j), total[i, j]) + 0.4 * overlap[i, j]
-
-        width = min(k, len(y))
-        first = np.argpartition(-most, width - 1, axis=1)[:, :width]
-        i = np.repeat(np.arange(len(x)), width)
-        floor = scores(i, first.reshape(-1)).reshape(-1, width).min(axis=1) if width == k else np.full(len(x), least)
-        i, j = np.nonzero(most >= np.maximum(floor, least)[:, None] - EPS)
+            t = (n[i] + m[j]).astype(np.int64)
+            return 0.6 * np.where(t > 0, 2.0 * M.common_lengths(x, y, i, j) / np.maximum(t, 1), 1.0) + 0.4 * overlap[i, j]
+
+        floor = np.maximum(a.floor.to_numpy(), least)
+        near = most >= (floor - SLACK)[:, None]
+        many = np.flatnonzero(near.sum(axis=1) > 8 * k) if len(y) > k else []
+        if len(many):  # the k-th score of those that promise most raises the floor
+            first = np.argpartition(-most[many], k - 1, axis=1)[:, :k]
+            kth = scores(np.repeat(many, k), first.reshape(-1)).reshape(-1, k).min(axis=1)
+            floor[many] = np.maximum(floor[many], kth)
+            near[many] = most[many] >= (floor[many] - SLACK)[:, None]
+        i, j = np.nonzero(near)
         got = pd.DataFrame({"i": i, "j": j, "score": scores(i, j)})
         got = got[got.score > least].sort_values(["i", "score", "j"], ascending=[True, False, True], kind="stable").groupby("i").head(k)
         return pd.DataFrame({"name": a.name.to_numpy()[got.i], "match": b.match.to_numpy()[got.j], "ord": b.ord.to_numpy()[got.j], "score": got.score.to_numpy()}) if len(got) else out
@@ -149,23 +160,53 @@ def hybrid_cell(k: int, least: float):
     return solve
 
 
+#: Names of more meaningful tokens give no keys of two tokens less.
+MOST_TOKENS = 12
+
+
+def _nearly(df: DataFrame, column: str) -> DataFrame:
+    """With ``w``, the meaningful tokens, and ``key``: a row for all of them and for each choice of one or two to leave out, if any are left."""
+    w, at = F.col("w"), F.sequence(F.lit(0), F.size("w") - 1)
+    joined = lambda drop: F.array_join(F.filter(w, lambda _, p: ~drop(p)), " ")
+    one = F.transform(at, lambda i: joined(lambda p: p == i))
+    two = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j > i), lambda j: joined(lambda p: (p == i) | (p == j)))))
+    keys = F.concat(F.array(F.array_join(w, " ")), one, F.when(F.size("w") <= MOST_TOKENS, two).otherwise(F.array().cast("array<string>")))
+    held = df.withColumn("w", F.array_sort(F.array_distinct(N.meaningful_tokens(F.col(column))))).where(F.size("w") > 0)
+    return held.withColumn("key", F.explode(F.array_distinct(keys))).where("key <> ''")
+
+
+def floors(x: DataFrame, y: DataFrame, k: int, least: float) -> DataFrame:
+    """name, floor: a score that k rows of y reach for sure, if so many are found that lack at most two of the name's tokens. It only saves work.
+
+    x: name, s; y: match, ord, s. Of the rows that share a key the k first are looked at, of these the k of the largest token overlap.
+    """
+    from pitchlake.operators.matching import best
+
+    few = best(_nearly(y, "match").withColumn("one", F.lit(1)), "key", "one", "ord", k).select("key", "match", "ord", F.col("s").alias("t"), F.col("w").alias("v"))
+    met = _nearly(x, "name").select("name", "s", "w", "key").join(few.hint("merge"), "key").drop("key").distinct()
+    shared = F.size(F.array_intersect("w", "v"))
+    tried = best(met.withColumn("overlap", shared / (F.size("w") + F.size("v") - shared)), "name", "overlap", "ord", k)
+    scored = tried.withColumn("score", 0.6 * M.subsequence_ratio("s", "t") + 0.4 * F.col("overlap"))
+    return scored.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("name", "floor")
+
+
 def hybrid_best(left: DataFrame, right: DataFrame, k: int = 3, least: float = 0.3) -> DataFrame:
     """name, match, ord, score, nth: the k best of every name by the hybrid score over ``least``; ties to the smaller ord. left: name; right: match, ord.
 
-    Names that share a meaningful token meet by it. A pair that shares none scores 0.6 of its Indel ratio, so beyond the k
-    best so far only names with a ratio of the k-th score / 0.6 or more are of interest: a limit for each name, for ``near``.
+    Most tokens of a roster are frequent, so all pairs meet, but in cells that bound a pair by common characters and tokens
+    (products of 0/1 matrices). Only pairs that can reach the name's floor, the k-th score of rows nearly alike, are computed.
+    Rows of one match score alike: it is compared once and the k first of its rows are taken up again at the end.
     """
     from pitchlake.operators.matching import best
 
     x = cut(left.select("name").where("name is not null").distinct().withColumn("s", N.sorted_tokens(F.col("name"))))
-    y = cut(right.where("match is not null").select("match", F.col("ord").cast("long").alias("ord")).withColumn("s", N.sorted_tokens(F.col("match"))))
-    schema = "name string, match string, ord long, score double"
-    alike = cut(best(solved(_keys(x, "name"), _keys(y, "match"), ["t"], hybrid_cell(k, least), schema).distinct(), "name", "score", "ord", k).drop("nth"))
-    last = alike.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
-    limit = F.greatest(F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(least)), F.lit(least))
-    open_ = cut(x.join(last, "name", "left").select("name", "s", (F.coalesce(limit, F.lit(least)) / 0.6).alias("least")))
-    other = near(open_, y).where(N.token_overlap(F.col("name"), F.col("match")) == 0).select("name", "match", "ord", (0.6 * F.col("ratio")).alias("score")).where(F.col("score") > least)
-    return best(alike.union(other), "name", "score", "ord", k)
+    rows = best(right.where("match is not null").select("match", F.col("ord").cast("long").alias("ord"), F.lit(1).alias("one")).distinct(), "match", "one", "ord", k)
+    rows = cut(rows.select("match", "ord", N.sorted_tokens(F.col("match")).alias("s"), "nth"))
+    y = rows.where("nth = 1").select("match", "ord", "s")
+    floored = x.join(floors(x, rows.drop("nth"), k, least).hint("merge"), "name", "left").withColumn("floor", F.coalesce("floor", F.lit(float(least))))
+    met = crossed(cut(floored), y, hybrid_cell(k, least), "name string, match string, ord long, score double")
+    top = best(met, "name", "score", "ord", k).select("name", "match", "score")
+    return best(top.join(rows.select("match", "ord").hint("merge"), "match"), "name", "score", "ord", k).select("name", "match", "ord", "score", "nth")
 
 
 def weighted_cell(least: float):

@@ -156,3 +156,17 @@ def test_strict_matcher_compares_profiles(spark):
     assert a.count() == len(set(names)) > 100 and matching.gated_profiles(a, a).count() == 1
     got = {r.name: (r.match, r.score) for r in matching.best_master(x, y).collect()}
     assert got == {n: (names[1] if n == names[0] else names[0], 1.0) for n in names}
+
+
+def test_floors_are_reached(spark):
+    """Rows nearly alike give names a floor that their k-th score reaches."""
+    words = ["red", "blue", "fox", "owl", "ring", "gear", "harbour", "lake"]
+    rng = random.Random(5)
+    right = [" ".join(rng.sample(words, 4)) for _ in range(300)]
+    left = sorted({t[:3] + t[4:] for t in right[:60]})
+    x = spark.createDataFrame([(t,) for t in left], "name string").withColumn("s", N.sorted_tokens(F.col("name")))
+    y = spark.createDataFrame([(t, i) for i, t in enumerate(right)], "match string, ord long").withColumn("s", N.sorted_tokens(F.col("match")))
+    floor = {r.name: r.floor for r in J.floors(x, y, 2, 0.3).collect()}
+    assert len(floor) > 0.8 * len(left) and np.mean(list(floor.values())) > 0.5
+    for a, f in floor.items():
+        assert f <= sorted(hybrid(a, b) for b in right)[-2] + 1e-9
