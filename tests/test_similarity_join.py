@@ -170,3 +170,37 @@ def test_floors_are_reached(spark):
     assert len(floor) > 0.8 * len(left) and np.mean(list(floor.values())) > 0.5
     for a, f in floor.items():
         assert f <= sorted(hybrid(a, b) for b in right)[-2] + 1e-9
+
+
+@pytest.mark.parametrize("pay", [0.0, 1e9])
+def test_indel_join_by_grams_and_in_cells(lists, monkeypatch, pay):
+    left, right, x, y = lists
+    monkeypatch.setattr(J, "GRAMS_PAY", pay)
+    got = sorted((r.name, r.ord) for r in J.indel_join(x, y, 0.8).collect())
+    assert got == sorted({(a, i) for a in left for i, b in enumerate(right) if a and b and indel(a, b) >= 0.8 - 1e-12})
+
+
+def test_frequent_tokens_do_not_make_all_sets_meet(spark):
+    """Sets of seven tokens from a few words: they meet by three, where every pair shares one."""
+    keys = J._chosen("h", 3)
+    row = spark.createDataFrame([(["a", "b", "c", "d"],)], "h array<string>").select(keys.alias("k")).first().k
+    assert sorted(map(tuple, row)) == [("a", "b", "c"), ("a", "b", "d"), ("a", "c", "d"), ("b", "c", "d")]
+
+
+def test_best_weighted_candidates_hold_each_best(lists):
+    left, right, x, y = lists
+    got = {}
+    for r in J.weighted_candidates(x, y, 90.0, best=True).collect():
+        got.setdefault(r.name, set()).add(r.ord)
+    for a in filter(None, set(left)):
+        scores = [M.weighted_ratio(a, b) for b in right]
+        if max(scores) >= 90:
+            assert {i for i, s in enumerate(scores) if s == max(scores)} <= got[a]
+    assert sum(map(len, got.values())) <= J.weighted_candidates(x, y).count()
+
+
+def test_containment_sends_no_exploded_side(spark):
+    a = spark.createDataFrame([("red fox",), ("fox ring",)], "name string")
+    plan = matching.contains_either(a, spark.createDataFrame([("red fox ring",), ("ring of the fox",)], "name string"))
+    assert {tuple(r) for r in plan.collect()} == {("red fox", "red fox ring", True), ("fox ring", "red fox ring", True)}
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
