@@ -166,7 +166,10 @@ GRAM = 3
 
 
 def _holders(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(s, l) where the name l holds the name s. s meets l by its rarest gram of up to three characters, of which l has all."""
+    """(s, l) where the name l holds the name s. s meets l by its rarest gram of up to three characters, of which l has all.
+
+    Exploded sides are never sent whole: the planner takes them for small.
+    """
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n))))
     size = F.least(F.lit(GRAM), F.length("s"))
     of_long = long.select("l", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams(F.col("l"), n) for n in range(1, GRAM + 1)]))).alias("g"))
@@ -181,16 +184,16 @@ def contains_either(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Null names have no match; the empty name is held by all.
     """
-    x, y = (df.select("name").where("name is not null").distinct().withColumn("low", F.lower("name")) for df in (a, b))
+    x, y = (cut(df.select("name").where("name is not null").distinct().withColumn("low", F.lower("name"))) for df in (a, b))
     down = _holders(x.select(F.col("low").alias("s")).distinct(), y.select(F.col("low").alias("l")).distinct()).select(F.col("s").alias("x"), F.col("l").alias("y"))
     up = _holders(y.select(F.col("low").alias("s")).distinct(), x.select(F.col("low").alias("l")).distinct()).select(F.col("l").alias("x"), F.col("s").alias("y"))
-    held = down.union(up).distinct()
+    held = cut(down.union(up).distinct())
     words = lambda df, c: df.select(F.col("low").alias(c), F.array_sort(F.array_distinct(F.filter(F.split("low", r"\s+"), lambda w: w != ""))).alias("w")).distinct()
     pairs = lambda df, c: df.select(c, F.explode(F.flatten(F.transform("w", lambda v, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda u: F.struct(v.alias("v"), u.alias("u")))))).alias("p"))
-    rest = words(x, "x").join(held.select("x").distinct(), "x", "left_anti")
-    common = pairs(rest, "x").join(pairs(words(y, "y"), "y"), "p").select("x", "y").distinct()
+    rest = words(x, "x").join(held.select("x").distinct().hint("merge"), "x", "left_anti")
+    common = pairs(rest, "x").join(pairs(words(y, "y"), "y").hint("merge"), "p").select("x", "y").distinct()
     both = held.withColumn("inside", F.lit(True)).union(common.withColumn("inside", F.lit(False)))
-    named = both.join(x.select("name", F.col("low").alias("x")), "x").join(y.select(F.col("name").alias("match"), F.col("low").alias("y")), "y")
+    named = both.join(x.select("name", F.col("low").alias("x")).hint("merge"), "x").join(y.select(F.col("name").alias("match"), F.col("low").alias("y")).hint("merge"), "y")
     return named.select("name", "match", "inside")
 
 
