@@ -48,3 +48,31 @@ def test_elo_queries_settle_over_all_games(spark):
         theirs[g.team_b].append(ratings[g.team_a])
     got = {r.team: r.sos_iterative for r in catalogue.QUERIES["elo_schedule"](spark, entry.SMOKE_DIR).collect()}
     assert got.keys() == theirs.keys() and all(abs(got[t] - sum(x) / len(x)) < 1e-5 for t, x in theirs.items())
+
+
+def test_games_are_read_in_runs(monkeypatch):
+    """A division's games come in several batches and are folded from its file, whatever the run."""
+    import random
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    import pytest
+
+    from pitchlake.operators import elo
+
+    rng = random.Random(3)
+    rows = [(d, *rng.sample(range(40, 52), 2), rng.randrange(5), rng.randrange(5)) for d in "xy" for _ in range(90)]
+    table = pd.DataFrame(rows, columns=["division", "team_a", "team_b", "score_a", "score_b"])
+    seen = []
+    for division, teams, file in elo._divisions(table.iloc[i : i + 25] for i in range(0, len(table), 25)):
+
+        def runs(file=file):
+            file.seek(0)
+            while block := file.read(7 * elo.GAME.itemsize):
+                yield np.frombuffer(block, elo.GAME)
+
+        games = [SimpleNamespace(date=0, game_id=i, team_a=a, team_b=b, score_a=p, score_b=q) for i, (d, a, b, p, q) in enumerate(rows) if d == division]
+        assert dict(zip(teams, elo.replay(runs, len(teams)))) == {t: pytest.approx(v, abs=1e-7) for t, v in folded(games).items()}
+        seen.append(division)
+    assert seen == ["x", "y"]
