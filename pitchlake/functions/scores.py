@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Rounded as binary doubles, like SQL's round on doubles: a value just under a half goes down. Spark's own reads the shortest decimal form."""
+    of = 10.0**digits
+    return F.round((F.col(c) if isinstance(c, str) else c) * of) / of
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -93,7 +99,7 @@ def minmax(df: DataFrame, columns: dict[str, str], digits: int | None = None) ->
     for new, c in columns.items():
         lo, hi = F.col(f"_lo_{c}").cast("double"), F.col(f"_hi_{c}").cast("double")
         x = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.5)
-        made[new] = F.round(x, digits) if digits is not None else x
+        made[new] = rounded(x, digits) if digits is not None else x
     return out.withColumns(made).drop(*aggregates)
 
 

@@ -178,5 +178,5 @@ def power_e1(scaled: DataFrame, baseline: DataFrame, iterative: DataFrame | None
     """
     df = scaled.join(baseline, "team")
     df = df.withColumn("sos_norm", F.lit(None).cast("double")) if iterative is None else df.join(iterative.select("team", "sos_norm"), "team", "left")
-    power = F.round(S.power_score(F.col("sao_norm"), F.col("sad_norm"), F.coalesce("sos_norm", "baseline")), 4)
+    power = S.rounded(S.power_score(F.col("sao_norm"), F.col("sad_norm"), F.coalesce("sos_norm", "baseline")), 4)
     return df.select("*", power.alias("power_score"), S.penalty(F.col("games_played"), 1.5).alias("gp_mult"), F.when(F.col("sos_norm").isNotNull(), "iterative").otherwise("baseline").alias("sos_source"), status_by_games("games_played").alias("status"))

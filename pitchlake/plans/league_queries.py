@@ -110,7 +110,7 @@ def query(name: str, sql: str | None = None):
 
 def r6(*names: str) -> list[Column]:
     """Rounded as binary doubles: a value just under a half in the seventh place goes down."""
-    return [(F.round(F.col(n) * 1e6) / 1e6).alias(n) for n in names]
+    return [S.rounded(n, 6).alias(n) for n in names]
 
 
 def _long(spark: SparkSession, sf_dir: str) -> tuple[league.League, DataFrame]:
@@ -315,7 +315,7 @@ def sos_baseline(spark, sf_dir):
 
 @query("sos_pct_rank_proxy", BASE + WEIGHTED + ", q as (select team, round(off_raw, 6) as v from od) select team, round((rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0::double) / count(*) over (), 6) as sos_raw from q")
 def sos_pct_rank_proxy(spark, sf_dir):
-    return S.percent_rank_average(_base(spark, sf_dir)[2].select("team", F.round("off_raw", 6).alias("v")), "v", "sos_raw").select("team", *r6("sos_raw"))
+    return S.percent_rank_average(_base(spark, sf_dir)[2].select("team", S.rounded("off_raw", 6).alias("v")), "v", "sos_raw").select("team", *r6("sos_raw"))
 
 
 def _stats_and_schedule(spark, sf_dir, steps=3):
@@ -388,7 +388,7 @@ def power_e1(spark, sf_dir):
     lg, year, _, sao = _sao(spark, sf_dir)
     df = S.robust_scale(S.shrunk(sao, {"sao": "sao_raw", "sad": "sad_raw"}, "games_played"), {"sao_norm": "sao", "sad_norm": "sad"})
     schedule = S.robust_minmax(_sos_raw(lg, reshape.unpivot(lg.games), year.where("rn <= 30")), {"baseline": "sos_raw"}).select("team", "baseline")
-    return ratings.power_e1(df, schedule).select("team", "games_played", "power_score", F.round("gp_mult", 6).alias("gp_mult"), "sos_source", "status")
+    return ratings.power_e1(df, schedule).select("team", "games_played", "power_score", S.rounded("gp_mult", 6).alias("gp_mult"), "sos_source", "status")
 
 
 @query("rank_six_keys", _E1_NORMS + """, pw as (select team, games_played, round(0.2::double * sao_norm + 0.2::double * sad_norm + 0.6::double * c, 4) as power_score, least(1.0::double, pow(games_played / 20.0::double, 1.5::double)) as gp_mult, round(sao_norm, 6) as sao_norm, round(sad_norm, 6) as sad_norm, round(c, 6) as sos_norm from nz),
@@ -398,7 +398,7 @@ def rank_six_keys(spark, sf_dir):
     lg, year, _, sao = _sao(spark, sf_dir)
     df = S.robust_scale(S.shrunk(sao, {"sao": "sao_raw", "sad": "sad_raw"}, "games_played"), {"sao_norm": "sao", "sad_norm": "sad"})
     schedule = S.robust_minmax(_sos_raw(lg, reshape.unpivot(lg.games), year.where("rn <= 30")), {"baseline": "sos_raw"}).select("team", "baseline")
-    rows = ratings.power_e1(df, schedule).select("team", "games_played", F.round(F.col("power_score") * F.col("gp_mult"), 3).alias("power_score_adj"), *r6("sao_norm", "sad_norm"), F.round("baseline", 6).alias("sos_norm"))
+    rows = ratings.power_e1(df, schedule).select("team", "games_played", S.rounded(F.col("power_score") * F.col("gp_mult"), 3).alias("power_score_adj"), *r6("sao_norm", "sad_norm"), S.rounded("baseline", 6).alias("sos_norm"))
     return serving.ranked_without_ties(rows).select("rank", "team", "power_score_adj", "sao_norm", "sad_norm", "sos_norm", "games_played")
 
 
@@ -421,7 +421,7 @@ def slice_rankings(spark, sf_dir):
 @query("slice_index", BASE + STATS + SOS + POWER + _SLICED + """ select case when grouping(state) = 1 then 'All' else state end as state, case when grouping(gender) = 1 then 'All' else gender end as gender, case when grouping(age) = 1 then 'All' else age end as age,
   count(*) as n_teams, round(avg(power_score_adj), 6) as mean_score, arg_max(team, (power_score_adj, -team)) as best_team from sl group by cube (state, gender, age)""")
 def slice_index(spark, sf_dir):
-    return serving.slice_sizes(_sliced(spark, sf_dir)).select("state", "gender", "age", "n_teams", *r6("mean_score"), "best_team")
+    return serving.slice_sizes(_sliced(spark, sf_dir)).select("state", "gender", "age", "n_teams", F.round("mean_score", 6).cast("double").alias("mean_score"), "best_team")
 
 
 @query("selector_params", BASE + "select team, 'gender=' || (case when team % 2 = 0 then 'boys' else 'girls' end) || '&age_group=' || age || '&state=' || state as params from teams")
@@ -608,7 +608,7 @@ def national_columns(spark, sf_dir):
 
 def _ratings_table(spark, sf_dir):
     lg, _, power = _power(spark, sf_dir)
-    return lg, power.join(lg.teams, "team").withColumn("power_score", F.round("power_score", 6))
+    return lg, power.join(lg.teams, "team").withColumn("power_score", S.rounded("power_score", 6))
 
 
 API = BASE + STATS + SOS + POWER + """, rt as (select power.*, name, state, age, round(power_score, 6) * case when games_played >= 20 then 1.0::double when games_played >= 10 then 0.9::double else 0.75::double end as adj, last_game_date >= d - interval 180 day as fresh from power join teams using (team), today)
@@ -652,7 +652,7 @@ def dashboard_kpis(spark, sf_dir):
 
 @query("state_breakdown", API + "select state, count(*) as n_teams, arg_max(team, (round(power_score_adj, 6), -team)) as best_team from rt group by state")
 def state_breakdown(spark, sf_dir):
-    return serving.by_state(_ratings_table(spark, sf_dir)[1].withColumn("power_score_adj", F.round("power_score_adj", 6)))
+    return serving.by_state(_ratings_table(spark, sf_dir)[1].withColumn("power_score_adj", S.rounded("power_score_adj", 6)))
 
 
 @query("running_win_pct", BASE + "select team, rn, round(sum(case when result = 'W' then 1.0::double else 0.0::double end) over (partition by team order by rn) / rn, 6) as running_win_pct from rec where rn <= 20")
