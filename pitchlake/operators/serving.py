@@ -109,10 +109,13 @@ def slice_ranks(ratings: DataFrame, by: tuple[str, ...] = ("state", "gender", "a
 
 
 def slice_sizes(ratings: DataFrame, by: tuple[str, ...] = ("state", "gender", "age"), score: str = "power_score_adj", team: str = "team") -> DataFrame:
-    """One row a slice, of all combinations of ``by``: n_teams, mean_score, best_team. Counted by a cube, summed before the shuffle."""
+    """One row a slice, of all combinations of ``by``: n_teams, mean_score, best_team. Counted by a cube, summed before the shuffle.
+
+    The mean is a decimal: scores are summed to 18 places, so that it does not depend on the order and a half can be rounded.
+    """
     values = ratings.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by], team, score)
     best = F.max_by(team, F.struct(F.col(score), -F.col(team)))
-    cube = values.cube(*by).agg(F.count("*").alias("n_teams"), F.avg(score).alias("mean_score"), best.alias("best_team"), *[F.grouping(c).alias(f"_{c}") for c in by])
+    cube = values.cube(*by).agg(F.count("*").alias("n_teams"), F.avg(F.col(score).cast("decimal(28,18)")).alias("mean_score"), best.alias("best_team"), *[F.grouping(c).alias(f"_{c}") for c in by])
     return cube.select(*[F.when(F.col(f"_{c}") == 1, "All").otherwise(F.col(c)).alias(c) for c in by], "n_teams", "mean_score", "best_team")
 
 

@@ -141,3 +141,17 @@ def test_long_names_keep_their_end(spark):
     long = "red widget " + "x" * (1 << 20) + " end"
     got = spark.createDataFrame([(long,)], "name string").select(N.club_prefixed(F.col("name"), X.PREFIXES).alias("c"), F.length("name").alias("n")).first()
     assert got.c.endswith(" end") and got.c.startswith("red_widget") and len(got.c) == len(long)
+
+
+def test_halves_in_means_and_scores(spark):
+    """A mean that is a half in the seventh place goes up in any order; a double just under a half goes down, as in SQL."""
+    from pyspark.sql import functions as F
+
+    from pitchlake.functions import scores as S
+
+    scores = [0.535001, 0.535002] * 5
+    for order in (scores, scores[::-1], sorted(scores)):
+        df = spark.createDataFrame([("A", "M", "U10", i, s) for i, s in enumerate(order)], "state string, gender string, age string, team long, power_score_adj double")
+        assert {r.m for r in serving.slice_sizes(df).select(F.round("mean_score", 6).cast("double").alias("m")).collect()} == {0.535002}
+    just_under = spark.createDataFrame([(0.5005,), (0.0625,)], "v double").select(S.rounded("v", 3).alias("v"))
+    assert [r.v for r in just_under.collect()] == [0.5, 0.063]
