@@ -84,6 +84,22 @@ def test_matched_histories(spark):
     assert len(rows) == len(found) and found == want and {r[2] for r in want.values()} == {True, False}
 
 
+def test_matched_histories_reads_games_once(spark):
+    """A team whose own games all give way stays ranked, one that only mapped names play for does not; no second pass over the games."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(g):
+        read.add(1)
+        return g
+
+    games = [(1, 1, "a", "x", 1, 0), (2, 1, "a1", "x", 2, 0), (3, 2, "x", "b1", 3, 1), (4, 2, "b1", None, 0, 0), (5, None, "a1", "c", 4, 4)]
+    mapping, master = {"a1": "a", "b1": "b"}, ["a", "b", "c"]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(games, 2).map(counted), "game_id long, date int, team_a string, team_b string, score_a int, score_b int")
+    rows = matching.matched_histories(df, spark.createDataFrame(list(mapping.items()), "name string, match string"), spark.createDataFrame([(n,) for n in master], "name string")).collect()
+    assert {(r.team, r.opponent, r.date): (r.gf, r.ga, r.matched) for r in rows} == folded(games, mapping, master) == {("a", "x", 1): (2, 0, True), ("a", "c", None): (4, 4, True), ("c", "a1", None): (4, 4, False)}
+    assert len(rows) == 3 and read.value == len(games)
+
+
 def test_matched_histories_query(spark):
     sf = entry.SMOKE_DIR
     games = [tuple(r) for r in name_queries.name_games(spark, sf).select("game_id", "date", "team_a", "team_b", "score_a", "score_b").collect()]
