@@ -204,3 +204,38 @@ def test_containment_sends_no_exploded_side(spark):
     plan = matching.contains_either(a, spark.createDataFrame([("red fox ring",), ("ring of the fox",)], "name string"))
     assert {tuple(r) for r in plan.collect()} == {("red fox", "red fox ring", True), ("fox ring", "red fox ring", True)}
     assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normalised_lists_come_from_different_names(spark):
+    """The normaliser's patterns are not run over the rows of a table in which names repeat."""
+    import __spark_entry__ as entry
+    from pitchlake.plans import name_queries
+
+    observed, _ = name_queries._normalised_lists(spark, entry.SMOKE_DIR)
+    assert "FileScan" not in observed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_have_partitions_of_their_own(spark):
+    x, y = spark.range(100).select(F.col("id").alias("l")), spark.range(150).select(F.col("id").alias("r"))
+    met = pairs.crossed(x, y, lambda a, b: a.merge(b, how="cross")[["l", "r"]], "l long, r long", 40)
+    assert met.rdd.getNumPartitions() == 12 and met.count() == met.distinct().count() == 15_000
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_cells_in_blocks_of_rows(monkeypatch, block):
+    """Pairs of a cell are those of all pairs, whatever rows are multiplied at a time, and weighted bounds hold for names with repeated words and other blanks."""
+    import pandas as pd
+
+    monkeypatch.setattr(J, "BLOCK", block)
+    x, y = [t for t in roster(60, 8) if t] + ["red red fox", "a\tb c", "é" * 66], [t for t in roster(70, 9) if t] + ["fox red fox", "a b\tc", "é" * 65 + "x"]
+    a, b = pd.DataFrame({"name": x, "s": x, "least": 0.8, "gram": "", "place": 0, "floor": 0.3}), pd.DataFrame({"match": y, "s": y, "ord": range(len(y)), "gram": "", "place": 0})
+    got = J.near_cell(a, b)
+    assert sorted(zip(got.name, got.ord)) == sorted((s, j) for s in x for j, t in enumerate(y) if indel(s, t) >= 0.8 - 1e-12)
+    got = J.weighted_cell(90.0, False)(a, b)
+    kept = set(zip(got.name, got.ord))
+    assert {(s, j) for s in x for j, t in enumerate(y) if M.weighted_ratio(s, t) >= 90} <= kept
+    got = J.hybrid_cell(2, 0.3)(a.drop_duplicates("name"), b)
+    overlap = lambda s, t: len(tokens(s) & tokens(t)) / len(tokens(s) | tokens(t)) if tokens(s) or tokens(t) else 1.0
+    score = lambda s, t: 0.6 * indel(s, t) + 0.4 * overlap(s, t)
+    want = {(s, j) for s in x for _, j in sorted((-score(s, t), j) for j, t in enumerate(y) if score(s, t) > 0.3)[:2]}
+    assert set(zip(got.name, got.ord)) == want
